@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,3 +39,20 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
 def width(spark: SparkSession) -> int:
     """The number of shuffle partitions, which sets the number of tasks that operators plan for."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors once per application, so that Python functions in tasks can import it."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    root = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="spark-package-")) / f"{root.name}.zip"
+    with zipfile.ZipFile(target, "w") as archive:
+        for f in sorted(root.rglob("*.py")):
+            archive.write(f, f.relative_to(root.parent))
+    sc.addPyFile(str(target))
+    _shipped.add(sc.applicationId)
