@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symweave.operators import references, skew, snapshots
+from symweave.operators import nested, references, skew, snapshots
 from symweave.session import table
 
 
@@ -29,6 +29,18 @@ def p3_rates(spark: SparkSession, d: str) -> DataFrame:
     return snapshots.change_rates(table(spark, d, "file_snapshots"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return nested.nested_objects(table(spark, d, "files"), fields=False)
+
+
+def p4_tables(spark: SparkSession, d: str) -> DataFrame:
+    return nested.table_sizes(nested.nested_objects(table(spark, d, "files")))
+
+
+def p4_nodes(spark: SparkSession, d: str) -> DataFrame:
+    return nested.flat_table(nested.nested_objects(table(spark, d, "files")), "nodes[]", ["id", "name", "kind", "line", "end", "parent"])
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return references.orphan_references(table(spark, d, "edges"), table(spark, d, "nodes"), table(spark, d, "library_nodes")).select("edge_id", "side")
 
@@ -37,7 +49,7 @@ def p6_report(spark: SparkSession, d: str) -> DataFrame:
     return references.orphan_report(table(spark, d, "edges"), table(spark, d, "nodes"), table(spark, d, "library_nodes"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_keys": p1_keys, "p3_found": p3_found, "p3_rates": p3_rates, "p6_found": p6_found, "p6_report": p6_report}
+QUERIES = {"p1_found": p1_found, "p1_keys": p1_keys, "p3_found": p3_found, "p3_rates": p3_rates, "p4_found": p4_found, "p4_tables": p4_tables, "p4_nodes": p4_nodes, "p6_found": p6_found, "p6_report": p6_report}
 
 _NODE = """best as (select id, max(struct_pack(a := removed_at is null, b := indexed_at, c := name, d := kind)) n
   from (select id, removed_at, indexed_at, name, kind from nodes union all select id, removed_at, indexed_at, name, kind from library_nodes) group by id)"""
