@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symweave.operators import nested, references, skew, snapshots
+from symweave.operators import hierarchy, nested, references, skew, snapshots
 from symweave.session import table
 
 
@@ -41,6 +41,18 @@ def p4_nodes(spark: SparkSession, d: str) -> DataFrame:
     return nested.flat_table(nested.nested_objects(table(spark, d, "files")), "nodes[]", ["id", "name", "kind", "line", "end", "parent"])
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return hierarchy.cycle_nodes(table(spark, d, "nodes"))
+
+
+def p5_hierarchy(spark: SparkSession, d: str) -> DataFrame:
+    return hierarchy.hierarchy(table(spark, d, "nodes")).withColumn("path", F.array_join("path", "/"))
+
+
+def p5_descendants(spark: SparkSession, d: str) -> DataFrame:
+    return hierarchy.descendants(table(spark, d, "nodes"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return references.orphan_references(table(spark, d, "edges"), table(spark, d, "nodes"), table(spark, d, "library_nodes")).select("edge_id", "side")
 
@@ -49,7 +61,7 @@ def p6_report(spark: SparkSession, d: str) -> DataFrame:
     return references.orphan_report(table(spark, d, "edges"), table(spark, d, "nodes"), table(spark, d, "library_nodes"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_keys": p1_keys, "p3_found": p3_found, "p3_rates": p3_rates, "p4_found": p4_found, "p4_tables": p4_tables, "p4_nodes": p4_nodes, "p6_found": p6_found, "p6_report": p6_report}
+QUERIES = {"p1_found": p1_found, "p1_keys": p1_keys, "p3_found": p3_found, "p3_rates": p3_rates, "p4_found": p4_found, "p4_tables": p4_tables, "p4_nodes": p4_nodes, "p5_found": p5_found, "p5_hierarchy": p5_hierarchy, "p5_descendants": p5_descendants, "p6_found": p6_found, "p6_report": p6_report}
 
 _NODE = """best as (select id, max(struct_pack(a := removed_at is null, b := indexed_at, c := name, d := kind)) n
   from (select id, removed_at, indexed_at, name, kind from nodes union all select id, removed_at, indexed_at, name, kind from library_nodes) group by id)"""
@@ -69,6 +81,13 @@ c as (
   select a.snapshot_no + 1, a.file, 'removed' from w a left join w b on a.file = b.file and b.snapshot_no = a.snapshot_no + 1
   where a.snapshot_no < 5 and b.file is null)"""
 
+_TREE = """l as (select a.id, case when b.id is not null then a.parent end parent
+  from (select id, max(parent) parent from nodes group by id) a left join (select distinct id from nodes) b on a.parent = b.id),
+up as (select id, parent as above from l where parent is not null union select up.id, l.parent from up join l on up.above = l.id where l.parent is not null),
+cyc as (select id from up where id = above),
+t as (select id, parent, id root, 0 depth, id path from l where parent is null
+  union all select l.id, l.parent, t.root, t.depth + 1, t.path || '/' || l.id from t join l on l.parent = t.id)"""
+
 _ORPHANS = """n as (select id, indexed_at, removed_at from nodes union all select id, indexed_at, removed_at from library_nodes),
 x as (select edge_id, indexed_at, 'source' side, source k from edges union all select edge_id, indexed_at, 'target', target from edges),
 o as (select distinct edge_id, side, k, cast(date_trunc('month', indexed_at) as date) period from x
@@ -80,6 +99,17 @@ ORACLES = {
       select k.*, best.n.c node_name, best.n.d node_kind from k left join best on best.id = k.target""",
     "p3_found": f"with {_CHANGES} select cast(snapshot_no as int) snapshot_no, file, change from c",
     "p3_rates": f"with {_CHANGES} select cast(snapshot_no as int) snapshot_no, change, count(*) n_files from c group by all",
+    "p5_found": f"with recursive {_TREE} select id node_id from cyc",
+    "p5_hierarchy": f"""with recursive {_TREE}, d as (select above, count(*) n from up group by above),
+      hb as (select id root0, id, 0 k from l where id not in (select id from cyc) and id not in (select id from t)
+        union all select hb.root0, l.id, hb.k + 1 from hb join l on l.parent = hb.id)
+      select l.id node_id, l.parent, t.root, t.depth, t.path, case when cyc.id is null then coalesce(d.n, 0) end n_descendants,
+        case when cyc.id is not null then null when t.id is not null then coalesce((select max(x.depth) - t.depth from up u join t x on x.id = u.id where u.above = l.id), 0)
+          else (select max(k) from hb where root0 = l.id) end height,
+        case when t.id is not null then 'tree' when cyc.id is not null then 'cycle' else 'below_cycle' end status
+      from l left join t on t.id = l.id left join d on d.above = l.id left join cyc on cyc.id = l.id""",
+    "p5_descendants": f"""with recursive {_TREE} select u.above ancestor, u.id descendant, b.depth - a.depth distance
+      from up u join t a on a.id = u.above join t b on b.id = u.id""",
     "p6_found": f"with {_ORPHANS} select edge_id, side from o",
     "p6_report": f"with {_ORPHANS} select side, period, count(*) n_orphans, count(distinct k) n_keys from o group by all",
 }
