@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from symweave.llm.lexicon import compile_words, numbers
 from symweave.llm.pretokens import CHUNK
-from symweave.session import ship
+from symweave.session import ship, stage
 
 #: Where the public vocabularies lie; the same path on every executor.
 TOKENIZERS = "/opt/tokenizers"
@@ -63,12 +63,20 @@ def word_counts(documents: DataFrame, text: str = "text") -> DataFrame:
 def build_lexicon(documents: DataFrame, text: str = "text", *, words: int = LEXICON_WORDS, folder: str = TOKENIZERS, name: str = "byte_bpe_50k") -> str:
     """Compile the most frequent words of the corpus with their ids; returns the name under which executors find the file.
 
-    Counts cover all texts. At most ``words`` words come to the driver (ties by word), all the others are met by the exact
-    merge. The automaton and the ids are one uncompressed array file, sent to the executors by Spark and mapped into memory there.
+    Counts cover all texts. At most ``words`` words come to the driver, all the others are met by the exact
+    merge: words are taken by whole levels of their count, most frequent first, as long as there is room. The automaton and the ids are one uncompressed array file, sent to the executors by Spark and mapped into memory there.
     """
     spark = documents.sparkSession
-    top = word_counts(documents, text).orderBy(F.desc("n"), "word").limit(words)
-    keys = sorted({w.encode() for r in top.collect() for w in (r["word"], " " + r["word"])})
+    counts = stage(word_counts(documents, text), "words")
+    level = F.floor(F.log2("n") * 8).cast("int")  # under 512 levels for any count
+    room, least = words, None
+    for r in counts.groupBy(level.alias("level")).agg(F.count("*").alias("n")).orderBy(F.desc("level")).collect():
+        room -= r["n"]
+        if room < 0:
+            break
+        least = r["level"]
+    top = [] if least is None else [r["word"] for r in counts.where(level >= least).select("word").collect()]
+    keys = sorted({k.encode() for w in top for k in (w, " " + w)})
     encoder = tokenizer(folder, name)
     ids = [encoder.encode_ordinary(k.decode()) for k in keys]
     arrays = compile_words(keys)

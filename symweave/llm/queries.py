@@ -4,13 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from symweave.llm import encoding
-from symweave.session import table
+from symweave.llm import encoding, packing
+from symweave.session import stage, table
 
 
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return encoding.encode_corpus(table(spark, d, "documents"))
 
 
-QUERIES = {"p7_ids": p7_ids}
+def _packed(spark: SparkSession, d: str) -> DataFrame:
+    sizes = stage(encoding.encode_corpus(table(spark, d, "documents"), counts_only=True), "sizes")
+    return packing.pack(sizes, table(spark, d, "token_budgets"))
+
+
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    return _packed(spark, d)
+
+
+def p8_report(spark: SparkSession, d: str) -> DataFrame:
+    return packing.container_report(_packed(spark, d), table(spark, d, "token_budgets"))
+
+
+QUERIES = {"p7_ids": p7_ids, "p8_containers": p8_containers, "p8_report": p8_report}
 ORACLES: dict[str, str] = {}
