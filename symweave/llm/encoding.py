@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from symweave.llm.lexicon import compile_words, numbers
 from symweave.llm.pretokens import CHUNK
-from symweave.session import ship, stage
+from symweave.session import ship, spread, stage
 
 #: Where the public vocabularies lie; the same path on every executor.
 TOKENIZERS = "/opt/tokenizers"
@@ -57,7 +57,7 @@ def word_counts(documents: DataFrame, text: str = "text") -> DataFrame:
         yield pa.RecordBatch.from_pydict({"word": pa.array(list(seen), pa.string()), "n": pa.array(seen.values(), pa.int64())})
 
     ship(documents.sparkSession)
-    return documents.select(text).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return spread(documents.select(text)).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def build_lexicon(documents: DataFrame, text: str = "text", *, words: int = LEXICON_WORDS, folder: str = TOKENIZERS, name: str = "byte_bpe_50k") -> str:
@@ -169,4 +169,4 @@ def encode_corpus(documents: DataFrame, *, key: str = "doc_id", text: str = "tex
 
     kind = documents.schema[key].dataType.simpleString()
     rows = documents.select(F.col(key), F.col(text).cast("string"))
-    return rows.mapInArrow(run, f"`{key}` {kind}, " + ("n_tokens int" if counts_only else "ids array<int>"))
+    return spread(rows).mapInArrow(run, f"`{key}` {kind}, " + ("n_tokens int" if counts_only else "ids array<int>"))

@@ -4,10 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from symweave.llm import encoding, packing
+from symweave.llm import encoding, packing, syntax
 from symweave.session import stage, table
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return syntax.invalid_files(table(spark, d, "sources"))
+
+
+def p2_rates(spark: SparkSession, d: str) -> DataFrame:
+    return syntax.syntax_rates(table(spark, d, "sources"))
+
+
+def p2_diagnostics(spark: SparkSession, d: str) -> DataFrame:
+    return syntax.diagnostics_report(table(spark, d, "sources"), table(spark, d, "files"))
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return encoding.encode_corpus(table(spark, d, "documents"))
 
@@ -25,5 +37,5 @@ def p8_report(spark: SparkSession, d: str) -> DataFrame:
     return packing.container_report(_packed(spark, d), table(spark, d, "token_budgets"))
 
 
-QUERIES = {"p7_ids": p7_ids, "p8_containers": p8_containers, "p8_report": p8_report}
+QUERIES = {"p2_found": p2_found, "p2_rates": p2_rates, "p2_diagnostics": p2_diagnostics, "p7_ids": p7_ids, "p8_containers": p8_containers, "p8_report": p8_report}
 ORACLES: dict[str, str] = {}

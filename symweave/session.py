@@ -56,3 +56,9 @@ def ship(spark: SparkSession) -> None:
             archive.write(f, f.relative_to(root.parent))
     sc.addPyFile(str(target))
     _shipped.add(sc.applicationId)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in enough partitions to use all cores: a small scan of few files is shared out, a large one stays as it is read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df
