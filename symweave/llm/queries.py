@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from symweave.llm import encoding, packing, syntax
+from symweave.llm import encoding, packing, pagespam, syntax
 from symweave.session import stage, table
 
 
@@ -37,5 +37,13 @@ def p8_report(spark: SparkSession, d: str) -> DataFrame:
     return packing.container_report(_packed(spark, d), table(spark, d, "token_budgets"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_rates": p2_rates, "p2_diagnostics": p2_diagnostics, "p7_ids": p7_ids, "p8_containers": p8_containers, "p8_report": p8_report}
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return pagespam.spam_pages(table(spark, d, "documents"))
+
+
+def p9_scores(spark: SparkSession, d: str) -> DataFrame:
+    return pagespam.page_spam(table(spark, d, "documents"))
+
+
+QUERIES = {"p9_found": p9_found, "p9_scores": p9_scores, "p2_found": p2_found, "p2_rates": p2_rates, "p2_diagnostics": p2_diagnostics, "p7_ids": p7_ids, "p8_containers": p8_containers, "p8_report": p8_report}
 ORACLES: dict[str, str] = {}
