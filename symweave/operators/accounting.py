@@ -1,0 +1,98 @@
+"""Accounting of usage events: deltas of counters, sums that keep unknowns, grouping sets, ledgers and paired bootstrap."""
+
+from __future__ import annotations
+
+import random
+
+import pandas as pd
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+
+def counter_deltas(events: DataFrame) -> DataFrame:
+    """``(user_id, event_id, segment, delta)`` of cumulative counters: equal repeats give nothing, a fall starts a new segment with its own value.
+
+    One window per user in order of time and id; value is the counter.
+    """
+    by = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    rows = events.select("user_id", "event_id", "ts", "value", F.lag("value").over(by).alias("old"))
+    reset = F.col("old").isNull() | (F.col("value") < F.col("old"))
+    rows = rows.withColumn("segment", F.sum(reset.cast("int")).over(by)).withColumn("delta", F.when(reset, F.col("value")).otherwise(F.col("value") - F.col("old")))
+    return rows.where(reset | (F.col("delta") != 0)).select("user_id", "event_id", "segment", F.round("delta", 4).alias("delta"))
+
+
+def sums_with_unknowns(events: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
+    """``(keys, n, total)`` where total is null if any value is unknown; repeated rows of one event count once."""
+    once = events.groupBy(*keys, "event_id").agg(F.max(value).alias("v"))
+    return once.groupBy(*keys).agg(F.count("*").alias("n"), F.round(F.when(F.count("v") == F.count("*"), F.sum("v")), 4).alias("total"))
+
+
+def conflicts(events: DataFrame) -> DataFrame:
+    """``(event_id, n_versions)`` of ids that were delivered with different contents."""
+    rows = events.groupBy("event_id", F.xxhash64("ts", "user_id", "event_type", "value", "props").alias("v")).agg(F.count("*").alias("n"))
+    return rows.groupBy("event_id").agg(F.count("*").alias("n_versions")).where("n_versions > 1")
+
+
+def campaign(events: DataFrame) -> DataFrame:
+    """``(event_type, user_id, level, n, accepted, rate, per_accepted)`` per type and user, per type, per user and in all.
+
+    A type of a user is a cell, its attempts are the events in order, and it is accepted if the last one has a value above the mean of
+    the type. Ratios with nothing below are null.
+    """
+    means = events.groupBy("event_type").agg(F.avg("value").alias("mean"))
+    cells = events.groupBy("event_type", "user_id").agg(F.count("*").alias("n"), F.sum("value").alias("total"), F.max_by("value", F.struct("ts", "event_id")).alias("last"))
+    cells = cells.join(means, "event_type").withColumn("ok", (F.col("last") > F.col("mean")).cast("long"))
+    out = cells.cube("event_type", "user_id").agg(F.grouping_id().alias("level"), F.sum("n").alias("n"), F.sum("ok").alias("accepted"), F.count("*").alias("cells"), F.sum("total").alias("total"))
+    return out.select("event_type", "user_id", F.col("level").cast("int").alias("level"), "n", "accepted", F.round(F.try_divide("accepted", "cells"), 6).alias("rate"), F.round(F.try_divide("total", "accepted"), 4).alias("per_accepted"))
+
+
+def ledger(events: DataFrame, epoch: str = "date_trunc('day', ts)") -> DataFrame:
+    """``(event_type, status, n)``: an item (user and type) is ``new`` at its first event, ``rehydrated`` at its first in a later epoch, else ``repeated``."""
+    rows = events.select("user_id", "event_type", "ts", "event_id", F.expr(epoch).alias("epoch"))
+    ever = F.row_number().over(Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id"))
+    here = F.row_number().over(Window.partitionBy("user_id", "event_type", "epoch").orderBy("ts", "event_id"))
+    status = F.when(ever == 1, "new").when(here == 1, "rehydrated").otherwise("repeated")
+    return rows.select("event_type", status.alias("status")).groupBy("event_type", "status").agg(F.count("*").alias("n"))
+
+
+def read_audit(events: DataFrame) -> DataFrame:
+    """``(verdict, n)`` over the views of each user: ``same`` if the last purchase had an equal value class, ``changed`` if not, ``unknown`` before any.
+
+    The last write is carried forward in a window per user.
+    """
+    by = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
+    level = F.floor(F.col("value") / 10).cast("long")
+    rows = events.select("event_type", level.alias("level"), F.last(F.when(F.col("event_type") == "purchase", level), ignorenulls=True).over(by).alias("written"))
+    verdict = F.when(F.col("written").isNull(), "unknown").when(F.col("written") == F.col("level"), "same").otherwise("changed")
+    return rows.where("event_type <> 'purchase'").groupBy(verdict.alias("verdict")).agg(F.count("*").alias("n"))
+
+
+def percentiles(events: DataFrame) -> DataFrame:
+    """``(event_type, n, median, p95)`` by place in the sorted values: n // 2 and n * 95 // 100."""
+    by = Window.partitionBy("event_type")
+    rows = events.where("value is not null").select("event_type", "value", (F.row_number().over(by.orderBy("value")) - 1).alias("place"), F.count("*").over(by).alias("n"))
+    at = lambda x: F.max(F.when(F.col("place") == x, F.col("value")))
+    return rows.groupBy("event_type").agg(F.max("n").alias("n"), at(F.floor(F.col("n") / 2)).alias("median"), at(F.floor(F.col("n") * 95 / 100)).alias("p95"))
+
+
+def paired_bootstrap(pairs: DataFrame, resamples: int = 1000, seed: int = 7) -> DataFrame:
+    """``(metric, ratio, low, high)``: the ratio of the sums of b and a over tasks, with a 95 % interval from resampled tasks.
+
+    ``pairs`` has metric, task, a and b, one row per task. A metric's tasks are one group of a bounded number of tasks, as an experiment has; metrics are spread over the cluster. An
+    interval is null if a resample has no sum for a.
+    """
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("task")
+        a, b = rows["a"].to_numpy(), rows["b"].to_numpy()
+        draw, places, ratios = random.Random(seed), range(len(rows)), []
+        for _ in range(resamples):
+            pick = draw.choices(places, k=len(rows))
+            below = a[pick].sum()
+            ratios.append(b[pick].sum() / below if below else None)
+        ok = None not in ratios
+        ratios = sorted(r for r in ratios if r is not None)
+        edge = lambda q: ratios[min(len(ratios) - 1, int(q * len(ratios)))] if ok and ratios else None
+        return pd.DataFrame({"metric": [rows["metric"].iloc[0]], "ratio": [b.sum() / a.sum() if a.sum() else None], "low": [edge(0.025)], "high": [edge(0.975)]})
+
+    return pairs.groupBy("metric").applyInPandas(run, "metric string, ratio double, low double, high double")
