@@ -76,7 +76,7 @@ def _descend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _links(nodes: DataFrame) -> tuple[DataFrame, int]:
     """One ``(id, parent, slot)`` per id with a parent that exists or null, placed near its file; and the number of tasks.
 
-    Files are bin-packed to tasks by their number of links; a file above a task's share is cut by the hash of the id.
+    Files are bin-packed to tasks by their number of links, which keeps most branches in one task; a file above LINKS_PER_TASK is cut by the hash of the id.
     """
     spark = nodes.sparkSession
     rows = nodes.select("id", "parent").where(F.col("id").isNotNull()).groupBy("id").agg(F.max("parent").alias("parent"))
@@ -84,7 +84,7 @@ def _links(nodes: DataFrame) -> tuple[DataFrame, int]:
     rows = rows.join(known, F.col("parent") == F.col("known"), "left").select("id", F.col("known").alias("parent"))
     rows = stage(rows.withColumn("home", F.substring_index("id", "::", 1)), "links")
     tasks = max(width(spark), -(-rows.count() // LINKS_PER_TASK))
-    large, small, _ = load_plan(rows, "home", tasks)
+    large, small, _ = load_plan(rows, "home", tasks, LINKS_PER_TASK)
     big = F.broadcast(spark.createDataFrame(list(large.items()), "_home string, _shards array<int>"))
     rest = F.broadcast(spark.createDataFrame(list(small.items()), "_bucket int, _task int"))
     shard = F.get("_shards", F.pmod(F.xxhash64("id"), F.size("_shards")).cast("int"))

@@ -13,14 +13,14 @@ from symweave.session import width
 BUCKETS = 4096
 
 
-def pack(loads: list[tuple[object, int]], tasks: int) -> tuple[dict, dict]:
+def pack(loads: list[tuple[object, int]], tasks: int, least: int = 1) -> tuple[dict, dict]:
     """Bin-pack keys to tasks, largest first onto the least loaded task.
 
-    A key above the mean load of a task is cut into shards in proportion to its load. Returns
+    A key above the mean load of a task, and above ``least``, is cut into shards in proportion to its load. Returns
     ``({key: [task of each shard]}, {task: load})``. Equal loads keep the order of ``loads``.
     """
     total = sum(n for _, n in loads)
-    share = max(1, -(-total // max(1, tasks)))
+    share = max(least, -(-total // max(1, tasks)))
     pieces = []
     for key, load in loads:
         shards = min(tasks, max(1, -(-load // share)))
@@ -39,7 +39,7 @@ def _bucket(key: str) -> Column:
     return F.pmod(F.xxhash64(F.col(key)), F.lit(BUCKETS)).cast("int")
 
 
-def load_plan(rows: DataFrame, key: str, tasks: int) -> tuple[dict, dict, int]:
+def load_plan(rows: DataFrame, key: str, tasks: int, least: int = 1) -> tuple[dict, dict, int]:
     """(shards of each large key, task of each bucket, number of rows).
 
     Two map-side combined counts: one by hash bucket (at most BUCKETS rows), one by key inside the buckets that hold
@@ -47,7 +47,7 @@ def load_plan(rows: DataFrame, key: str, tasks: int) -> tuple[dict, dict, int]:
     """
     counted = {r["b"]: r["n"] for r in rows.groupBy(_bucket(key).alias("b")).agg(F.count("*").alias("n")).collect()}
     total = sum(counted.values())
-    share = max(1, -(-total // tasks))
+    share = max(least, -(-total // tasks))
     full = [b for b, n in counted.items() if n > share]
     large: dict = {}
     if full:
@@ -57,7 +57,7 @@ def load_plan(rows: DataFrame, key: str, tasks: int) -> tuple[dict, dict, int]:
             counted[r["b"]] -= r["n"]
     loads = [(("key", k), n) for k, n in sorted(large.items(), key=lambda x: -x[1])]
     loads += [(("bucket", b), n) for b, n in sorted(counted.items()) if n]
-    placed, _ = pack(loads, tasks)
+    placed, _ = pack(loads, tasks, least)
     # a bucket of small keys stays whole: its keys are not split
     return ({k[1]: s for k, s in placed.items() if k[0] == "key"}, {k[1]: s[0] for k, s in placed.items() if k[0] == "bucket"}, total)
 

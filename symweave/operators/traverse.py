@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from symweave.functions.scalars import CONTAINERS, utf16_order
-from symweave.session import stage
+from symweave.session import Levels, stage
 
 #: Relations that carry a change from the target to the source.
 IMPACT = ["references", "calls", "extends", "implements", "with", "on", "overrides", "registers", "imports", "exports", "part", "part_of"]
@@ -20,21 +20,14 @@ def closure(starts: DataFrame, edges: DataFrame, kinds: list[str], *, reverse: b
     """
     here, there = ("target", "source") if reverse else ("source", "target")
     steps = stage(edges.where(F.col("kind").isin(kinds)).select(F.col(here).alias("a"), F.col(there).alias("b")).where("a is not null and b is not null").distinct(), "steps")
-    frontier = starts.select(F.col("id").alias("start"), F.col("id").alias("id")).distinct()
-    levels, d = [stage(frontier, "level")], 0
-    while depth is None or d < depth:
-        d += 1
-        seen = levels[0]
-        for level in levels[1:]:
-            seen = seen.unionByName(level)
-        new = stage(levels[-1].join(steps, F.col("id") == F.col("a")).select("start", F.col("b").alias("id")).distinct().join(seen, ["start", "id"], "left_anti"), "level")
-        if new.isEmpty():
+    levels = Levels(edges.sparkSession, "closure")
+    last = levels.add(starts.select(F.col("id").alias("start"), F.col("id").alias("id")).distinct())
+    while depth is None or levels.count <= depth:
+        new = last.join(steps, F.col("id") == F.col("a")).select("start", F.col("b").alias("id")).distinct()
+        last = levels.add(new.join(levels.all(), ["start", "id"], "left_anti"))
+        if last.isEmpty():
             break
-        levels.append(new)
-    out = levels[0].withColumn("distance", F.lit(0)).where("false")
-    for n, level in enumerate(levels[1:], 1):
-        out = out.unionByName(level.withColumn("distance", F.lit(n)))
-    return out
+    return levels.all().where("level > 0").select("start", "id", F.col("level").alias("distance"))
 
 
 def implementations(starts: DataFrame, edges: DataFrame) -> DataFrame:
@@ -59,34 +52,27 @@ def impact(seeds: DataFrame, edges: DataFrame, nodes: DataFrame, depth: int = 6)
     ways = incoming.unionByName(members).unionByName(contracts).unionByName(parents)
     ways = stage(ways.join(known.select("id"), F.col("next") == F.col("id"), "left_semi"), "ways")
     first = seeds.select("id").join(known.select("id"), "id", "left_semi").distinct()
-    levels = [stage(first.select("id", F.lit(0).alias("distance"), F.lit(None).cast("string").alias("via"), F.lit(None).cast("string").alias("reason")), "impact")]
-    for d in range(1, depth + 1):
-        seen = levels[0].select("id")
-        for level in levels[1:]:
-            seen = seen.unionByName(level.select("id"))
-        best = F.min(F.struct(utf16_order("id").alias("o"), F.col("cls"), F.col("reason"), F.col("id").alias("via"))).alias("w")
-        met = levels[-1].select("id").join(ways, F.col("id") == F.col("a")).groupBy("next").agg(best)
-        new = met.join(seen, met["next"] == seen["id"], "left_anti").select(F.col("next").alias("id"), F.lit(d).alias("distance"), "w.via", "w.reason")
-        new = stage(new, "impact")
-        if new.isEmpty():
+    levels = Levels(edges.sparkSession, "impact")
+    last = levels.add(first.select("id", F.lit(None).cast("string").alias("via"), F.lit(None).cast("string").alias("reason")))
+    best = F.min(F.struct(utf16_order("id").alias("o"), F.col("cls"), F.col("reason"), F.col("id").alias("via"))).alias("w")
+    for _ in range(depth):
+        met = last.select("id").join(ways, F.col("id") == F.col("a")).groupBy("next").agg(best)
+        seen = levels.all().select("id")
+        last = levels.add(met.join(seen, met["next"] == seen["id"], "left_anti").select(F.col("next").alias("id"), "w.via", "w.reason"))
+        if last.isEmpty():
             break
-        levels.append(new)
-    out = levels[0]
-    for level in levels[1:]:
-        out = out.unionByName(level)
-    return out
+    return levels.all().select("id", F.col("level").alias("distance"), "via", "reason")
 
 
 def paths(reached: DataFrame) -> DataFrame:
     """``(id, distance, path)``: the ids from a seed to every node of :func:`impact`, walked back over ``via`` one level at a time."""
-    top = reached.agg(F.max("distance")).first()[0] or 0
-    out = reached.where("distance = 0").select("id", "distance", F.array("id").alias("path"))
-    level = out
-    for d in range(1, top + 1):
-        above = level.select(F.col("id").alias("_a"), F.col("path").alias("_p"))
-        level = stage(reached.where(F.col("distance") == d).join(above, F.col("via") == F.col("_a")).select("id", "distance", F.concat("_p", F.array("id")).alias("path")), "paths")
-        out = out.unionByName(level)
-    return out
+    reached = stage(reached, "reached")
+    levels = Levels(reached.sparkSession, "paths")
+    last = levels.add(reached.where("distance = 0").select("id", "distance", F.array("id").alias("path")))
+    while not last.isEmpty():
+        above = last.select(F.col("id").alias("_a"), F.col("path").alias("_p"))
+        last = levels.add(reached.where(F.col("distance") == levels.count).join(above, F.col("via") == F.col("_a")).select("id", "distance", F.concat("_p", F.array("id")).alias("path")))
+    return levels.all().drop("level")
 
 
 def affected_files(changed: DataFrame, dependencies: DataFrame, scopes: DataFrame | None = None) -> DataFrame:
@@ -95,24 +81,16 @@ def affected_files(changed: DataFrame, dependencies: DataFrame, scopes: DataFram
     ``dependencies`` has file and target, ``scopes`` file and scope: all files of a touched scope are affected too. Ends when nothing is new.
     """
     needs = stage(dependencies.select("file", "target").where("file is not null and target is not null").distinct(), "needs")
-    levels = [stage(changed.select("file").where("file is not null").distinct().withColumn("round", F.lit(0)), "affected")]
-    while True:
-        seen = levels[0].select("file")
-        for level in levels[1:]:
-            seen = seen.unionByName(level.select("file"))
-        last = levels[-1].select(F.col("file").alias("done"))
-        new = needs.join(last, F.col("target") == F.col("done")).select("file")
+    levels = Levels(dependencies.sparkSession, "affected")
+    last = levels.add(changed.select("file").where("file is not null").distinct())
+    while not last.isEmpty():
+        done = last.select(F.col("file").alias("done"))
+        new = needs.join(done, F.col("target") == F.col("done")).select("file")
         if scopes is not None:
-            touched = scopes.join(last, F.col("file") == F.col("done")).select("scope").distinct()
+            touched = scopes.join(done, F.col("file") == F.col("done")).select("scope").distinct()
             new = new.unionByName(scopes.join(touched, "scope").select("file"))
-        new = stage(new.distinct().join(seen, "file", "left_anti").withColumn("round", F.lit(len(levels))), "affected")
-        if new.isEmpty():
-            break
-        levels.append(new)
-    out = levels[0]
-    for level in levels[1:]:
-        out = out.unionByName(level)
-    return out
+        last = levels.add(new.distinct().join(levels.all(), "file", "left_anti"))
+    return levels.all().select("file", F.col("level").alias("round"))
 
 
 def nearest_scope(files: DataFrame, markers: DataFrame) -> DataFrame:

@@ -398,7 +398,7 @@ ORACLES = {
     "lexical_per_file": f"""with {_DOCS}, h as (select file, line, len(list_intersect(terms, ['switch', 'total', 'default'])) m from doc), r as (select *, row_number() over (partition by file order by m desc, line) rn, count(*) over (partition by file) c from h where m > 0)
       select file, line, cast(m as int) matched, c n_matches from r where rn = 1""",
     "evidence_rows": f"""with {_EV} select source, target, kind, file, line, start_offset, confidence, ns[1] section, array_to_string(ns[2:], ',') also_sections, kind reason,
-      n_found, true required from fd""",
+      n_found, len(list_filter(ns, lambda x: x not in ('module_context', 'dependencies', 'candidates'))) > 0 required from fd""",
     "evidence_sections": f"with {_EV}, u as (select unnest(ns) section, file from fd) select section, count(*) n, count(distinct coalesce(file, '')) n_files from u group by section",
     "evidence_files": f"with {_EV}, u as (select file, count(*) n from fd where file is not null group by file) select file as value, row_number() over (order by file) - 1 code, n from u",
     "evidence_groups": f"""with {_EV}, u as (select distinct target, kind, confidence, ns[1] section, file, line, start_offset from fd)

@@ -8,6 +8,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +37,23 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Levels:
+    """The results of the rounds of an iteration, each written below one shared folder, which is read as one table with a column ``level``."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.folder, self.count = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
+
+    def add(self, df: DataFrame) -> DataFrame:
+        """Write the next round and read it back."""
+        path = f"{self.folder}/level={self.count}"
+        df.write.option("compression", "zstd").parquet(path)
+        self.schema, self.count = df.schema, self.count + 1
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def all(self) -> DataFrame:
+        return self.spark.read.schema(StructType([*self.schema.fields, StructField("level", IntegerType())])).parquet(self.folder)
+
+
 def width(spark: SparkSession) -> int:
     """The number of shuffle partitions, which sets the number of tasks that operators plan for."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
