@@ -92,6 +92,8 @@ objtype = '{' (tmember (';' / ',' / ^ / &'}'))* '}'
 tmember = ('readonly' / '+' / '-')* '[' ID 'in' type ('as' type)? ']' (('+' / '-')? '?')? typeann? / 'readonly'? '[' ID ':' type ']' typeann / 'new'? typeparams? tparams typeann? / (('get' / 'set') &propname)? 'readonly'? propname '?'? typeparams? tparams typeann? / ('readonly' &propname)? propname '?'? typeann?
 tparams = '(' (tparam (',' tparam)* ','?)? ')'
 tparam = '...'? (pattern / 'this') '?'? typeann? ('=' assign)?
+string = STR / SB jsx? (SM jsx?)* SE
+jsx = '...' assign / expr
 bind = pattern '!'? typeann? '=' assign / ID '!'? typeann?
 try = 'try' block ('catch' ('(' pattern typeann? ')')? block ('finally' block)? / 'finally' block)
 forhead = (('var' / 'const' / 'let') pattern typeann? / lhs) ('of' assign / 'in' expr) / (var / expr)? ';' expr? ';' expr?
@@ -560,7 +562,7 @@ at = ~ '@' ID
 anonfun = 'fun' (type '.')? params (':' type)? where? (block / '=' expr)?
 if = 'if' '(' expr ')' ((block / stmt)? ';'? 'else' (block / stmt / ';') / block / stmt / ';')
 when = 'when' ('(' (anno* 'val' vdecl '=')? expr ')')? '{' whenentry* '}'
-whenentry = (wcond (',' wcond)* ','? / 'else') ('if' expr)? '->' (block / stmt) semis
+whenentry = (wcond (',' wcond)* ','? / 'else') ('if' expr)? '->' (block / stmt) semis?
 wcond = ('in' / '!in') expr / ('is' / '!is') type / expr
 try = 'try' block (catch+ finally? / finally)
 catch = 'catch' '(' anno* (ID / '_') ':' type ','? ')' block
