@@ -1,0 +1,132 @@
+"""Operators that no query with SQL covers, on small tables."""
+
+import math
+import os
+from datetime import datetime as T
+
+import pytest
+
+from symweave.functions import scalars
+from symweave.operators import accounting, diff, evidence, graph, lexical, traverse
+from symweave.sources import records
+
+
+def test_scan_leaves_out_ignored_directories_and_long_texts(spark, tmp_path):
+    for name, text in (("a/b.py", "x = 1\n"), ("node_modules/c.js", "1"), ("a/long.go", "x" * 50), ("ü/é.kt", "val ä = 1")):
+        os.makedirs(tmp_path / os.path.dirname(name), exist_ok=True)
+        (tmp_path / name).write_text(text, encoding="utf-8")
+    rows = {r.file: r for r in records.scan_directory(spark, f"file:{tmp_path}", largest=20).collect()}
+    assert sorted(rows) == records.local_files(str(tmp_path)) and rows["a/long.go"].text is None and rows["ü/é.kt"].text == "val ä = 1"
+    assert rows["a/b.py"].size == 6 and len(rows["a/b.py"].sha256) == 64
+
+
+def test_versioned_table_keeps_the_old_version_until_the_pointer_moves(spark, tmp_path):
+    kept = records.VersionedTable(spark, f"file:{tmp_path}/t")
+    assert kept.version() is None
+    first = kept.upsert(spark.createDataFrame([("a", 1), ("b", 2)], "file string, n int"))
+    old = kept.read()
+    kept.upsert(spark.createDataFrame([("b", 3), ("c", 4)], "file string, n int"), spark.createDataFrame([("a", 0)], "file string, n int"))
+    assert kept.version() != first and sorted(map(tuple, old.collect())) == [("a", 1), ("b", 2)]
+    assert sorted(map(tuple, kept.read().collect())) == [("b", 3), ("c", 4)]
+
+
+def test_nearest_scope_is_the_deepest_marked_directory(spark):
+    files = spark.createDataFrame([("a/b/c/d.py",), ("a/x.py",), ("z.py",), ("q/r.py",)], "file string")
+    marks = spark.createDataFrame([("a",), ("a/b",), ("a/b/c/d.py",), ("q/rr",)], "dir string")
+    assert {r.file: r.scope for r in traverse.nearest_scope(files, marks).collect()} == {"a/b/c/d.py": "a/b", "a/x.py": "a", "z.py": None, "q/r.py": None}
+    root = spark.createDataFrame([("",)], "dir string")
+    assert {r.scope for r in traverse.nearest_scope(files, root).collect()} == {""}
+
+
+def test_affected_files_with_scopes(spark):
+    changed = spark.createDataFrame([("a",)], "file string")
+    needs = spark.createDataFrame([("b", "a"), ("c", "b"), ("a", "c"), ("x", "y"), (None, "a")], "file string, target string")
+    assert {r.file: r.round for r in traverse.affected_files(changed, needs).collect()} == {"a": 0, "b": 1, "c": 2}
+    scopes = spark.createDataFrame([("a", "s"), ("x", "s"), ("z", "t")], "file string, scope string")
+    assert {r.file for r in traverse.affected_files(changed, needs, scopes).collect()} == {"a", "b", "c", "x"}
+
+
+def test_impact_takes_the_first_way(spark):
+    nodes = spark.createDataFrame([("Repo", "class", "f"), ("Repo.fetch", "method", "Repo"), ("Mem.fetch", "method", None), ("use", "function", None), ("f", "file", None)], "id string, kind string, parent string")
+    edges = spark.createDataFrame([("Repo", "Repo.fetch", "contains"), ("Mem.fetch", "Repo.fetch", "overrides"), ("use", "Repo.fetch", "calls"), ("gone", "Repo.fetch", "calls")], "source string, target string, kind string")
+    seeds = spark.createDataFrame([("Mem.fetch",), ("absent",)], "id string")
+    found = {r.id: (r.distance, r.via, r.reason) for r in traverse.impact(seeds, edges, nodes).collect()}
+    assert found == {"Mem.fetch": (0, None, None), "Repo.fetch": (1, "Mem.fetch", "dispatch_contract"), "use": (2, "Repo.fetch", "calls"), "Repo": (2, "Repo.fetch", "container_of_affected_member")}
+    assert {r.id for r in traverse.impact(seeds, edges, nodes, 1).collect()} == {"Mem.fetch", "Repo.fetch"}
+    ways = {r.id: r.path for r in traverse.paths(traverse.impact(seeds, edges, nodes)).collect()}
+    assert ways["use"] == ["Mem.fetch", "Repo.fetch", "use"] and len(ways) == 4
+
+
+def test_closure_ends_on_circles(spark):
+    edges = spark.createDataFrame([("b", "a", "extends"), ("c", "b", "implements"), ("a", "c", "with"), ("d", "c", "calls")], "source string, target string, kind string")
+    starts = spark.createDataFrame([("a",)], "id string")
+    assert {r.id: r.distance for r in traverse.implementations(starts, edges).collect()} == {"b": 1, "c": 2}
+
+
+def test_relation_text_order_puts_line_10_before_9(spark):
+    rows = spark.createDataFrame([("x", 9), ("x", 10)], "name string, line int")
+    assert [r.line for r in rows.orderBy(*graph.row_text_order("name", "line")).collect()] == [10, 9]
+
+
+def test_code_unit_order(spark):
+    rows = spark.createDataFrame([("Ｚ.dart",), ("😀.dart",)], "file string")
+    assert rows.orderBy(scalars.utf16_order("file")).first().file == "😀.dart"
+
+
+def test_terms_and_predicates(spark):
+    row = spark.range(1).selectExpr("'lib/UserRepository.fetch_value réseau' t", "'a/b/c_test.go' p")
+    got = row.select(scalars.terms("t").alias("t"), scalars.language("p").alias("l"), scalars.test_path("p").alias("x"), scalars.under("p", "a/b").alias("u"), scalars.under("p", "a/b/c").alias("v"), scalars.directory("p").alias("d")).first()
+    assert set(got.t) == {"lib", "user", "repository", "userrepository", "fetch", "value", "réseau"} and (got.l, got.x, got.u, got.v, got.d) == ("go", True, True, False, "b")
+
+
+def test_resolve_takes_the_least_tier(spark):
+    nodes = spark.createDataFrame([("f::A.m#method", "method", "f", "A.m", "m"), ("g::m#function", "function", "g", "m", "m"), ("f::file", "file", "f", "f", "f")], "id string, kind string, file string, qualified string, name string")
+    wanted = spark.createDataFrame([("f::A.m#method",), ("f",), ("A.m",), ("m",), ("none",), (None,)], "target string")
+    found = {r.target: (r.tier, r.n_matches, r.id) for r in graph.resolve(wanted, nodes).collect()}
+    assert found == {"f::A.m#method": (0, 1, "f::A.m#method"), "f": (1, 1, "f::file"), "A.m": (2, 1, "f::A.m#method"), "m": (2, 1, "g::m#function"), "none": (None, 0, None)}
+
+
+def test_moved_lines(spark):
+    old = spark.createDataFrame([("f", "a\nb\nb\nc")], "file string, text string")
+    new = spark.createDataFrame([("f", "x\r\na\r\nc\r\nb")], "file string, text string")
+    assert {(r.old_line, r.new_line) for r in diff.moved_lines(old, new).collect()} == {(1, 2), (4, 3)}
+
+
+def test_overlap_score(spark):
+    docs = spark.createDataFrame([("f", 1, ["alpha", "beta"], ["f"]), ("f", 2, ["alpha"], ["f"])], "file string, line int, terms array<string>, field_terms array<string>")
+    best = lexical.rank(docs, "beta alpha", ranking="overlap").collect()
+    assert [r.line for r in best] == [1, 2] and best[1].score == pytest.approx(math.log(3 / 3) + 1)
+    with pytest.raises(ValueError):
+        lexical.rank(docs, "...")
+
+
+def test_evidence_keeps_the_first_section_and_all_reasons(spark):
+    rows = [("a", "b", "calls", "f", 1, 2, "resolved", s, r) for s, r in (("usages", "calls"), ("contracts", "x"), ("usages", "calls"))]
+    df = spark.createDataFrame(rows, "source string, target string, kind string, file string, line long, start_offset long, confidence string, section string, reason string")
+    row = evidence.required(evidence.deduplicate(df)).first()
+    assert (row.section, row.also_sections, row.reason, row.n_found, row.required) == ("contracts", "usages", "calls; x", 3, True) and len(row.evidence_id) == 16
+
+
+def test_page_stops_at_the_files(spark):
+    rows = [("a", "b", "calls", f"f{i // 2}", i, i, "resolved", "usages", "calls") for i in range(10)]
+    df = evidence.deduplicate(spark.createDataFrame(rows, "source string, target string, kind string, file string, line long, start_offset long, confidence string, section string, reason string"))
+    got = evidence.first_page(df, max_items=8, max_files=2).collect()
+    assert {r.file for r in got} == {"f0", "f1"} and sorted(r.position for r in got) == [1, 2, 3, 4]
+
+
+def test_dictionary_is_dense_and_ordered(spark):
+    rows = spark.createDataFrame([(v,) for v in ["b", "a", "ü", "aa", "a", None, "a-long-value-1", "a-long-value-2"]], "file string")
+    found = {r.value: (r.code, r.n) for r in evidence.dictionary(rows, "file").collect()}
+    assert found == {"a": (0, 2), "a-long-value-1": (1, 1), "a-long-value-2": (2, 1), "aa": (3, 1), "b": (4, 1), "ü": (5, 1)}
+
+
+def test_bootstrap_is_seeded_and_holds_the_ratio(spark):
+    pairs = spark.createDataFrame([("m", i, float(i + 1), 2.0 * (i + 1)) for i in range(30)] + [("none", 1, 0.0, 1.0)], "metric string, task int, a double, b double")
+    got = {r.metric: r for r in accounting.paired_bootstrap(pairs, 200).collect()}
+    assert got["m"].ratio == pytest.approx(2) and got["m"].low == pytest.approx(2) and got["none"].ratio is None and got["none"].low is None
+
+
+def test_deltas_skip_repeats_and_start_again_after_a_fall(spark):
+    rows = [(1, i, T(2025, 1, 1, 0, i), v) for i, v in enumerate([5.0, 5.0, 9.0, 2.0, 3.0])]
+    df = spark.createDataFrame(rows, "user_id long, event_id long, ts timestamp_ntz, value double")
+    assert [(r.event_id, r.segment, r.delta) for r in accounting.counter_deltas(df).orderBy("event_id").collect()] == [(0, 1, 5.0), (2, 1, 4.0), (3, 2, 2.0), (4, 2, 1.0)]
