@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from symweave.functions.scalars import directory, language, utf16_order
+from symweave.functions.scalars import directory, language, repository, utf16_order
 
 NODE = ["id", "name", "kind", "file", "line", "qualified", "end_line", "start_offset", "length", "parent", "tags", "synthetic"]
 IDENTITY = ["source", "target", "kind", "file", "start_offset"]
@@ -184,3 +184,41 @@ def ranked_callers(edges: DataFrame, nodes: DataFrame, k: int = 3) -> DataFrame:
     calls = calls.join(nodes.select("id"), F.col("source") == F.col("id"), "left_semi")
     by = Window.partitionBy("target").orderBy(F.desc("n"), "source")
     return calls.withColumn("place", F.row_number().over(by)).where(F.col("place") <= k)
+
+
+def structural_implementations(nodes: DataFrame, holders: tuple[str, ...] = ("class", "struct")) -> DataFrame:
+    """``(id, interface)``: classes and structs that have a method of every name that an interface's methods have; division by counts.
+
+    Names are distinct per holder, and an interface without methods has no implementations. Only names of interfaces meet the join.
+    """
+    methods = nodes.where("kind = 'method' and parent is not null").select("parent", "name").distinct()
+    asked = methods.join(nodes.where("kind = 'interface'").select(F.col("id").alias("interface")), F.col("parent") == F.col("interface")).select("interface", "name")
+    needed = asked.groupBy("interface").agg(F.count("*").alias("needed"))
+    owners = nodes.where(F.col("kind").isin(list(holders))).select("id")
+    had = methods.join(owners, methods["parent"] == owners["id"]).select("id", F.col("name").alias("had"))
+    met = asked.join(had, F.col("name") == F.col("had")).groupBy("id", "interface").agg(F.count("*").alias("n"))
+    return met.join(needed, "interface").where("n = needed").select("id", "interface")
+
+
+def health(files: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``(repo, n_files, n_symbols, n_edges, n_unresolved, n_diagnostics)`` per repository; each table is counted on its own before the joins."""
+    newest = files.where(F.col("file").isNotNull()).groupBy("file").agg(F.max(F.struct("indexed_at", "unresolved_calls", "diagnostics")).alias("f"))
+    a = newest.groupBy(repository("file").alias("repo")).agg(F.count("*").alias("n_files"), F.coalesce(F.sum("f.unresolved_calls"), F.lit(0)).alias("n_unresolved"), F.sum(F.coalesce(F.size("f.diagnostics"), F.lit(0))).alias("n_diagnostics"))
+    b = nodes.where("kind not in ('file', 'external')").groupBy(repository("file").alias("r")).agg(F.count("*").alias("n_symbols"))
+    c = edges.groupBy(repository("file").alias("q")).agg(F.count("*").alias("n_edges"))
+    met = a.join(b, F.col("repo") == F.col("r"), "left").join(c, F.col("repo") == F.col("q"), "left")
+    return met.select("repo", "n_files", F.coalesce("n_symbols", F.lit(0)).alias("n_symbols"), F.coalesce("n_edges", F.lit(0)).alias("n_edges"), "n_unresolved", "n_diagnostics")
+
+
+def redelivered(edges: DataFrame) -> DataFrame:
+    """``(edge_id, copies, versions)`` of edges that came more than once: equal rows and different ones, by a digest of the row."""
+    rows = edges.groupBy("edge_id", F.xxhash64("source", "target", "kind", "file", "line", "start_offset", "confidence", "indexed_at", "received_at").alias("v")).agg(F.count("*").alias("n"))
+    return rows.groupBy("edge_id").agg(F.sum("n").alias("copies"), F.count("*").alias("versions")).where("copies > 1")
+
+
+def multiset_difference(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Rows of two tables of equal columns that do not balance, with ``side`` a or b and how many are left over; one signed count."""
+    columns = a.columns
+    both = a.withColumn("_w", F.lit(1)).unionByName(b.select(*columns).withColumn("_w", F.lit(-1)))
+    net = both.groupBy(*columns).agg(F.sum("_w").alias("_n")).where("_n <> 0")
+    return net.select(*columns, F.when(F.col("_n") > 0, "a").otherwise("b").alias("side"), F.abs("_n").alias("left_over"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from symweave.functions.scalars import CONTAINERS, utf16_order
+from symweave.functions.scalars import CONTAINERS, test_path, utf16_order
 from symweave.session import Levels, stage
 
 #: Relations that carry a change from the target to the source.
@@ -113,3 +113,24 @@ def interval_islands(windows: DataFrame, key: str = "file", gap: int = 1) -> Dat
     before = F.max("end_line").over(order.rowsBetween(Window.unboundedPreceding, -1))
     marked = distinct.withColumn("new", F.when(before.isNull() | (F.col("start_line") > before + gap), 1).otherwise(0)).withColumn("island", F.sum("new").over(order))
     return marked.groupBy(key, "island").agg(F.min("start_line").alias("start_line"), F.max("end_line").alias("end_line"), F.sum("n").alias("n_windows")).drop("island")
+
+
+def contracts(starts: DataFrame, edges: DataFrame, depth: int = 6) -> DataFrame:
+    """``(start, id, distance)``: declarations bound to the starts by overrides in either direction, within ``depth`` steps."""
+    pairs = edges.where("kind = 'overrides'").select("source", "target")
+    both = pairs.unionByName(pairs.select(F.col("target").alias("source"), F.col("source").alias("target"))).withColumn("kind", F.lit("overrides"))
+    return closure(starts, both, ["overrides"], depth=depth)
+
+
+def flow(starts: DataFrame, edges: DataFrame, depth: int = 3) -> DataFrame:
+    """``(start, id, distance)``: what the starts call, over calls, and over overrides in either direction, within ``depth`` steps."""
+    out = edges.where("kind in ('calls', 'overrides')").select("source", "target")
+    back = edges.where("kind = 'overrides'").select(F.col("target").alias("source"), F.col("source").alias("target"))
+    return closure(starts, out.unionByName(back).withColumn("kind", F.lit("flow")), ["flow"], reverse=False, depth=depth)
+
+
+def tests_of(starts: DataFrame, edges: DataFrame, nodes: DataFrame, depth: int = 4) -> DataFrame:
+    """``(start, id, file, distance)``: nodes of files that look like tests and reach the starts over references, calls and overrides."""
+    reached = closure(starts, edges, ["references", "calls", "overrides"], depth=depth).withColumnRenamed("id", "node")
+    places = nodes.where(test_path("file")).select("id", "file")
+    return reached.join(places, F.col("node") == F.col("id")).select("start", "id", "file", "distance")

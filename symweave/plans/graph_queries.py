@@ -100,6 +100,31 @@ def graph_ranked_callers(s, d):
     return graph.ranked_callers(_edges(s, d), _nodes(s, d))
 
 
+def graph_health(s, d):
+    return graph.health(table(s, d, "files"), _nodes(s, d), _edges(s, d))
+
+
+def graph_redelivered(s, d):
+    return graph.redelivered(table(s, d, "edges"))
+
+
+def graph_multiset(s, d):
+    columns = ["source", "target", "kind", "file", "start_offset"]
+    return graph.multiset_difference(table(s, d, "edges").select(*columns), _edges(s, d).select(*columns))
+
+
+def closure_contracts(s, d):
+    return traverse.contracts(table(s, d, "library_nodes").select("id"), _edges(s, d), 3)
+
+
+def closure_flow(s, d):
+    return traverse.flow(_nodes(s, d).where("kind = 'function' and removed_at is not null").select("id"), _edges(s, d))
+
+
+def closure_tests(s, d):
+    return traverse.tests_of(_removed(s, d), _edges(s, d), _nodes(s, d))
+
+
 def closure_implementations(s, d):
     return traverse.implementations(table(s, d, "library_nodes").select("id"), _edges(s, d))
 
@@ -253,6 +278,10 @@ def stream_sessions(s, d):
     return changes.sessions(table(s, d, "events"))
 
 
+def stream_sliding(s, d):
+    return changes.sliding(table(s, d, "events")).drop("users")
+
+
 def stream_dedup(s, d):
     return changes.deduplicated(s, d)
 
@@ -372,6 +401,25 @@ ORACLES = {
     "closure_implementations": f"""with recursive {_E}, st as (select distinct target a, source b from e where kind in ('extends', 'implements', 'with', 'overrides') and source is not null and target is not null),
       r as (select distinct id as start, id, 0 d from library_nodes union select r.start, st.b, r.d + 1 from r join st on st.a = r.id where r.d < 40)
       select start, id, cast(min(d) as int) distance from r group by start, id having min(d) > 0""",
+    "graph_health": f"""with {_N}, {_E}, fx as (select file, unresolved_calls, diagnostics, row_number() over (partition by file order by indexed_at desc nulls last) rn from files where file is not null),
+      a as (select split_part(file, '/', 1) repo, count(*) n_files, cast(coalesce(sum(unresolved_calls), 0) as bigint) n_unresolved, cast(sum(coalesce(len(diagnostics), 0)) as bigint) n_diagnostics from fx where rn = 1 group by 1),
+      b as (select split_part(file, '/', 1) repo, count(*) k from n where kind not in ('file', 'external') group by 1), c as (select split_part(file, '/', 1) repo, count(*) k from e group by 1)
+      select a.repo, n_files, coalesce(b.k, 0) n_symbols, coalesce(c.k, 0) n_edges, n_unresolved, n_diagnostics from a left join b using (repo) left join c using (repo)""",
+    "graph_redelivered": """with v as (select edge_id, source, target, kind, file, line, start_offset, confidence, indexed_at, received_at, count(*) n from edges group by all)
+      select edge_id, cast(sum(n) as bigint) copies, count(*) versions from v group by edge_id having sum(n) > 1""",
+    "graph_multiset": "select source, target, kind, file, start_offset, 'a' side, count(*) - 1 left_over from edges group by all having count(*) > 1",
+    "closure_contracts": f"""with recursive {_N}, {_E}, st as (select source a, target b from e where kind = 'overrides' and source is not null and target is not null union select target, source from e where kind = 'overrides' and source is not null and target is not null),
+      r as (select distinct id as start, id, 0 d from library_nodes union select r.start, st.b, r.d + 1 from r join st on st.a = r.id where r.d < 3)
+      select start, id, cast(min(d) as int) distance from r group by start, id having min(d) > 0""",
+    "closure_flow": f"""with recursive {_N}, {_E}, st as (select source a, target b from e where kind in ('calls', 'overrides') and source is not null and target is not null union select target, source from e where kind = 'overrides' and source is not null and target is not null),
+      r as (select distinct id as start, id, 0 d from n where kind = 'function' and removed_at is not null union select r.start, st.b, r.d + 1 from r join st on st.a = r.id where r.d < 3)
+      select start, id, cast(min(d) as int) distance from r group by start, id having min(d) > 0""",
+    "closure_tests": f"""with recursive {_N}, {_E}, st as (select distinct target a, source b from e where kind in ('references', 'calls', 'overrides') and source is not null and target is not null),
+      r as (select id as start, id, 0 d from n where removed_at is not null and kind <> 'file' union select r.start, st.b, r.d + 1 from r join st on st.a = r.id where r.d < 4),
+      m as (select start, id, cast(min(d) as int) distance from r group by start, id having min(d) > 0)
+      select m.start, m.id, n.file, m.distance from m join n on n.id = m.id where regexp_matches(n.file, '(^|/)(tests?|integration_test|__tests__)/|_test\\.|\\.test\\.|\\.spec\\.|Test\\.(java|kt)$')""",
+    "stream_sliding": """with x as (select event_type, date_trunc('day', ts) as day from events), y as (select event_type, day started from x union all select event_type, day - interval 1 day from x),
+      z as (select event_type, started, count(*) n from y group by all) select event_type, started, n from z""",
     "closure_impact": _impact(6),
     "diff_files": f"""with {_V}, a as (select * from v where snapshot_no = 1), b as (select * from v where snapshot_no = 5)
       select coalesce(b.file, a.file) file, case when b.file is null then 'deleted' else 'changed' end change from a full join b on a.file = b.file where a.file is null or b.file is null or lower(a.hash) is distinct from lower(b.hash)""",

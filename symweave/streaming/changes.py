@@ -83,3 +83,10 @@ def maintained_index(spark: SparkSession, d: str) -> DataFrame:
 
     _run(event_stream(spark, d).select("event_id", "user_id", "ts").writeStream.foreachBatch(apply), spark)
     return kept.read().select("user_id", "last_at", "n")
+
+
+def sliding(events: DataFrame, width: str = "2 days", step: str = "1 day") -> DataFrame:
+    """``(event_type, started, n, users)`` in overlapping windows of event time; an event falls in every window that holds it. Works on tables and streams."""
+    w = F.window(F.col("ts").cast("timestamp"), width, step)
+    rows = events.groupBy(w.alias("w"), "event_type").agg(F.count("*").alias("n"), F.approx_count_distinct("user_id", 0.01).alias("users"))
+    return rows.select("event_type", F.col("w.start").cast("timestamp_ntz").alias("started"), "n", "users")

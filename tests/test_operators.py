@@ -130,3 +130,14 @@ def test_deltas_skip_repeats_and_start_again_after_a_fall(spark):
     rows = [(1, i, T(2025, 1, 1, 0, i), v) for i, v in enumerate([5.0, 5.0, 9.0, 2.0, 3.0])]
     df = spark.createDataFrame(rows, "user_id long, event_id long, ts timestamp_ntz, value double")
     assert [(r.event_id, r.segment, r.delta) for r in accounting.counter_deltas(df).orderBy("event_id").collect()] == [(0, 1, 5.0), (2, 1, 4.0), (3, 2, 2.0), (4, 2, 1.0)]
+
+
+def test_structural_implementations_need_every_method(spark):
+    rows = [("I", "interface", "I", None), ("I.a", "method", "a", "I"), ("I.b", "method", "b", "I"), ("E", "interface", "E", None), ("A", "class", "A", None), ("A.a", "method", "a", "A"), ("A.b", "method", "b", "A"), ("A.c", "method", "c", "A"), ("B", "struct", "B", None), ("B.a", "method", "a", "B"), ("B.a2", "method", "a", "B")]
+    nodes = spark.createDataFrame(rows, "id string, kind string, name string, parent string")
+    assert [tuple(r) for r in graph.structural_implementations(nodes).collect()] == [("A", "I")]
+
+
+def test_multiset_difference(spark):
+    a, b = spark.createDataFrame([(1,), (1,), (2,), (None,)], "x int"), spark.createDataFrame([(1,), (3,), (None,)], "x int")
+    assert {tuple(r) for r in graph.multiset_difference(a, b).collect()} == {(1, "a", 1), (2, "a", 1), (3, "b", 1)}
