@@ -9,16 +9,30 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+_ORDER = ["ts", "event_id"]
+
+
+def _by_slice(rows: DataFrame, slice_: str = "date_trunc('hour', ts)") -> tuple[DataFrame, Window, Window]:
+    """Rows of a user cut into slices of time, so that a user with a third of all events is many short windows: (rows, within a slice, over the slices)."""
+    return rows.withColumn("slice", F.expr(slice_)), Window.partitionBy("user_id", "slice").orderBy(*_ORDER), Window.partitionBy("user_id").orderBy("slice")
+
+
 def counter_deltas(events: DataFrame) -> DataFrame:
     """``(user_id, event_id, segment, delta)`` of cumulative counters: equal repeats give nothing, a fall starts a new segment with its own value.
 
-    One window per user in order of time and id; value is the counter.
+    Windows reach over one user's slice of time; the last value of the slice before and the number of falls up to it come from one row per slice. value is the counter.
     """
-    by = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    rows = events.select("user_id", "event_id", "ts", "value", F.lag("value").over(by).alias("old"))
+    rows, inside, over = _by_slice(events.select("user_id", "event_id", "ts", "value"))
+    ends = rows.groupBy("user_id", "slice").agg(F.max_by("value", F.struct(*_ORDER)).alias("end"))
+    given = ends.select("user_id", "slice", F.lag("end").over(over).alias("given"))
+    rows = rows.join(given, ["user_id", "slice"]).withColumn("first", F.row_number().over(inside) == 1)
+    rows = rows.withColumn("old", F.when(F.col("first"), F.col("given")).otherwise(F.lag("value").over(inside)))
     reset = F.col("old").isNull() | (F.col("value") < F.col("old"))
-    rows = rows.withColumn("segment", F.sum(reset.cast("int")).over(by)).withColumn("delta", F.when(reset, F.col("value")).otherwise(F.col("value") - F.col("old")))
-    return rows.where(reset | (F.col("delta") != 0)).select("user_id", "event_id", "segment", F.round("delta", 4).alias("delta"))
+    rows = rows.withColumn("reset", reset.cast("int"))
+    falls = rows.groupBy("user_id", "slice").agg(F.sum("reset").alias("falls"))
+    earlier = falls.select("user_id", "slice", F.coalesce(F.sum("falls").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("earlier"))
+    rows = rows.join(earlier, ["user_id", "slice"]).withColumn("segment", F.col("earlier") + F.sum("reset").over(inside)).withColumn("delta", F.when(F.col("reset") == 1, F.col("value")).otherwise(F.col("value") - F.col("old")))
+    return rows.where("reset = 1 or delta <> 0").select("user_id", "event_id", "segment", F.round("delta", 4).alias("delta"))
 
 
 def sums_with_unknowns(events: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
@@ -47,32 +61,49 @@ def campaign(events: DataFrame) -> DataFrame:
 
 
 def ledger(events: DataFrame, epoch: str = "date_trunc('day', ts)") -> DataFrame:
-    """``(event_type, status, n)``: an item (user and type) is ``new`` at its first event, ``rehydrated`` at its first in a later epoch, else ``repeated``."""
-    rows = events.select("user_id", "event_type", "ts", "event_id", F.expr(epoch).alias("epoch"))
-    ever = F.row_number().over(Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id"))
-    here = F.row_number().over(Window.partitionBy("user_id", "event_type", "epoch").orderBy("ts", "event_id"))
-    status = F.when(ever == 1, "new").when(here == 1, "rehydrated").otherwise("repeated")
-    return rows.select("event_type", status.alias("status")).groupBy("event_type", "status").agg(F.count("*").alias("n"))
+    """``(event_type, status, n)``: an item (user and type) is ``new`` at its first event, ``rehydrated`` at its first in a later epoch, else ``repeated``.
+
+    Counts only: an item has one new event, and one rehydrated event for each of its other epochs.
+    """
+    epochs = events.groupBy("event_type", "user_id", F.expr(epoch).alias("epoch")).agg(F.count("*").alias("n"))
+    items = epochs.groupBy("event_type", "user_id").agg(F.count("*").alias("epochs"), F.sum("n").alias("n"))
+    total = items.groupBy("event_type").agg(F.count("*").alias("new"), F.sum(F.col("epochs") - 1).alias("rehydrated"), F.sum(F.col("n") - F.col("epochs")).alias("repeated"))
+    return total.unpivot("event_type", ["new", "rehydrated", "repeated"], "status", "n").where("n > 0")
 
 
 def read_audit(events: DataFrame) -> DataFrame:
-    """``(verdict, n)`` over the views of each user: ``same`` if the last purchase had an equal value class, ``changed`` if not, ``unknown`` before any.
+    """``(verdict, n)`` over the other events of each user: ``same`` if the last purchase had an equal value class, ``changed`` if not, ``unknown`` before any.
 
-    The last write is carried forward in a window per user.
+    The last write is carried forward within a user's slice of time, and from slice to slice by one row each.
     """
-    by = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
     level = F.floor(F.col("value") / 10).cast("long")
-    rows = events.select("event_type", level.alias("level"), F.last(F.when(F.col("event_type") == "purchase", level), ignorenulls=True).over(by).alias("written"))
+    rows, inside, over = _by_slice(events.select("user_id", "event_id", "ts", (F.col("event_type") == "purchase").alias("write"), level.alias("level")))
+    ends = rows.groupBy("user_id", "slice").agg(F.max_by("level", F.when(F.col("write"), F.struct(*_ORDER))).alias("end"))
+    given = ends.select("user_id", "slice", F.last("end", ignorenulls=True).over(over.rowsBetween(Window.unboundedPreceding, -1)).alias("given"))
+    before = F.last(F.when(F.col("write"), F.col("level")), ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.join(given, ["user_id", "slice"]).withColumn("written", F.coalesce(before, "given"))
     verdict = F.when(F.col("written").isNull(), "unknown").when(F.col("written") == F.col("level"), "same").otherwise("changed")
-    return rows.where("event_type <> 'purchase'").groupBy(verdict.alias("verdict")).agg(F.count("*").alias("n"))
+    return rows.where("not write").groupBy(verdict.alias("verdict")).agg(F.count("*").alias("n"))
 
 
-def percentiles(events: DataFrame) -> DataFrame:
-    """``(event_type, n, median, p95)`` by place in the sorted values: n // 2 and n * 95 // 100."""
-    by = Window.partitionBy("event_type")
-    rows = events.where("value is not null").select("event_type", "value", (F.row_number().over(by.orderBy("value")) - 1).alias("place"), F.count("*").over(by).alias("n"))
-    at = lambda x: F.max(F.when(F.col("place") == x, F.col("value")))
-    return rows.groupBy("event_type").agg(F.max("n").alias("n"), at(F.floor(F.col("n") / 2)).alias("median"), at(F.floor(F.col("n") * 95 / 100)).alias("p95"))
+def percentiles(events: DataFrame, buckets: int = 1024) -> DataFrame:
+    """``(event_type, n, median, p95)`` by place in the sorted values: n // 2 and n * 95 // 100.
+
+    Values are counted in equal ranges of a type, the ranges that hold the places are found from the counts, and only their distinct values are ordered.
+    """
+    rows = events.where("value is not null").select("event_type", "value")
+    ends = rows.groupBy("event_type").agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.count("*").alias("n"))
+    values = rows.groupBy("event_type", "value").agg(F.count("*").alias("c")).join(ends, "event_type")
+    values = values.withColumn("bucket", F.coalesce(F.floor(F.try_divide((F.col("value") - F.col("lo")) * (buckets - 1), F.col("hi") - F.col("lo"))), F.lit(0)))
+    by = Window.partitionBy("event_type").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counts = values.groupBy("event_type", "bucket").agg(F.sum("c").alias("b")).withColumn("before", F.sum("b").over(by) - F.col("b"))
+    places = ends.select("event_type", "n", F.posexplode(F.array(F.floor(F.col("n") / 2), F.floor(F.col("n") * 95 / 100))).alias("which", "place"))
+    asked = places.join(counts, "event_type").where((F.col("place") >= F.col("before")) & (F.col("place") < F.col("before") + F.col("b")))
+    inside = Window.partitionBy("event_type", "which").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    near = asked.join(values.select("event_type", "bucket", "value", "c"), ["event_type", "bucket"]).withColumn("upto", F.col("before") + F.sum("c").over(inside))
+    hit = near.where(F.col("upto") > F.col("place")).groupBy("event_type", "n", "which").agg(F.min("value").alias("v"))
+    pick = lambda k: F.max(F.when(F.col("which") == k, F.col("v")))
+    return hit.groupBy("event_type", "n").agg(pick(0).alias("median"), pick(1).alias("p95"))
 
 
 def paired_bootstrap(pairs: DataFrame, resamples: int = 1000, seed: int = 7) -> DataFrame:

@@ -114,7 +114,7 @@ def graph_multiset(s, d):
 
 
 def closure_contracts(s, d):
-    return traverse.contracts(table(s, d, "library_nodes").select("id"), _edges(s, d), 3)
+    return traverse.contracts(_edges(s, d).where("kind = 'overrides'").select(F.col("target").alias("id")).where("id is not null"), _edges(s, d), 3)
 
 
 def closure_flow(s, d):
@@ -409,7 +409,7 @@ ORACLES = {
       select edge_id, cast(sum(n) as bigint) copies, count(*) versions from v group by edge_id having sum(n) > 1""",
     "graph_multiset": "select source, target, kind, file, start_offset, 'a' side, count(*) - 1 left_over from edges group by all having count(*) > 1",
     "closure_contracts": f"""with recursive {_N}, {_E}, st as (select source a, target b from e where kind = 'overrides' and source is not null and target is not null union select target, source from e where kind = 'overrides' and source is not null and target is not null),
-      r as (select distinct id as start, id, 0 d from library_nodes union select r.start, st.b, r.d + 1 from r join st on st.a = r.id where r.d < 3)
+      r as (select distinct target as start, target id, 0 d from e where kind = 'overrides' and target is not null union select r.start, st.b, r.d + 1 from r join st on st.a = r.id where r.d < 3)
       select start, id, cast(min(d) as int) distance from r group by start, id having min(d) > 0""",
     "closure_flow": f"""with recursive {_N}, {_E}, st as (select source a, target b from e where kind in ('calls', 'overrides') and source is not null and target is not null union select target, source from e where kind = 'overrides' and source is not null and target is not null),
       r as (select distinct id as start, id, 0 d from n where kind = 'function' and removed_at is not null union select r.start, st.b, r.d + 1 from r join st on st.a = r.id where r.d < 3)
