@@ -93,9 +93,10 @@ class VersionedTable:
         stream = self.fs.create(fresh, True)
         stream.write(bytearray(name.encode()))
         stream.close()
-        if self.fs.exists(self._pointer()):
-            self.fs.delete(self._pointer(), False)
-        self.fs.rename(fresh, self._pointer())
+        hadoop = self.spark._jvm.org.apache.hadoop.fs
+        how = self.spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 1)
+        how[0] = hadoop.Options.Rename.OVERWRITE
+        hadoop.FileContext.getFileContext(self.fs.getUri(), self.spark._jsc.hadoopConfiguration()).rename(fresh, self._pointer(), how)
         return name
 
     def upsert(self, rows: DataFrame, deleted: DataFrame | None = None, key: str = "file") -> str:
