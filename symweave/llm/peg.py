@@ -65,6 +65,26 @@ def _one(items: list, at: list[int]) -> tuple:
     return out
 
 
+#: A rule that is used once needs no memory of its own, as the rule around it has one, nor does a choice of tokens; down to this depth their code stands in place.
+INLINE = 24
+
+
+def _count(node: tuple, uses: dict[str, int]) -> None:
+    """How often each rule is named below ``node``."""
+    if node[0] == "rule":
+        uses[node[1]] = uses.get(node[1], 0) + 1
+    elif node[0] in ("seq", "or"):
+        for part in node[1]:
+            _count(part, uses)
+    elif node[0] in ("?", "*", "+", "&", "!"):
+        _count(node[1], uses)
+
+
+def _plain(node: tuple) -> bool:
+    """Whether a rule is a choice of tokens, which is quicker to read again than to remember."""
+    return node[0] in ("text", "kind", "nl") or (node[0] == "or" and all(o[0] in ("text", "kind") for o in node[1]))
+
+
 class Grammar:
     """A compiled grammar: :meth:`parse` gives whether rule ``file`` takes the whole input."""
 
@@ -72,6 +92,10 @@ class Grammar:
         self.rules = _read(text)
         self.lines: list[str] = []
         self.fresh = 0
+        uses: dict[str, int] = {}
+        for node in self.rules.values():
+            _count(node, uses)
+        self.once = {n for n in self.rules if n != "file" and (uses.get(n) == 1 or _plain(self.rules[n]))}
         source = []
         for track in (False, True):
             source.append(f"def make_{int(track)}(K, X, N, far):")
@@ -102,7 +126,10 @@ class Grammar:
         elif kind == "rule":
             if node[1] not in self.rules:
                 raise ValueError(f"no rule {node[1]}")
-            add(f"{pad}i = r_{node[1]}(i)")
+            if node[1] in self.once and depth <= INLINE:
+                self._emit(self.rules[node[1]], depth, track)
+            else:
+                add(f"{pad}i = r_{node[1]}(i)")
         elif kind == "seq":
             if not node[1]:
                 add(f"{pad}pass")
