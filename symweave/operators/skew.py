@@ -11,6 +11,8 @@ from symweave.session import width
 
 #: Light keys are packed by hash bucket, so the plan has at most this many entries besides the large keys.
 BUCKETS = 4096
+#: A task gets about this many rows, as long as there are no more than four times as many tasks as shuffle partitions.
+ROWS_PER_TASK = 100_000
 
 
 def pack(loads: list[tuple[object, int]], tasks: int, least: int = 1) -> tuple[dict, dict]:
@@ -83,7 +85,8 @@ def skewed_key_report(edges: DataFrame, nodes: DataFrame | None = None, *, key:
     is not removed, then the latest, then the greatest name; one without a node gets nulls.
     """
     spark = edges.sparkSession
-    tasks = tasks or width(spark)
+    most = width(spark)
+    tasks = tasks or max(most, min(4 * most, edges.count() // ROWS_PER_TASK))
     rows = edges.select(F.col(key).alias("_key"), F.col(group).alias("_group"), *[F.col(c).alias(f"_v{i}") for i, c in enumerate(distinct)])
     large, small, total = load_plan(rows, "_key", tasks)
     big, rest = _plan_frames(spark, "_key", rows.schema["_key"].dataType.simpleString(), large, small)
