@@ -36,8 +36,9 @@ def directory(file: str | Column) -> Column:
 
 def terms(text: str | Column) -> Column:
     """The distinct terms of a text: words of letters and digits in lower case, and the pieces of words in camel case."""
-    words = F.regexp_extract_all(text, F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
-    pieces = F.flatten(F.transform(words, lambda w: F.split(w, r"(?<=[\p{Ll}\p{N}])(?=\p{Lu})")))
+    word = F.lit(r"([\p{L}\p{N}]+)")
+    words = F.regexp_extract_all(text, word, F.lit(1))
+    pieces = F.regexp_extract_all(F.regexp_replace(text, r"(?<=[\p{Ll}\p{N}])(?=\p{Lu})", " "), word, F.lit(1))
     return F.array_distinct(F.transform(F.concat(words, pieces), F.lower))
 
 

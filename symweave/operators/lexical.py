@@ -12,8 +12,8 @@ def line_documents(sources: DataFrame) -> DataFrame:
     """``(file, line, terms, field_terms)``: one document per line that has a term; its terms are those of the line and of the path."""
     texts = sources.where("file is not null and text is not null").groupBy("file").agg(F.max("text").alias("text"))
     lines = texts.select("file", terms("file").alias("field_terms"), F.posexplode(F.split(F.regexp_replace("text", "\r\n", "\n"), "\n")).alias("n", "body"))
-    rows = lines.select("file", (F.col("n") + 1).alias("line"), terms("body").alias("own"), "field_terms").where(F.size("own") > 0)
-    return rows.select("file", "line", F.array_union("own", "field_terms").alias("terms"), "field_terms")
+    rows = lines.where(F.col("body").rlike(r"[\p{L}\p{N}]"))
+    return rows.select("file", (F.col("n") + 1).alias("line"), F.array_union(terms("body"), "field_terms").alias("terms"), "field_terms")
 
 
 def document_frequencies(documents: DataFrame) -> DataFrame:
