@@ -24,7 +24,8 @@ loop = 'for' 'await'? '(' forhead ')' stmt / 'while' '(' expr ')' stmt / 'do' st
 forhead = (('var' / 'const' / 'let') pattern / lhs) ('of' assign / 'in' expr) / (var / expr)? ';' expr? ';' expr?
 switch = 'switch' '(' expr ')' '{' (('case' expr / 'default') ':' stmt*)* '}'
 try = 'try' block ('catch' ('(' pattern ')')? block ('finally' block)? / 'finally' block)
-var = ('var' / 'const' / 'let') bind (',' bind)*
+var = ('var' / 'let') bind (',' bind)* / 'const' constbind (',' constbind)*
+constbind = pattern '=' assign
 bind = pattern '=' assign / ID
 pattern = ID / '{' (pprop (',' pprop)* ','?)? '}' / '[' (','* pelem (','+ pelem)* ','*)? ']' / '[' ','* ']'
 pprop = '...' ID / propname ':' pattern ('=' assign)? / ID ('=' assign)?
@@ -94,6 +95,7 @@ tparams = '(' (tparam (',' tparam)* ','?)? ')'
 tparam = '...'? (pattern / 'this') '?'? typeann? ('=' assign)?
 string = STR / SB jsx? (SM jsx?)* SE
 jsx = '...' assign / expr
+constbind = bind
 bind = pattern '!'? typeann? '=' assign / ID '!'? typeann?
 try = 'try' block ('catch' ('(' pattern typeann? ')')? block ('finally' block)? / 'finally' block)
 forhead = (('var' / 'const' / 'let') pattern typeann? / lhs) ('of' assign / 'in' expr) / (var / expr)? ';' expr? ';' expr?
@@ -193,7 +195,8 @@ import = 'import' (impspec / '(' (impspec ';')* impspec? ')')
 impspec = ('.' / ID)? STR
 top = func / decl
 decl = 'const' group_c / 'var' group_v / 'type' group_t
-group_c = '(' (constspec ';')* constspec? ')' / constspec
+group_c = '(' (constfirst (';' constspec)* ';'?)? ')' / constfirst
+constfirst = idents type? '=' exprs
 group_v = '(' (varspec ';')* varspec? ')' / varspec
 group_t = '(' (typespec ';')* typespec? ')' / typespec
 constspec = idents (type? '=' exprs)?
@@ -249,40 +252,45 @@ stmts = stmt*
 stmt = compound / simples
 simples = simple (';' simple)* ';'? NEWLINE
 block = NEWLINE INDENT stmt+ DEDENT / simples
-simple = 'pass' / 'break' / 'continue' / 'return' stars? / 'raise' (expr ('from' expr)?)? / 'global' names / 'nonlocal' names / 'del' target_list / 'assert' expr (',' expr)? / import / typealias / assignment / stars
+simple = 'pass' / 'break' / 'continue' / 'return' stars? / 'raise' (expr ('from' expr)?)? / 'global' names / 'nonlocal' names / 'del' deltargets &(';' / NEWLINE) / 'assert' expr (',' expr)? / import / typealias / assignment / stars
 names = ID (',' ID)*
-target_list = target (',' target)* ','?
+deltargets = deltarget (',' deltarget)* ','?
+deltarget = place / ID / '(' deltarget ')' / '(' deltargets? ')' / '[' deltargets? ']'
 import = 'import' dotted ('as' ID)? (',' dotted ('as' ID)?)* / 'from' (('.' / '...')* dotted / ('.' / '...')+) 'import' ('*' / '(' impas (',' impas)* ','? ')' / impas (',' impas)*)
 dotted = ID ('.' ID)*
 impas = ID ('as' ID)?
 typealias = 'type' ID typeparams? '=' expr
-assignment = single ':' expr ('=' (yield / stars))? / single augop (yield / stars) / (targets '=')+ (yield / stars) !'='
-single = target / '(' single ')'
+assignment = (place / ID / '(' single ')') ':' expr ('=' (yield / stars))? / single augop (yield / stars) / (targets '=')+ (yield / stars) !'='
+single = place / ID / '(' single ')'
 augop = '+=' / '-=' / '*=' / '@=' / '/=' / '%=' / '&=' / '|=' / '^=' / '<<=' / '>>=' / '**=' / '//='
-targets = startarget (',' startarget)* ','? &'='
+targets = startarget (',' startarget)* ','?
 startarget = '*' target / target
-target = atom trailer* &('=' / ',' / ')' / ']' / 'in' / ':' / NEWLINE / ';' / '+=' / '-=' / '*=' / '@=' / '/=' / '%=' / '&=' / '|=' / '^=' / '<<=' / '>>=' / '**=' / '//=' / FE) !literal
-literal = '###'
+target = place / ID / '(' target ')' / '(' (startarget ',' targets?)? ')' / '[' targets? ']'
+place = atom (trailer &more)* ('.' ID / '[' slices ']') !more
+more = '.' / '(' / '['
 compound = decorated / func / class / if / while / for / try / with / match / 'async' (func / for / with)
 decorated = ('@' named NEWLINE)+ ('async'? func / class)
 func = 'def' ID typeparams? '(' params? ')' ('->' expr)? ':' block
 typeparams = '[' typeparam (',' typeparam)* ','? ']'
-typeparam = ('*' / '**')? ID (':' expr)? ('=' expr)?
+typeparam = '*' ID ('=' star)? / '**' ID ('=' expr)? / ID (':' expr)? ('=' expr)?
 params = pslash / pmain
-pslash = param (',' param)* ',' '/' (',' pmain?)? / '/' '###'
-pmain = param (',' param)* (',' pstar)? ','? / pstar ','?
+pslash = pplain (',' pplain)* ',' '/' (',' pmain?)? / (pplain ',')* pvalue (',' pvalue)* ',' '/' (',' (pvalues ','?)?)?
+pmain = pplain (',' pplain)* (',' pvalues)? ','? / pvalues ','?
+pvalues = pvalue (',' pvalue)* (',' pstar)? / pstar
 pstar = '*' (ID (':' '*'? expr)? (',' param)* / (',' param)+) (',' pkw)? / pkw
 pkw = '**' ID (':' expr)?
+pplain = ID (':' expr)? !'='
+pvalue = ID (':' expr)? '=' expr
 param = ID (':' expr)? ('=' expr)?
-class = 'class' ID typeparams? ('(' args? ')')? ':' block
+class = 'class' ID typeparams? ('(' (args ','?)? ')')? ':' block
 if = 'if' named ':' block ('elif' named ':' block)* ('else' ':' block)?
 while = 'while' named ':' block ('else' ':' block)?
-for = 'for' fortargets 'in' stars ':' block ('else' ':' block)?
-fortargets = startarget (',' startarget)* ','?
-try = 'try' ':' block (except+ ('else' ':' block)? ('finally' ':' block)? / 'finally' ':' block)
-except = 'except' '*'? (expr ((',' expr)* / 'as' ID))? ('as' ID)? ':' block
+for = 'for' targets 'in' stars ':' block ('else' ':' block)?
+try = 'try' ':' block ((except+ / exceptstar+) ('else' ':' block)? ('finally' ':' block)? / 'finally' ':' block)
+except = 'except' (expr ('as' ID / (',' expr)*))? ':' block
+exceptstar = 'except' '*' expr ('as' ID / (',' expr)*) ':' block
 with = 'with' ('(' withitem (',' withitem)* ','? ')' ':' / withitem (',' withitem)* ':') block
-withitem = expr 'as' target / expr
+withitem = expr 'as' startarget &(',' / ')' / ':') / expr
 match = 'match' subject ':' NEWLINE INDENT case+ DEDENT
 subject = named (',' named)* ','? / '*' expr ',' 
 case = 'case' cpats ('if' named)? ':' block
@@ -293,14 +301,22 @@ cprim = '-'? NUM (('+' / '-') NUM)? / STR+ / 'None' / 'True' / 'False' / '(' cpa
 ckey = '**' ID / (('-'? NUM / STR+ / 'None' / 'True' / 'False' / dotted) ':' cpat)
 cargs = carg (',' carg)* ','?
 carg = ID '=' cpat / cpat
-stars = yield / star (',' star)* ','?
+stars = yield / sole (',' sole)* ','?
+sole = '*' bitor / expr !':='
 star = '*' bitor / named
 yield = 'yield' ('from' expr / stars)?
 named = ID ':=' expr / expr !':='
 expr = lambda / or ('if' or 'else' expr)?
 lambda = 'lambda' lparams? ':' expr
-lparams = lparam (',' lparam)* ','?
-lparam = '*' ID? / '**' ID / '/' / ID ('=' expr)?
+lparams = lslash / lmain
+lslash = lplain (',' lplain)* ',' '/' (',' lmain?)? / (lplain ',')* lvalue (',' lvalue)* ',' '/' (',' (lvalues ','?)?)?
+lmain = lplain (',' lplain)* (',' lvalues)? ','? / lvalues ','?
+lvalues = lvalue (',' lvalue)* (',' lstar)? / lstar
+lstar = '*' (ID (',' lparam)* / (',' lparam)+) (',' lkw)? / lkw
+lkw = '**' ID
+lplain = ID !'='
+lvalue = ID '=' expr
+lparam = ID ('=' expr)?
 or = and ('or' and)*
 and = not ('and' not)*
 not = 'not' not / compare
@@ -309,19 +325,22 @@ compop = '==' / '!=' / '<=' / '>=' / '<' / '>' / 'not' 'in' / 'in' / 'is' 'not'
 bitor = unary (('|' / '^' / '&' / '<<' / '>>' / '+' / '-' / '*' / '/' / '//' / '%' / '@') unary)*
 unary = ('+' / '-' / '~') unary / power
 power = 'await'? atom trailer* ('**' unary)?
-trailer = '.' ID / '(' args? ')' / '[' slices ']'
+trailer = '.' ID / '(' (args ','? ')' / named compfor ')' / ')') / '[' slices ']'
 slices = slice (',' slice)* ','?
 slice = expr? ':' expr? (':' expr?)? / '*' bitor / named
-args = arg (',' arg)* ','?
-arg = ID '=' expr / '**' expr / '*' expr / named compfor? 
-compfor = ('async'? 'for' fortargets 'in' or ('if' orl)*)+
+args = arg (',' arg)* (',' kwargs)? / kwargs
+kwargs = kwarg (',' kwarg)* (',' kwpart (',' kwpart)*)? / kwpart (',' kwpart)*
+arg = ('*' expr / named) !'='
+kwarg = ID '=' expr / '*' expr
+kwpart = ID '=' expr / '**' expr
+compfor = ('async'? 'for' targets 'in' or ('if' orl)*)+
 orl = or !'else'
 atom = ID / NUM / string / 'None' / 'True' / 'False' / '...' / group / list / dictset
 string = (STR field*)+
 field = FB (yield / stars) field* FE field*
-group = '(' (yield / named compfor / star (',' star)* ','?)? ')'
-list = '[' (star compfor / star (',' star)* ','?)? ']'
-dictset = '{' (pair (compfor / (',' pair)* ','?) / star (compfor / (',' star)* ','?))? '}'
+group = '(' (yield / named compfor / star ',' (star (',' star)* ','?)? / named)? ')'
+list = '[' (named compfor / star (',' star)* ','?)? ']'
+dictset = '{' (expr ':' expr compfor / pair (',' pair)* ','? / named compfor / star (',' star)* ','?)? '}'
 pair = '**' bitor / expr ':' expr
 """
 
@@ -493,7 +512,7 @@ suffix0 = '.' (ID / KW / NUM) typeargs2? / ~ args / ~ '[' (arg (',' arg)* ','?)?
 """
 
 _KOTLIN = r"""
-file = fileanno* (package semis)? (import semis)* (stmt semis)* EOF
+file = fileanno* (package semis)? (import semis)* (decl semis)* EOF
 fileanno = '@' 'file' ':' (annobody / '[' annobody+ ']')
 semis = ';'+ / ^ ';'* / &'}' / &EOF
 package = anno* 'package' ident

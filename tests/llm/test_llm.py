@@ -66,6 +66,28 @@ def test_python_like_the_compiler():
         assert syntax.judge(text, "py")[0] == good, text
 
 
+PYTHON = """a.b = f().x = a[0] = 1|() = [] = (a,) = x|*a, (b, [c, d.e]) = x|(a): int = 1|a.b: int|(a.b) += 1|del a, b[0], (c.d, e), [g], ()|for a.b, (c, *d) in x: pass|with (a as b, c as d.e,): pass|f(a, *b, c=1, *d, e=2, **g, h=3)
+f(x for x in y)|f(a := 1, (x for x in y))|def f(a, b=1, /, c=2, *d, e, g=1, **h): pass|def f(a, /, b, c=1, *, d): pass|lambda a, b=1, /, c=2, *d, e, **g: 0|class A(B, *C, m=M, **k): pass|x[a := 1, *b]|{**a, 'b': 1}|(*a,)
+f() = 1|1 = x|None = 2|f() += 1|(a, b) += 1|del f()|del *a|del (a, f())|for f() in x: pass|with a as f(): pass|[f() for f() in x]|a + b = 1|x if y else z = 1|'s' = 1|f'{x}' = 1|lambda: x = 1|(f()) = 1|(a, b): int = 1|x := 1|x = y := 1|f(a=1, b)|f(**a, b)|f(**a, *b)
+f(x for x in y, 1)|class A(x for x in y): pass|def f(a=1, b): pass|def f(a=1, /, b): pass|def f(*a=1): pass|lambda a=1, b: 0|def f[*T: int](): pass|[*a for a in b]|{**a for a in b}|(*a)""".replace("\n", "|").split("|")
+
+
+@pytest.mark.parametrize("text", [*PYTHON, *[f"try: pass\nexcept{a} A: pass\nexcept{b} B: pass" for a in ("", "*") for b in ("", "*")], "try: pass\nexcept*: pass"])
+def test_python_targets_and_arguments_like_the_compiler(text):
+    try:
+        ast.parse(text)
+        good = True
+    except SyntaxError:
+        good = False
+    assert syntax.judge(text + "\n", "py")[0] == good
+
+
+@pytest.mark.parametrize(("text", "language", "good"), [("const x;", "js", False), ("const x = 1, y;", "js", False), ("let x; const y = 1; for (const z of y) {}", "js", True), ("package a\nconst x\n", "go", False), ("package a\nconst (\n\tx = iota\n\ty\n)\n", "go", True), ("val a = 1\nprintln(a)\n", "kt", False), ("val a = 1\nfun f() { println(a) }\n", "kt", True)])
+def test_constants_and_top_levels(text, language, good):
+    assert syntax.judge(text, language)[0] == good
+
+
+
 def test_verdict_rows(spark):
     rows = [*GOOD.items(), *[(f"r/{k}", v) for k, v in BAD.items()], ("null.py", None), ("empty.py", ""), ("blank.go", "package a"), ("other.txt", "("), (None, "("), ("r/cut.py", BAD["cut.py"]), ("deep.js", "(" * 3000 + "1" + ")" * 3000)]
     df = spark.createDataFrame([(*r, "l", 1) for r in rows], "file string, text string, language string, valid int")
