@@ -126,18 +126,8 @@ def cycle_nodes(nodes: DataFrame) -> DataFrame:
     return peel(nodes)[1].select(F.col("id").alias("node_id"))
 
 
-def hierarchy(nodes: DataFrame) -> DataFrame:
-    """``(node_id, parent, root, depth, path, n_descendants, height, status)`` for every id.
-
-    Leaves are peeled bottom-up (:func:`peel`), which gives n_descendants and height; in reverse order, from the roots down, each
-    node then takes its parent's path. status is ``tree``, ``cycle`` or ``below_cycle``; the last two have no root, depth or path, and nodes on a cycle
-    no counts. A parent that is null or does not exist makes a root of depth 0; parent is then null. Other cases as in :func:`cycle_nodes`.
-    """
-    peeled, left, tasks = peel(nodes)
-    rest = peeled[0]
-    for more in peeled[1:]:
-        rest = rest.unionByName(more)
-    rest = rest.withColumn("above", F.lit(None).cast("array<string>"))
+def _down(rest: DataFrame, tasks: int) -> tuple[DataFrame, DataFrame]:
+    """(nodes with their path, nodes that no path reaches): ``above`` is the path to hand on, or null; a node without a parent starts one."""
     schema = "id string, parent string, slot int, size long, height int, path array<string>, local boolean"
     settled = []
     while True:
@@ -153,6 +143,26 @@ def hierarchy(nodes: DataFrame) -> DataFrame:
     out = settled[0]
     for more in settled[1:]:
         out = out.unionByName(more)
+    return out, waiting
+
+
+def _settle(nodes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+    """(nodes of trees with their path, nodes below cycles, nodes on cycles, number of tasks)."""
+    peeled, left, tasks = peel(nodes)
+    rest = peeled[0]
+    for more in peeled[1:]:
+        rest = rest.unionByName(more)
+    return *_down(rest.withColumn("above", F.lit(None).cast("array<string>")), tasks), left, tasks
+
+
+def hierarchy(nodes: DataFrame) -> DataFrame:
+    """``(node_id, parent, root, depth, path, n_descendants, height, status)`` for every id.
+
+    Leaves are peeled bottom-up (:func:`peel`), which gives n_descendants and height; in reverse order, from the roots down, each
+    node then takes its parent's path. status is ``tree``, ``cycle`` or ``below_cycle``; the last two have no root, depth or path, and nodes on a cycle
+    no counts. A parent that is null or does not exist makes a root of depth 0; parent is then null. Other cases as in :func:`cycle_nodes`.
+    """
+    out, waiting, left, _ = _settle(nodes)
     tree = out.select(F.col("id").alias("node_id"), "parent", F.get("path", F.lit(0)).alias("root"), (F.size("path") - 1).alias("depth"), "path", (F.col("size") - 1).alias("n_descendants"), "height", F.lit("tree").alias("status"))
     no = [F.lit(None).cast("string").alias("root"), F.lit(None).cast("int").alias("depth"), F.lit(None).cast("array<string>").alias("path")]
     below = waiting.select(F.col("id").alias("node_id"), "parent", *no, (F.col("size") - 1).alias("n_descendants"), "height", F.lit("below_cycle").alias("status"))
@@ -167,3 +177,49 @@ def descendants(nodes: DataFrame) -> DataFrame:
     """
     tree = hierarchy(nodes).where("status = 'tree'").select("node_id", "depth", F.posexplode(F.slice("path", 1, F.col("depth"))).alias("at", "ancestor"))
     return tree.select("ancestor", F.col("node_id").alias("descendant"), (F.col("depth") - F.col("at")).alias("distance"))
+
+
+def _pairs(paths: DataFrame) -> DataFrame:
+    """``(ancestor, descendant, distance)`` of each node and what stands before it in its path."""
+    up = F.size("path") - 1
+    return paths.select("id", up.alias("depth"), F.posexplode(F.slice("path", 1, up)).alias("at", "ancestor")).select("ancestor", F.col("id").alias("descendant"), (F.col("depth") - F.col("at")).alias("distance"))
+
+
+def _rings(cycle: DataFrame) -> DataFrame:
+    """``(ancestor, descendant, distance)`` of different nodes of one cycle: jumps of twice the length each round, so as many rounds as the logarithm of the longest cycle."""
+    jump = cycle.select(F.col("id").alias("_from"), F.col("parent").alias("_to"))
+    pairs = cycle.select(F.col("parent").alias("ancestor"), F.col("id").alias("descendant"), F.lit(1).alias("distance"))
+    length, done = 1, []
+    while True:
+        pairs = stage(pairs, "rings")
+        whole = pairs.where("ancestor = descendant").select(F.col("descendant").alias("_d"), F.col("distance").alias("_length"))
+        done.append(pairs.join(whole, F.col("descendant") == F.col("_d")).where("distance < _length").select("ancestor", "descendant", "distance"))
+        pairs = pairs.join(whole, F.col("descendant") == F.col("_d"), "left_anti")
+        if pairs.isEmpty():
+            break
+        pairs = pairs.unionByName(pairs.join(jump, F.col("ancestor") == F.col("_from")).select(F.col("_to").alias("ancestor"), "descendant", (F.col("distance") + length).alias("distance")))
+        again = jump.select(F.col("_from").alias("_mid"), F.col("_to").alias("_end"))
+        jump = stage(jump.join(again, F.col("_to") == F.col("_mid")).select("_from", F.col("_end").alias("_to")), "jumps")
+        length *= 2
+    out = done[0]
+    for more in done[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def all_descendants(nodes: DataFrame) -> DataFrame:
+    """``(ancestor, descendant, distance)`` for every node, be it in a tree, on a cycle or below one, and each node above it.
+
+    :func:`descendants` has the trees only. Nodes on a cycle are each other's descendants, with the shorter way up as their distance, and what hangs
+    below a cycle descends from all of its nodes; no node is its own descendant. Below a cycle, paths are handed down from the nodes whose parent is on it as from roots.
+    """
+    tree, waiting, left, tasks = _settle(nodes)
+    known = waiting.select(F.col("id").alias("_known"))
+    first = F.when(F.col("_known").isNull(), F.array().cast("array<string>")).alias("above")
+    below, _ = _down(waiting.join(known, F.col("parent") == F.col("_known"), "left").select("id", "parent", "slot", "size", "height", first), tasks)
+    tops = below.where(F.size("path") == 1).select(F.col("id").alias("_top"), F.col("parent").alias("ancestor"))
+    doors = below.select(F.get("path", F.lit(0)).alias("_first"), F.col("id").alias("descendant"), F.size("path").alias("distance")).join(tops, F.col("_first") == F.col("_top")).select("ancestor", "descendant", "distance")
+    rings = _rings(left)
+    ring = rings.select(F.col("ancestor").alias("_above"), F.col("descendant").alias("_at"), F.col("distance").alias("_more"))
+    far = doors.join(ring, F.col("ancestor") == F.col("_at")).select(F.col("_above").alias("ancestor"), "descendant", (F.col("distance") + F.col("_more")).alias("distance"))
+    return _pairs(tree).unionByName(_pairs(below)).unionByName(doors).unionByName(far).unionByName(rings)

@@ -53,6 +53,10 @@ def p5_descendants(spark: SparkSession, d: str) -> DataFrame:
     return hierarchy.descendants(table(spark, d, "nodes"))
 
 
+def p5_all_descendants(spark: SparkSession, d: str) -> DataFrame:
+    return hierarchy.all_descendants(table(spark, d, "nodes"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return references.orphan_references(table(spark, d, "edges"), table(spark, d, "nodes"), table(spark, d, "library_nodes")).select("edge_id", "side")
 
@@ -61,7 +65,7 @@ def p6_report(spark: SparkSession, d: str) -> DataFrame:
     return references.orphan_report(table(spark, d, "edges"), table(spark, d, "nodes"), table(spark, d, "library_nodes"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_keys": p1_keys, "p3_found": p3_found, "p3_rates": p3_rates, "p4_found": p4_found, "p4_tables": p4_tables, "p4_nodes": p4_nodes, "p5_found": p5_found, "p5_hierarchy": p5_hierarchy, "p5_descendants": p5_descendants, "p6_found": p6_found, "p6_report": p6_report}
+QUERIES = {"p1_found": p1_found, "p1_keys": p1_keys, "p3_found": p3_found, "p3_rates": p3_rates, "p4_found": p4_found, "p4_tables": p4_tables, "p4_nodes": p4_nodes, "p5_found": p5_found, "p5_hierarchy": p5_hierarchy, "p5_descendants": p5_descendants, "p5_all_descendants": p5_all_descendants, "p6_found": p6_found, "p6_report": p6_report}
 
 _NODE = """best as (select id, max(struct_pack(a := removed_at is null, b := indexed_at, c := name, d := kind)) n
   from (select id, removed_at, indexed_at, name, kind from nodes union all select id, removed_at, indexed_at, name, kind from library_nodes) group by id)"""

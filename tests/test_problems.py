@@ -183,6 +183,27 @@ def test_random_forests(spark):
         assert {r.node_id for r in hierarchy.cycle_nodes(rows).collect()} == cycle
 
 
+def test_descendants_on_and_below_cycles(spark):
+    rng = random.Random(4)
+    links = {f"f{i % 5}::{i}": None for i in range(120)}
+    for n in links:
+        links[n] = rng.choice([None, *rng.sample(sorted(links), 12)])
+    links |= {f"ring::{i}": f"ring::{(i + 1) % 37}" for i in range(37)} | {"hang::a": "ring::3", "hang::b": "hang::a", "far::c": "hang::b", "self": "self", "below": "self"}
+    want = set()
+    for n in links:
+        seen, at = {n}, links[n]
+        while at is not None and at not in seen:
+            want.add((at, n, len(seen)))
+            seen.add(at)
+            at = links[at]
+    rows = nodes(spark, [(i, "n", "k", p, A, None) for i, p in links.items()])
+    found = [tuple(r) for r in hierarchy.all_descendants(rows).collect()]
+    assert set(found) == want and len(found) == len(want)
+    assert {("hang::a", "far::c", 2), ("ring::2", "far::c", 39), ("self", "below", 1)} <= want
+    assert set(map(tuple, hierarchy.descendants(rows).collect())) < want
+    assert hierarchy.all_descendants(rows.where("false")).count() == 0
+
+
 @pytest.mark.parametrize("name", ["p1_found", "p3_found", "p4_found", "p5_found", "p6_found"])
 def test_registered(spark, tables, name):
     import __spark_entry__
