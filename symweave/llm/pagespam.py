@@ -87,10 +87,15 @@ def pair_ids(words: np.ndarray) -> np.ndarray:
         return words[:-1] * np.uint64(0x9E3779B97F4A7C15) ^ (words[1:] * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(0x165667B19E3779F9))
 
 
+def counted_words(text: str, ids: _Ids) -> np.ndarray:
+    """The words of a repaired text that the counts of the corpus are made of: those outside links."""
+    return word_ids(_LINK.sub(" ", text) if _SOME_LINK.search(text) else text, ids)
+
+
 def neighbour_counts(documents: DataFrame, text: str = "text") -> DataFrame:
-    """``(kind, id, n)``: how often each word (kind 0) and each pair of neighbours (kind 1) occurs in all texts outside links; summed per task before the shuffle.
+    """``(kind, id, n)``: how often each word (kind 0) and each pair of neighbours (kind 1) occurs in all different texts outside links; summed per task before the shuffle.
 
-    Neighbours are counted within a line.
+    Copies of a text count once, so that a page isn't borne out by its copies; they are taken together per task before their shuffle.
     """
     ship(documents.sparkSession)
 
@@ -110,7 +115,7 @@ def neighbour_counts(documents: DataFrame, text: str = "text") -> DataFrame:
             for t in batch.column(0):
                 t = t.as_py()
                 if t:
-                    words = word_ids(_LINK.sub(" ", t) if _SOME_LINK.search(t := repaired(t)) else t, ids)
+                    words = counted_words(repaired(t), ids)
                     word_parts.append(words)
                     pair_parts.append(pair_ids(words))
                     size += len(words)
@@ -121,7 +126,8 @@ def neighbour_counts(documents: DataFrame, text: str = "text") -> DataFrame:
                         size = 0
         yield from out()
 
-    return spread(documents.select(text)).mapInArrow(run, "kind int, id long, n long").groupBy("kind", "id").agg(F.sum("n").alias("n"))
+    different = documents.where(F.col(text).isNotNull()).groupBy(F.sha2(F.col(text), 256)).agg(F.first(text).alias(text)).select(text)
+    return spread(different).mapInArrow(run, "kind int, id long, n long").groupBy("kind", "id").agg(F.sum("n").alias("n"))
 
 
 def corpus_statistics(documents: DataFrame, text: str = "text") -> str:
@@ -171,14 +177,30 @@ class Statistics:
         at = np.minimum(np.searchsorted(keys, ids), len(keys) - 1)
         return np.where(keys[at] == ids, values[at], floor)
 
-    def coherence(self, words: np.ndarray, pairs: np.ndarray, own: np.ndarray) -> float:
-        """Mean pointwise mutual information of neighbours; the window's own occurrences (``own`` of each pair) don't count."""
-        n, m = self.tables[0][0], self.tables[1][0]
-        single = self.counts(0, words).astype(float)
+    def coherence(self, words: np.ndarray, pairs: np.ndarray, own: np.ndarray, own_words: np.ndarray | int = 0, size: int = 0) -> float:
+        """Mean pointwise mutual information of neighbours; the own occurrences of the page (``own`` of each pair, ``own_words`` of each word, ``size`` words in all) don't count."""
+        n, m = max(1, self.tables[0][0] - size), max(1, self.tables[1][0] - max(0, size - 1))
+        single = np.maximum(self.counts(0, words) - own_words, 1).astype(float)
         seen = np.maximum(self.counts(1, pairs) - own, 0.5)
         return float(np.mean(np.log(seen * n * n / m / (single[:-1] * single[1:]))))
 
 
+class Own:
+    """What a page itself adds to the counts of the corpus."""
+
+    def __init__(self, text: str, ids: _Ids):
+        words = counted_words(text, ids)
+        self.size = len(words)
+        self.tables = [np.unique(x, return_counts=True) for x in (words, pair_ids(words))]
+
+    def counts(self, kind: int, ids: np.ndarray) -> np.ndarray:
+        keys, values = self.tables[kind]
+        if not len(keys):
+            return np.zeros(len(ids), np.int64)
+        at = np.minimum(np.searchsorted(keys, ids), len(keys) - 1)
+        return np.where(keys[at] == ids, values[at], 0)
+
+
 @cache
 def _statistics(file: str) -> Statistics:
     return Statistics(file)
@@ -272,6 +294,7 @@ def spam_share(text: str, statistics: Statistics, ids: _Ids) -> tuple[float, flo
     text = repaired(text)
     total = len(text) - text.count(" ") - text.count("\n") - text.count("\t") - text.count("\r")
     salad = stuffed = linked = spam = 0
+    page = None
     for plain, chars, in_links, links in windows(text):
         prose = sentence_share(plain)
         if in_links > LINKED * chars:
@@ -285,9 +308,9 @@ def spam_share(text: str, statistics: Statistics, ids: _Ids) -> tuple[float, flo
         if len(words) < 6:
             continue
         pairs = pair_ids(words)
-        _, back, own = np.unique(pairs, return_inverse=True, return_counts=True)
-        repeated = len(pairs) >= 12 and 1 - len(own) / len(pairs) > (BARE if prose < 0.15 and len(words) >= 20 else STUFFED)
-        loose = statistics.coherence(words, pairs, own[back]) < SALAD
+        repeated = len(pairs) >= 12 and 1 - len(np.unique(pairs)) / len(pairs) > (BARE if prose < 0.15 and len(words) >= 20 else STUFFED)
+        page = page or Own(text, ids)
+        loose = statistics.coherence(words, pairs, page.counts(1, pairs), page.counts(0, words), page.size) < SALAD
         stuffed += chars * repeated
         salad += chars * loose
         spam += chars * (repeated or loose)
@@ -298,7 +321,7 @@ def page_spam(documents: DataFrame, *, key: str = "doc_id", text: str = "text",
     """``(key, salad, stuffed, linked, spam)``: the shares of each page's characters that are spam, by kind and together.
 
     The counts of words and of neighbouring words of the whole corpus give the mean pointwise mutual information of each
-    window of a text: incoherent word salads have little of it. Windows that repeat their own collocations too much are stuffed, windows made of links without
+    window of a text, without what the page and its copies add to them: incoherent word salads have little of it. Windows that repeat their own collocations too much are stuffed, windows made of links without
     a sentence to each are link lists. Program text, logs, tables and JSON are never spam.
 
     Null, empty and blank texts have shares of 0. Long texts are read whole, window by window. Repeated rows stay repeated; an

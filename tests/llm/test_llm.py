@@ -197,6 +197,20 @@ def test_spam_pages(spark):
     assert pagespam.page_spam(df.where("false")).count() == 0
 
 
+def test_copies_and_long_cycles_do_not_bear_themselves_out(spark):
+    rng = random.Random(8)
+    words = sorted({a + b + c for a in ("ba", "de", "fi", "go", "lu", "ma") for b in ("n", "r", "s", "t", "k") for c in ("el", "or", "an", "ic", "um")})
+    prose = [f"The {rng.choice(words)} of the {rng.choice(words)} is read again when its {rng.choice(words)} has been written by the night job." for _ in range(2000)]
+    docs = [" ".join(rng.sample(prose, 6)) for _ in range(1500)]
+    salad = " ".join(rng.sample(words, 140))
+    order = rng.sample(words, 150)
+    cycle = "\n".join(" ".join(order[i : i + 30]) for i in range(0, 150, 30))
+    cycle = "\n".join([cycle] * 6)
+    rows = [(i, t) for i, t in enumerate([*docs, *[salad] * 750, cycle])]
+    found = {r.doc_id for r in pagespam.spam_pages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == set(range(1500, 2251))
+
+
 def test_coherence_needs_more_than_the_window_itself():
     rng = np.random.default_rng(0)
     made = pagespam.Statistics.__new__(pagespam.Statistics)
