@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from symweave.functions.scalars import terms, utf16_order
+from symweave.session import stage
 
 
 def line_documents(sources: DataFrame) -> DataFrame:
@@ -57,7 +58,7 @@ def best_per_file(documents: DataFrame, query_terms: list[str], k: int = 1) -> D
 
 
 def name_postings(nodes: DataFrame, most: int = 100) -> DataFrame:
-    """``(term, df, first_ids)``: the inverted index of qualified names; each term lists its first ids up to ``most``.
+    """``(term, df, first_ids)``: a report of the inverted index of qualified names; each term lists its first ids up to ``most``, :func:`posting_blocks` has all.
 
     The list is cut from a window that ranks within the term, after the count, so a term of all names stays one bounded row.
     """
@@ -66,3 +67,20 @@ def name_postings(nodes: DataFrame, most: int = 100) -> DataFrame:
     placed = rows.withColumn("n", F.row_number().over(Window.partitionBy("term").orderBy(utf16_order("id")))).where(F.col("n") <= most)
     listed = placed.groupBy("term").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "id"))), lambda x: x["id"]).alias("ids"))
     return counted.join(listed, "term").select("term", "df", F.array_join("ids", " ").alias("first_ids"))
+
+
+def posting_blocks(nodes: DataFrame, size: int = 1000) -> DataFrame:
+    """``(term, block, first, ids)``: the whole inverted index of qualified names; no id is left out.
+
+    The ids of a term lie in blocks of about ``size`` by their hash, at most a few times as many; ``block`` numbers the blocks of a term that have an
+    id from 0 on, ``first`` counts the ids in blocks before, and ids are in UTF-16 order within a block. No task sorts all rows of a term: only counts of blocks meet in a
+    window. Repeated ids count once; null ids, files and externals have no postings. An empty table gives no rows.
+    """
+    rows = nodes.where("kind not in ('file', 'external') and id is not null").select("id", F.explode(terms("qualified")).alias("term")).distinct()
+    counted = rows.groupBy("term").agg(F.count("*").alias("df"))
+    part = F.pmod(F.xxhash64("id"), F.ceil(F.col("df") / size)).alias("part")
+    blocks = rows.join(counted, "term").select("term", part, "id").groupBy("term", "part").agg(F.transform(F.array_sort(F.collect_list(F.struct(utf16_order("id").alias("o"), "id"))), lambda x: x["id"]).alias("ids"))
+    blocks = stage(blocks, "postings")
+    order = Window.partitionBy("term").orderBy("part")
+    places = blocks.select("term", "part", F.size("ids").alias("n")).select("term", "part", (F.row_number().over(order) - 1).alias("block"), (F.sum("n").over(order) - F.col("n")).alias("first"))
+    return blocks.join(places, ["term", "part"]).select("term", "block", "first", "ids")

@@ -195,6 +195,10 @@ def lexical_postings(s, d):
     return lexical.name_postings(_nodes(s, d), 20)
 
 
+def lexical_posting_blocks(s, d):
+    return lexical.posting_blocks(_nodes(s, d))
+
+
 def evidence_rows(s, d):
     return _found(s, d).drop("evidence_id")
 

@@ -141,3 +141,16 @@ def test_structural_implementations_need_every_method(spark):
 def test_multiset_difference(spark):
     a, b = spark.createDataFrame([(1,), (1,), (2,), (None,)], "x int"), spark.createDataFrame([(1,), (3,), (None,)], "x int")
     assert {tuple(r) for r in graph.multiset_difference(a, b).collect()} == {(1, "a", 1), (2, "a", 1), (3, "b", 1)}
+
+
+def test_posting_blocks_hold_every_id(spark):
+    rows = [(f"f{i % 7}::é{i}", "function", f"load.Item{i}") for i in range(250)] + [("x", "file", "load"), (None, "function", "load"), ("f0::é0", "function", "load.Item0"), ("n", "function", None)]
+    df = spark.createDataFrame(rows, "id string, kind string, qualified string")
+    blocks = [r for r in lexical.posting_blocks(df, 20).collect() if r.term == "load"]
+    ids = [i for r in sorted(blocks, key=lambda r: r.block) for i in r.ids]
+    assert sorted(ids) == sorted({r[0] for r in rows[:250]}) and len(blocks) > 5
+    for r in sorted(blocks, key=lambda r: r.block):
+        own = r.ids
+        assert ids[r.first : r.first + len(own)] == own and own == sorted(own, key=lambda x: x.encode("utf-16-be")) and len(own) < 60
+    assert sorted(r.block for r in blocks) == list(range(len(blocks)))
+    assert lexical.posting_blocks(df.where("false")).count() == 0
