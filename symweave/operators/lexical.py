@@ -1,4 +1,4 @@
-"""Retrieval of lines of source text: index, document frequencies, overlap and BM25 ranking, grouping by declaration."""
+"""Retrieval of lines of source text: index, document frequencies, overlap and BM25 ranking, best lines by file; lines have no terms of their declarations."""
 
 from __future__ import annotations
 
