@@ -9,11 +9,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from symweave.operators.skew import BUCKETS, load_plan
+from symweave.operators.skew import load_plan, slots
 from symweave.session import ship, stage, width
 
 #: A task holds about this many links; there are at least as many tasks as shuffle partitions.
 LINKS_PER_TASK = 200_000
+#: A batch of paths has about this many steps in all.
+PATH_STEPS = 1_000_000
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> list[list]:
@@ -46,31 +48,49 @@ def _peel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _descend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Hand paths down while the parent of a node is settled in this partition."""
+    """Hand paths down while the parent of a node is settled in this partition, depth first: only the path of the node at hand is kept, and rows leave as they are settled."""
     columns = _rows(batches)
     if not columns:
         return
     ids, parents, slots, size, height, above = columns
     below = defaultdict(list)
     place = set(ids)
-    ready = []
+    first = []
     for i, p in enumerate(parents):
         if p is None or above[i] is not None:
-            ready.append(i)
+            first.append(i)
         elif p in place:
             below[p].append(i)
-    paths: list = [None] * len(ids)
-    local = [p in place for p in parents]
-    for i in ready:
-        paths[i] = [*(above[i] or []), ids[i]]
-    while ready:
-        i = ready.pop()
-        for j in below.get(ids[i], ()):
-            paths[j] = [*paths[i], ids[j]]
-            ready.append(j)
-    for first in range(0, len(ids), 20_000):
-        cut = slice(first, first + 20_000)
-        yield pa.RecordBatch.from_pydict({"id": pa.array(ids[cut], pa.string()), "parent": pa.array(parents[cut], pa.string()), "slot": pa.array(slots[cut], pa.int32()), "size": pa.array(size[cut], pa.int64()), "height": pa.array(height[cut], pa.int32()), "path": pa.array(paths[cut], pa.list_(pa.string())), "local": local[cut]})
+    settled = [False] * len(ids)
+    rows: list[int] = []
+    paths: list = []
+    room = PATH_STEPS
+
+    def batch() -> pa.RecordBatch:
+        pick = lambda values, kind: pa.array([values[i] for i in rows], kind)
+        out = {"id": pick(ids, pa.string()), "parent": pick(parents, pa.string()), "slot": pick(slots, pa.int32()), "size": pick(size, pa.int64()), "height": pick(height, pa.int32())}
+        out |= {"path": pa.array(paths, pa.list_(pa.string())), "local": [parents[i] in place for i in rows]}
+        return pa.RecordBatch.from_pydict(out)
+
+    for start in first:
+        path = list(above[start] or [])
+        todo = [(start, len(path))]
+        while todo:
+            i, depth = todo.pop()
+            del path[depth:]
+            path.append(ids[i])
+            settled[i] = True
+            rows.append(i)
+            paths.append(path.copy())
+            room -= len(path)
+            if room < 0:
+                yield batch()
+                rows, paths, room = [], [], PATH_STEPS
+            todo += [(j, depth + 1) for j in below.get(ids[i], ())]
+    waiting = [i for i, s in enumerate(settled) if not s]
+    rows += waiting
+    paths += [None] * len(waiting)
+    yield batch()
 
 
 def _links(nodes: DataFrame) -> tuple[DataFrame, int]:
@@ -84,12 +104,8 @@ def _links(nodes: DataFrame) -> tuple[DataFrame, int]:
     rows = rows.join(known, F.col("parent") == F.col("known"), "left").select("id", F.col("known").alias("parent"))
     rows = stage(rows.withColumn("home", F.substring_index("id", "::", 1)), "links")
     tasks = max(width(spark), -(-rows.count() // LINKS_PER_TASK))
-    large, small, _ = load_plan(rows, "home", tasks, LINKS_PER_TASK)
-    big = F.broadcast(spark.createDataFrame(list(large.items()), "_home string, _shards array<int>"))
-    rest = F.broadcast(spark.createDataFrame(list(small.items()), "_bucket int, _task int"))
-    shard = F.get("_shards", F.pmod(F.xxhash64("id"), F.size("_shards")).cast("int"))
-    placed = rows.withColumn("_bucket", F.pmod(F.xxhash64("home"), F.lit(BUCKETS)).cast("int")).join(big, F.col("home") == F.col("_home"), "left").join(rest, "_bucket", "left")
-    return placed.select("id", "parent", F.coalesce(shard, F.col("_task"), F.lit(0)).cast("int").alias("slot")), tasks
+    plan = load_plan(rows, "home", tasks, LINKS_PER_TASK)
+    return slots(rows, "home", plan, ["id"]).select("id", "parent", F.col("_slot").alias("slot")), tasks
 
 
 def peel(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame, int]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -27,18 +28,68 @@ def _reject(name: str) -> None:
 
 
 _decode = json.JSONDecoder(parse_constant=_reject).decode
+_TOKEN = re.compile(r'[ \t\n\r]*(?:([{}\[\],:])|("(?:[^"\\\x00-\x1f]|\\.)*")|(-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][-+]?\d+)?|true|false|null))')
+
+
+def stream_decode(text: str):
+    """The value of a JSON text, read token by token with a stack of its own, so that depth has no limit but memory; ValueError if it is none.
+
+    The C decoder takes over what is nested less deep; see :func:`parse`.
+    """
+    match, at, end = _TOKEN.match, 0, len(text.rstrip(" \t\n\r"))
+    root: list = []
+    stack: list = [root]
+    keys: list = [None]
+    # what may come: a value, a value or the end of a list, a key or the end of an object, a key, a colon, a comma or an end
+    want = "value"
+    while at < end:
+        m = match(text, at)
+        if m is None:
+            raise ValueError(at)
+        at = m.end()
+        sign, string, plain = m.groups()
+        top = stack[-1]
+        if want in ("key", "key or end") and string:
+            keys[-1], want = _decode(string), "colon"
+        elif want == "colon" and sign == ":":
+            want = "value"
+        elif want in ("value", "value or end") and (string or plain or sign in ("{", "[")):
+            new = {} if sign == "{" else [] if sign == "[" else _decode(string or plain)
+            if type(top) is dict:
+                top[keys[-1]] = new
+            else:
+                top.append(new)
+            want = "comma or end"
+            if sign:
+                stack.append(new)
+                keys.append(None)
+                want = "key or end" if sign == "{" else "value or end"
+        elif len(stack) > 1 and want in ("comma or end", "key or end", "value or end") and sign == ("}" if type(top) is dict else "]"):
+            stack.pop()
+            keys.pop()
+            want = "comma or end"
+        elif len(stack) > 1 and want == "comma or end" and sign == ",":
+            want = "key" if type(top) is dict else "value"
+        else:
+            raise ValueError(at)
+    if len(stack) > 1 or len(root) != 1:
+        raise ValueError(end)
+    return root[0]
 
 
 def parse(record: str | None):
-    """The value that a record stands for: JSON, or a JSON string that holds JSON; None if there is none."""
-    for _ in range(3):
-        if not isinstance(record, str):
-            return record
+    """The value that a record stands for: JSON, or a JSON string that holds JSON, encoded any number of times; None if there is none."""
+    while isinstance(record, str):
         try:
             record = _decode(record)
-        except (ValueError, RecursionError):
+        except RecursionError:
+            try:
+                record = stream_decode(record)
+            except ValueError:
+                return None
+        except ValueError:
             return None
-    return None
+    return record
 
 
 def objects(value) -> Iterator[tuple[str, str, str, int, object, bool]]:
@@ -89,6 +140,10 @@ def objects(value) -> Iterator[tuple[str, str, str, int, object, bool]]:
             stack += below
 
 
+def _deep(value) -> bool:
+    return type(value) is dict or (type(value) is list and any(type(x) in (dict, list) for x in value))
+
+
 def _plain(value) -> str | None:
     if value is None or type(value) is str:
         return value
@@ -107,7 +162,7 @@ def triples(record: str | None) -> Iterator[tuple[str, str, str, int, str, str |
     for path, parent, tab, ordinal, item, _ in objects(value):
         some = False
         for k, v in item.items():
-            if type(v) is dict or (type(v) is list and any(type(x) in (dict, list) for x in v)):
+            if _deep(v):
                 continue
             some = True
             yield tab, path, parent, ordinal, k, _plain(v)
@@ -121,60 +176,52 @@ def current(files: DataFrame, columns: list[str]) -> DataFrame:
     return files.where(F.col("file").isNotNull()).groupBy("file").agg(F.max(row).alias("row")).select("file", *[F.col(f"row.{c}").alias(c) for c in columns])
 
 
-def nested_objects(files: DataFrame, *, record: str = "record", fields: bool = True) -> DataFrame:
+def nested_objects(files: DataFrame, *, record: str = "record") -> DataFrame:
     """``(file, path, parent, table, ordinal, fields)``: every object that stands in a list of a file's current record.
 
     Each record is read in its task into path-value-ordinal triples, grouped by the path of the repeated ancestor; the fields
-    of one object come out as a map from which :func:`flat_table` pivots a table. Without ``fields`` only the links are
-    produced. parent is the path of the nearest listed object above, empty under the record itself.
+    of one object come out as a map from which :func:`flat_table` pivots a table. parent is the path of the nearest listed object above, empty under the record itself.
 
-    A record or ``intent`` that is a JSON string holding JSON stands for it; a single object under a key of LIST_KEYS is place 0; null elements keep
+    A record or ``intent`` that is a JSON string holding JSON stands for it, however often it was encoded; a single object under a key of LIST_KEYS is place 0; null elements keep
     their place and give no row; null, empty, cut or otherwise invalid records give none. NaN and Infinity are
-    invalid. Rows of a packed ast are objects if they have their section's width. Only the row with the greatest indexed_at of a file counts. Repeated
+    invalid. Any depth is read. Rows of a packed ast are objects if they have their section's width. Only the row with the greatest indexed_at of a file counts. Repeated
     rows count once. An empty table gives no rows; extra columns are ignored.
     """
     ship(files.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, paths, parents, tables, places, maps = [], [], [], [], [], []
+        names, paths, parents, tables, places, maps = columns = [], [], [], [], [], []
+        size = 0
 
         def batch() -> pa.RecordBatch:
-            arrays = [pa.array(names, pa.string()), pa.array(paths, pa.string())]
-            if fields:
-                arrays += [pa.array(parents, pa.string()), pa.array(tables, pa.string()), pa.array(places, pa.int32()), pa.array(maps, pa.map_(pa.string(), pa.string()))]
-            out = pa.RecordBatch.from_arrays(arrays, names=["file", "path", "parent", "table", "ordinal", "fields"][: len(arrays)])
-            for x in (names, paths, parents, tables, places, maps):
+            arrays = [pa.array(names, pa.string()), pa.array(paths, pa.string()), pa.array(parents, pa.string()), pa.array(tables, pa.string()), pa.array(places, pa.int32()), pa.array(maps, pa.map_(pa.string(), pa.string()))]
+            out = pa.RecordBatch.from_arrays(arrays, names=["file", "path", "parent", "table", "ordinal", "fields"])
+            for x in columns:
                 x.clear()
             return out
 
         for b in batches:
             for file, text in zip(b.column(0).to_pylist(), b.column(1)):
-                text = text.as_py()
-                if fields:
-                    last = None
-                    for tab, path, parent, ordinal, k, v in triples(text):
-                        if path != last:
-                            names.append(file)
-                            paths.append(path)
-                            parents.append(parent)
-                            tables.append(tab)
-                            places.append(ordinal)
-                            maps.append([])
-                            last = path
-                        if k or v is not None:
-                            maps[-1].append((k, v))
-                else:
-                    value = parse(text)
-                    if type(value) in (dict, list):
-                        found = [o[0] for o in objects(value)]
-                        paths += found
-                        names += [file] * len(found)
-                if len(paths) > 50_000:
-                    yield batch()
+                last = None
+                for tab, path, parent, ordinal, k, v in triples(text.as_py()):
+                    if path != last:
+                        if len(paths) > 50_000 or size > 50_000_000:
+                            yield batch()
+                            size = 0
+                        names.append(file)
+                        paths.append(path)
+                        parents.append(parent)
+                        tables.append(tab)
+                        places.append(ordinal)
+                        maps.append([])
+                        last = path
+                        size += 3 * len(path)
+                    if k or v is not None:
+                        maps[-1].append((k, v))
+                        size += len(v or "")
         yield batch()
 
-    schema = "file string, path string" + (", parent string, table string, ordinal int, fields map<string,string>" if fields else "")
-    return current(files, [record]).select("file", F.col(record).cast("string")).mapInArrow(run, schema)
+    return current(files, [record]).select("file", F.col(record).cast("string")).mapInArrow(run, "file string, path string, parent string, table string, ordinal int, fields map<string,string>")
 
 
 def flat_table(objects_of: DataFrame, table: str, columns: list[str]) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from symweave.operators import accounting, diff, evidence, graph, lexical, traverse
+from symweave.plans.problems import flat_sql
 from symweave.session import table
 from symweave.sources import records
 from symweave.streaming import changes
@@ -475,14 +476,19 @@ ORACLES = {
       select case when wr is null then 'unknown' when wr = lv then 'same' else 'changed' end verdict, count(*) n from x where event_type <> 'purchase' group by 1""",
     "usage_percentiles": """with x as (select event_type, value, row_number() over (partition by event_type order by value) - 1 p, count(*) over (partition by event_type) n from events where value is not null)
       select event_type, max(n) n, max(case when p = n // 2 then value end) median, max(case when p = n * 95 // 100 then value end) p95 from x group by 1""",
-    "source_hashes": """with x as (select file, max(text) t, max(sha256) h from sources where file is not null group by file)
+    "source_hashes": """with x as (select file, m[1] t, m[2] h from (select file, arg_max([text, sha256], coalesce(sha256(text), '') || coalesce(sha256, '')) m from sources where file is not null group by file))
       select split_part(file, '/', 1) repo, count(*) n_files, count(case when t is null then 1 end) n_missing, count(case when t is not null and sha256(t) = h then 1 end) n_same, count(case when t is not null and sha256(t) is distinct from h then 1 end) n_stale from x group by 1""",
-    "source_violations": f"""with {_N}, sx as (select file, max(text) t from sources where file is not null group by file),
-      x as (select 'bad_span' rule from n where end_line < line or length < 0 union all select 'foreign_id' from n where not starts_with(id, file || '::') and kind <> 'external'
-        union all select 'beyond_text' from n join sx using (file) where n.start_offset + n.length > length(sx.t)
-        union all select 'unresolved' from edges where confidence <> 'resolved'
+    "source_violations": f"""with {_N}, tx as (select file, arg_max(text, sha256(text)) t from sources where file is not null and text is not null group by file),
+      sx as (select file, len(string_split(t, chr(10))) lines, case when {_LANG} in ('dart', 'typescript', 'javascript', 'java') then length(t) + length(regexp_replace(t, '[^\\x{{10000}}-\\x{{10FFFF}}]', '', 'g'))
+        when {_LANG} = 'go' then octet_length(encode(t)) else length(t) end units from tx),
+      o as (select * from n where kind <> 'external'), m as (select o.*, lines, units from o join sx using (file)),
+      x as (select 'bad_span' rule from o where line < 1 or end_line < line or length < 0 union all select 'foreign_id' from o where not starts_with(id, file || '::')
+        union all select 'bad_external' from n where kind = 'external' and (id <> 'uri::' || file or start_offset <> 0 or length <> 0 or line <> 0 or end_line <> 0)
+        union all select 'beyond_text' from m where start_offset + length > units union all select 'beyond_lines' from m where end_line > lines
+        union all select 'unresolved' from edges where confidence <> 'resolved' union all select 'bad_site' from edges where line < 1
         union all select 'repeated_edge' from (select edge_id from edges group by edge_id having count(*) > 1))
       select rule, count(*) n from x group by rule""",
+    "source_record_nodes": flat_sql("nodes[]", ["id", "name", "kind", "line", "q", "parent"]).replace("select file, path, parent, ordinal,", "select file,").replace('"f_q"', "qualified").replace('"f_', '"'),
     "source_upsert": """with c as (select file, lower(hash) hash from (select *, row_number() over (partition by file order by received_at desc nulls last) rn from file_snapshots where snapshot_no = 5) where rn = 1)
       select file, hash from c""",
     "stream_windows": "select event_type, date_trunc('day', ts) as day, count(*) n, round(sum(value), 4) total from events group by all",

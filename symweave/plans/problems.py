@@ -30,15 +30,31 @@ def p3_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return nested.nested_objects(table(spark, d, "files"), fields=False)
+    return nested.nested_objects(table(spark, d, "files")).select("file", "path")
 
 
 def p4_tables(spark: SparkSession, d: str) -> DataFrame:
     return nested.table_sizes(nested.nested_objects(table(spark, d, "files")))
 
 
-def p4_nodes(spark: SparkSession, d: str) -> DataFrame:
-    return nested.flat_table(nested.nested_objects(table(spark, d, "files")), "nodes[]", ["id", "name", "kind", "line", "end", "parent"])
+#: The flat tables that are registered as queries, with their place in a record and their fields.
+FLAT = {
+    "p4_nodes": ("nodes[]", ["id", "name", "kind", "line", "end", "parent"]),
+    "p4_edges": ("edges[]", ["source", "target", "kind", "file", "line", "offset", "confidence"]),
+    "p4_diagnostics": ("diagnostics[]", ["severity", "code", "message", "line"]),
+    "p4_related": ("diagnostics[].related[]", ["file", "line", "message"]),
+    "p4_bindings": ("intent.ast.bindings[]", list(nested.PACKED["bindings"])),
+    "p4_uses": ("intent.ast.uses[]", list(nested.PACKED["uses"])),
+    "p4_statements": ("intent.ast.statements[]", list(nested.PACKED["statements"])),
+    "p4_controls": ("intent.ast.controls[]", list(nested.PACKED["controls"])),
+    "p4_symbols": ("intent.symbols[]", ["id", "name", "kind", "file", "line"]),
+    "p4_relations": ("intent.relations[]", ["source", "target", "kind", "file", "line", "offset"]),
+    "p4_tests": ("intent.tests[]", ["file", "name", "framework", "line", "end"]),
+}
+
+
+def _flat(place: str, fields: list[str]):
+    return lambda spark, d: nested.flat_table(nested.nested_objects(table(spark, d, "files")), place, fields)
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -58,14 +74,17 @@ def p5_all_descendants(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return references.orphan_references(table(spark, d, "edges"), table(spark, d, "nodes"), table(spark, d, "library_nodes")).select("edge_id", "side")
+    return references.orphan_references(table(spark, d, "edges"), table(spark, d, "nodes"), table(spark, d, "library_nodes")).select("edge_id", "side").distinct()
 
 
 def p6_report(spark: SparkSession, d: str) -> DataFrame:
     return references.orphan_report(table(spark, d, "edges"), table(spark, d, "nodes"), table(spark, d, "library_nodes"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_keys": p1_keys, "p3_found": p3_found, "p3_rates": p3_rates, "p4_found": p4_found, "p4_tables": p4_tables, "p4_nodes": p4_nodes, "p5_found": p5_found, "p5_hierarchy": p5_hierarchy, "p5_descendants": p5_descendants, "p5_all_descendants": p5_all_descendants, "p6_found": p6_found, "p6_report": p6_report}
+QUERIES = {
+    "p1_found": p1_found, "p1_keys": p1_keys, "p3_found": p3_found, "p3_rates": p3_rates, "p4_found": p4_found, "p4_tables": p4_tables, **{k: _flat(*v) for k, v in FLAT.items()},
+    "p5_found": p5_found, "p5_hierarchy": p5_hierarchy, "p5_descendants": p5_descendants, "p5_all_descendants": p5_all_descendants, "p6_found": p6_found, "p6_report": p6_report,
+}
 
 _NODE = """best as (select id, max(struct_pack(a := removed_at is null, b := indexed_at, c := name, d := kind)) n
   from (select id, removed_at, indexed_at, name, kind from nodes union all select id, removed_at, indexed_at, name, kind from library_nodes) group by id)"""
@@ -97,7 +116,39 @@ x as (select edge_id, indexed_at, 'source' side, source k from edges union all s
 o as (select distinct edge_id, side, k, cast(date_trunc('month', indexed_at) as date) period from x
   where k is not null and not exists (select 1 from n where n.id = x.k and n.indexed_at <= x.indexed_at and (n.removed_at is null or n.removed_at > x.indexed_at)))"""
 
+_LISTS = "'nodes','edges','diagnostics','related','fixes','edits','symbols','relations','tests','children','bindings','uses','statements','controls'"
+_RECORDS = f"""c0 as (select file, record from (select file, record, row_number() over (partition by file order by indexed_at desc nulls last, record desc nulls last) rn from files where file is not null) where rn = 1),
+c1 as (select file, case when json_valid(record) and json_type(record) = 'VARCHAR' then record ->> '$' else record end record from c0),
+c2 as (select file, case when json_valid(record) and json_type(record) = 'VARCHAR' then record ->> '$' else record end record from c1),
+rec as (select file, record from c2 where json_valid(record) and json_type(record) in ('OBJECT', 'ARRAY')),
+doc as (select file, '' prefix, record j from rec union all select file, 'intent', record ->> '$.intent' from rec where json_type(record, '$.intent') = 'VARCHAR' and json_valid(record ->> '$.intent')),
+tree as (select file, prefix, t.id, t.parent up, t.key, t.type, t.value from doc, json_tree(doc.j) t),
+good as (select file from tree group by file having count(case when type = 'DOUBLE' and value::varchar in ('NaN', 'Infinity', '-Infinity') then 1 end) = 0),
+walk as (select file, prefix, id, prefix path, '' parent, prefix tab, 0 ordinal, false listed, type, value, '' as name, false packed, false as row_of from tree where up is null and file in (from good)
+  union all select t.file, t.prefix, t.id,
+    case when w.type = 'ARRAY' then w.path || '[' || t.key || ']' else case when w.path = '' then '' else w.path || '.' end || t.key || case when t.type = 'OBJECT' and t.key in ({_LISTS}) then '[0]' else '' end end,
+    case when w.listed then w.path else w.parent end,
+    case when w.type = 'ARRAY' then w.tab || '[]' else case when w.tab = '' then '' else w.tab || '.' end || t.key || case when t.type = 'OBJECT' and t.key in ({_LISTS}) then '[]' else '' end end,
+    case when w.type = 'ARRAY' then t.key::int else 0 end,
+    case when w.type = 'ARRAY' then t.type = 'OBJECT' or (t.type = 'ARRAY' and w.packed and json_array_length(t.value) = case w.name when 'bindings' then 9 when 'uses' then 8 else 6 end) else t.type = 'OBJECT' and t.key in ({_LISTS}) end,
+    t.type, t.value, case when w.type = 'ARRAY' then w.name else t.key end,
+    w.type = 'OBJECT' and t.type = 'ARRAY' and t.key in ('bindings', 'uses', 'statements', 'controls') and coalesce(w.value ->> '$.format' = 'pcg-ast-1', false),
+    w.type = 'ARRAY' and w.packed and t.type = 'ARRAY'
+  from walk w join tree t on t.file = w.file and t.prefix = w.prefix and t.up = w.id where not (w.row_of and w.listed)),
+obj as (select file, path, parent, tab "table", ordinal, type, value, name, row_of from walk where listed)"""
+
+
+def flat_sql(place: str, fields: list[str]) -> str:
+    """The SQL of a flat table; a field of a packed row is found by its place."""
+    packed = nested.PACKED.get(place.split(".")[-1].removesuffix("[]"), ())
+    one = lambda c: f"case when row_of then value ->> '$[{packed.index(c)}]' else value ->> '$.{c}' end" if c in packed else f"value ->> '$.{c}'"
+    return f"""with recursive {_RECORDS} select file, path, parent, ordinal, {', '.join(f'{one(c)} "f_{c}"' for c in fields)} from obj where "table" = '{place}'"""
+
+
 ORACLES = {
+    "p4_found": f"with recursive {_RECORDS} select file, path from obj",
+    "p4_tables": f"""with recursive {_RECORDS} select "table", count(*) n_rows, count(distinct file) n_files, count(case when parent <> '' then 1 end) n_linked from obj group by "table\"""",
+    **{k: flat_sql(*v) for k, v in FLAT.items()},
     "p1_found": "select target, kind from edges where target is not null group by target, kind having count(*) >= 0.01 * (select count(*) from edges)",
     "p1_keys": f"""with {_NODE}, k as (select target, kind, count(*) n_rows, count(distinct source) n_source, count(distinct file) n_file from edges group by target, kind)
       select k.*, best.n.c node_name, best.n.d node_kind from k left join best on best.id = k.target""",

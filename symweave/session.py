@@ -19,20 +19,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share, as ``spark.checkpoint.dir`` names it.
 
-    Only where the session has none (tests on one machine) a temporary folder is set.
+    A session on one machine (master ``local``) without that setting gets a temporary folder; on a cluster it is an error, as each executor would write to a disk of its own.
     """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not named:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="spark-")
         sc.setCheckpointDir(named)
     return named
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path for ``name`` below this application's part of the shared folder, which :func:`release` removes."""
+    return f"{shared_dir(spark)}/symweave-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def release(spark: SparkSession) -> None:
+    """Remove everything that operators of this application have written to the shared folder; results not read yet are lost."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/symweave-{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage and survives the loss of executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -41,7 +54,7 @@ class Levels:
     """The results of the rounds of an iteration, each written below one shared folder, which is read as one table with a column ``level``."""
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.folder, self.count = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
+        self.spark, self.folder, self.count = spark, scratch(spark, name), 0
 
     def add(self, df: DataFrame) -> DataFrame:
         """Write the next round and read it back."""

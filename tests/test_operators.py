@@ -6,9 +6,11 @@ from datetime import datetime as T
 
 import pytest
 
+from symweave import session
 from symweave.functions import scalars
 from symweave.operators import accounting, diff, evidence, graph, lexical, traverse
 from symweave.sources import records
+from symweave.streaming import changes
 
 
 def test_scan_leaves_out_ignored_directories_and_long_texts(spark, tmp_path):
@@ -16,18 +18,66 @@ def test_scan_leaves_out_ignored_directories_and_long_texts(spark, tmp_path):
         os.makedirs(tmp_path / os.path.dirname(name), exist_ok=True)
         (tmp_path / name).write_text(text, encoding="utf-8")
     rows = {r.file: r for r in records.scan_directory(spark, f"file:{tmp_path}", largest=20).collect()}
-    assert sorted(rows) == records.local_files(str(tmp_path)) and rows["a/long.go"].text is None and rows["ü/é.kt"].text == "val ä = 1"
-    assert rows["a/b.py"].size == 6 and len(rows["a/b.py"].sha256) == 64
+    assert sorted(rows) == ["a/b.py", "a/long.go", "ü/é.kt"] and rows["a/long.go"].text is None and rows["ü/é.kt"].text == "val ä = 1"
+    assert rows["a/b.py"].size == 6 and len(rows["a/b.py"].sha256) == 64 and [f for f, r in rows.items() if r.skipped] == ["a/long.go"]
 
 
-def test_versioned_table_keeps_the_old_version_until_the_pointer_moves(spark, tmp_path):
-    kept = records.VersionedTable(spark, f"file:{tmp_path}/t")
-    assert kept.version() is None
-    first = kept.upsert(spark.createDataFrame([("a", 1), ("b", 2)], "file string, n int"))
+def test_kept_table_writes_touched_buckets_only_and_keeps_what_was_opened(spark, tmp_path):
+    kept = records.KeptTable(spark, f"file:{tmp_path}/t", "file", 8)
+    assert kept.tag() is None
+    row = lambda *r: spark.createDataFrame(list(r), "file string, n int")
+    kept.upsert(row(*[(c, i) for i, c in enumerate("abcdefghij")]), tag=0)
     old = kept.read()
-    kept.upsert(spark.createDataFrame([("b", 3), ("c", 4)], "file string, n int"), spark.createDataFrame([("a", 0)], "file string, n int"))
-    assert kept.version() != first and sorted(map(tuple, old.collect())) == [("a", 1), ("b", 2)]
-    assert sorted(map(tuple, kept.read().collect())) == [("b", 3), ("c", 4)]
+    kept.upsert(row(("b", 30), ("z", 4)), row(("a", 0)), tag=1)
+    again = records.KeptTable(spark, f"file:{tmp_path}/t", "file", 8)
+    assert again.tag() == 1 and old.count() == 10
+    assert dict(map(tuple, again.read().collect())) == {c: i for i, c in enumerate("abcdefghij") if c != "a"} | {"b": 30, "z": 4}
+    assert 1 <= len([p for p in os.listdir(tmp_path / "t" / "v1") if p.startswith("_bucket")]) <= 3
+    kept.upsert(row(), again.read())
+    assert kept.read().count() == 0
+
+
+def test_texts_of_files_with_several_rows(spark, monkeypatch):
+    rows = spark.createDataFrame([("a", "x"), ("a", "y"), ("a", None), ("b", "x"), ("c", None), (None, "x")], "file string, text string")
+    for most in (0, 10):
+        monkeypatch.setattr(records, "BROADCAST_FILES", most)
+        assert sorted(map(tuple, records.one_text(rows).collect())) == [("a", "y"), ("b", "x")]
+
+
+def test_units_of_texts(spark):
+    rows = spark.createDataFrame([("a.dart", "ä😀"), ("a.go", "ä😀"), ("a.py", "ä😀")], "file string, text string")
+    assert [r[0] for r in rows.orderBy("file").select(records.text_units("text", "file")).collect()] == [3, 6, 2]
+
+
+def _event_files(spark, folder):
+    rows = [(i, T(2025, 1, 1 + i % 9, i % 24), i % 4, "ab"[i % 2], float(i)) for i in range(60)]
+    for n, part in enumerate((rows[:30], rows[20:50], rows[45:], rows[:5])):
+        df = spark.createDataFrame([(*r, "{}") for r in part], "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string")
+        df.coalesce(1).write.mode("append").parquet(f"file:{folder}/part{n}.parquet")
+    return rows
+
+
+def test_streams_over_several_batches(spark, tmp_path):
+    rows = _event_files(spark, tmp_path)
+    opened = {"pattern": "*.parquet", "files_per_batch": 1}
+    folder = f"file:{tmp_path}/*"
+    users = {u: (max(r[1] for r in rows if r[2] == u), sum(r[2] == u for r in rows)) for u in range(4)}
+    assert {r.user_id: (r.last_at, r.n) for r in changes.maintained_index(spark, folder, **opened).collect()} == users
+    assert {r.user_id: r.n for r in changes.deduplicated(spark, folder, **opened).collect()} == {u: n for u, (_, n) in users.items()}
+    twice = rows[:30] + rows[20:50] + rows[45:] + rows[:5]
+    want = {}
+    for _, ts, _, kind, value in twice:
+        key = kind, ts.replace(hour=0)
+        n, total = want.get(key, (0, 0.0))
+        want[key] = n + 1, total + value
+    assert {(r.event_type, r.day): (r.n, r.total) for r in changes.tumbling(spark, folder, **opened).collect()} == want
+
+
+def test_scratch_of_an_application_is_removed(spark):
+    rows = session.stage(spark.range(3))
+    assert rows.count() == 3
+    session.release(spark)
+    assert not os.path.exists(session.scratch(spark, "x").removeprefix("file://").rsplit("/", 1)[0])
 
 
 def test_nearest_scope_is_the_deepest_marked_directory(spark):

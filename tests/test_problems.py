@@ -81,7 +81,7 @@ def test_orphans(spark):
     rows = [(1, "a", "b", "k", "f", A), (2, "a", "b", "k", "f", B), (2, "a", "b", "k", "f", B), (3, "a", "A", "k", "f", C), (4, None, "late", "k", "f", C), (5, "b", "b", "k", "f", None)]
     want = {(1, "target"), (3, "source"), (3, "target"), (4, "target"), (5, "source"), (5, "target")}
     for share in (1, 3, 200):
-        found = [(r.edge_id, r.side) for r in references.orphan_references(edges(spark, rows), known, share=share).collect()]
+        found = [(r.edge_id, r.side) for r in references.orphan_references(edges(spark, rows), known, tasks=share).collect()]
         assert set(found) == want and len(found) == len(want)
     assert references.orphan_references(edges(spark, []), known).count() == 0
     assert references.orphan_references(edges(spark, rows), nodes(spark, [])).count() == 9
@@ -89,10 +89,31 @@ def test_orphans(spark):
     assert report[("target", "2025-01-01")] == (1, 1) and report[("target", "2025-03-01")] == (2, 2)
 
 
-def test_orphans_with_too_many_lifetimes_to_broadcast(spark, monkeypatch):
-    monkeypatch.setattr(references, "BROADCAST_ROWS", 0)
-    known = nodes(spark, [("a", "a", "c", None, A, B)])
-    assert {(r.edge_id, r.side) for r in references.orphan_references(edges(spark, [(1, "a", "a", "k", "f", A), (2, "a", "a", "k", "f", B)]), known, share=3).collect()} == {(2, "source"), (2, "target")}
+@pytest.mark.parametrize("most", [0, 1, 20_000])
+def test_orphans_by_brute_force_with_hot_keys(spark, monkeypatch, most):
+    monkeypatch.setattr(references, "BROADCAST_ROWS", most)
+    rng = random.Random(5)
+    days = [T(2025, m, d) for m in (1, 2, 3) for d in (1, 2, 15, 28)]
+    life = [(k, "n", "c", None, rng.choice([*days, None]), rng.choice([None, None, *days])) for k in ["hot", "hot", "warm", *[f"k{i}" for i in range(30)]]]
+    rows = [(i % 900, rng.choice(["hot", "hot", "warm", None, f"k{rng.randrange(40)}"]), rng.choice(["hot", f"k{rng.randrange(40)}"]), "k", "f", rng.choice([*days, None])) for i in range(1000)]
+    want = set()
+    for i, source, target, _, _, at in rows:
+        for side, k in (("source", source), ("target", target)):
+            if k is not None and not (at and any(n[0] == k and n[4] and n[4] <= at and (n[5] is None or n[5] > at) for n in life)):
+                want.add((i, side, k, at))
+    found = [tuple(r) for r in references.orphan_references(edges(spark, rows), nodes(spark, life), tasks=5).collect()]
+    assert set(found) == want and len(found) == len(want)
+
+
+def test_a_hot_value_is_one_row_a_task_and_buckets_are_cut(spark):
+    rows = [(i, None, "hot", "calls", "one", A) for i in range(4000)] + [(i, f"s{i}", f"t{i % 700}", "calls", "f", A) for i in range(2000)]
+    sums = edges(spark, rows).groupBy("target", "kind", "source").count()
+    big, rest, total = skew.load_plan(sums.withColumnRenamed("target", "_key"), "_key", 10, 1)
+    assert total == 2001 and big.count() == 0
+    placed = skew.slots(sums.withColumnRenamed("target", "_key"), "_key", (big, rest, total), ["source"]).groupBy("_key").agg(F.countDistinct("_slot").alias("n"))
+    assert placed.where("n > 1").count() == 0
+    full = skew.load_plan(spark.range(5000).select((F.col("id") % 3).cast("string").alias("_key")), "_key", 12, 1)
+    assert {len(r["_shards"]) for r in full[0].collect()} == {4} and full[1].count() == 0
 
 
 def _brute(record):
@@ -134,14 +155,16 @@ def test_nested_objects(spark):
     rows = [
         ("f", json.dumps({"nodes": [{"old": 1}]}), A), ("f", json.dumps(RECORD), B), ("f", json.dumps(RECORD), B),
         ("text", json.dumps(json.dumps({"nodes": [{"id": "q"}]})), A), ("cut", '{"nodes": [{"id": 1}', A), ("nan", '{"nodes": [{"id": NaN}]}', A),
-        ("null", None, A), ("empty", "", A), ("plain", "3", A), ("root", '[{"a": 1}]', None), (None, '{"nodes": [{}]}', A), ("deep", '{"children": ' * 2000 + "1" + "}" * 2000, A),
+        ("null", None, A), ("empty", "", A), ("plain", "3", A), ("root", '[{"a": 1}]', None), (None, '{"nodes": [{}]}', A), ("thrice", json.dumps(json.dumps(json.dumps({"nodes": [{"id": "q"}]}))), A),
+        ("deep", '{"children": ' * 6000 + "1" + "}" * 6000, A), ("deeper", '{"a": ' * 100_000 + '[{"x": 1}]' + "}" * 100_000, A), ("deep and cut", '{"a": ' * 100_000 + '[{"x": 1}]' + "}" * 99_999, A),
     ]
     files = spark.createDataFrame([(*r, "p", "t") for r in rows], "file string, record string, indexed_at timestamp_ntz, path string, row string")
     found = defaultdict(list)
-    for r in nested.nested_objects(files, fields=False).where("file <> 'deep'").collect():
-        found[r.file].append(r.path)
+    for r in nested.nested_objects(files).select("file", F.when(F.length("path") < 1000, F.col("path")).alias("path"), F.length("path").alias("n")).collect():
+        found[r.file].append(r.path or r.n)
     assert sorted(found.pop("f")) == sorted(_brute(RECORD))
-    assert dict(found) == {"text": ["nodes[0]"], "root": ["[0]"]}
+    assert len(found["deep"]) == 5999 and max(x for x in found.pop("deep") if isinstance(x, int)) == 5999 * 12 - 1
+    assert dict(found) == {"text": ["nodes[0]"], "thrice": ["nodes[0]"], "root": ["[0]"], "deeper": [200_002]}
     full = nested.nested_objects(files).where("file = 'f'")
     by = {r.path: r for r in full.collect()}
     assert by["nodes[0].children[0].children[0]"].parent == "nodes[0].children[0]" and by["nodes[0].children[0].children[0]"].table == "nodes[].children[].children[]"
