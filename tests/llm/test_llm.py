@@ -1,7 +1,9 @@
 """Problems on text against exact references, round trips and brute force."""
 
 import ast
+import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -211,13 +213,45 @@ def test_copies_and_long_cycles_do_not_bear_themselves_out(spark):
     assert found == set(range(1500, 2251))
 
 
-def test_coherence_needs_more_than_the_window_itself():
-    rng = np.random.default_rng(0)
-    made = pagespam.Statistics.__new__(pagespam.Statistics)
-    words = rng.integers(0, 50, 20_000).astype(np.uint64)
-    pairs = pagespam.pair_ids(words)
-    made.tables = [(len(x), 1, *np.unique(x, return_counts=True)) for x in (words, pairs)]
-    assert abs(made.coherence(words[:200], pairs[:199], np.ones(199))) < 0.5
+def _brute_scores(texts):
+    """Mean mutual information and repeated share of every window, by plain counts of all different texts without the page itself."""
+    words = lambda t: [w.lower() for w in pagespam.words_of(pagespam.repaired(t))]
+    total, pairs = Counter(), Counter()
+    for t in set(texts):
+        total.update(words(t))
+        pairs.update(zip(words(t), words(t)[1:]))
+    out = {}
+    for t in set(texts):
+        own, own_pairs = Counter(words(t)), Counter(zip(words(t), words(t)[1:]))
+        n, m = max(1, total.total() - own.total()), max(1, pairs.total() - own_pairs.total())
+        for number, (plain, chars, linked, _) in enumerate(pagespam.windows(pagespam.repaired(t))):
+            w = [x.lower() for x in pagespam._WORD.findall(plain)]
+            info = [math.log(max(pairs[p] - own_pairs[p], 0.5) * n * n / m / (max(total[p[0]] - own[p[0]], 1) * max(total[p[1]] - own[p[1]], 1))) for p in zip(w, w[1:])]
+            if len(w) < pagespam.FEW or pagespam.sentence_share(plain.replace(pagespam.LINK, " ")) >= 0.5:
+                continue
+            again = [p in list(zip(w, w[1:]))[:i] for i, p in enumerate(zip(w, w[1:]))]
+            kept = sum(max(0, x) for x in info)
+            share = sum(max(0, x) for x, r in zip(info, again) if r) / max(kept, 1e-9)
+            listed = linked > pagespam.LINKED * chars
+            salad, repeated = sum(info) / len(info) < pagespam.SALAD, share > (pagespam.LINK_REPEATED if listed else pagespam.REPEATED)
+            if salad or repeated:
+                out[t] = out.get(t, 0) + chars
+    return out
+
+
+def test_scores_equal_brute_force_whatever_the_table_holds(spark):
+    rng = random.Random(11)
+    words = [a + b for a in ("gra", "ta", "sto", "in", "ow", "que") for b in ("ph", "ble", "re", "dex", "ner", "ue")]
+    texts = [" ".join(rng.choices(words, weights=[1 / (i + 1) for i in range(36)], k=rng.randrange(5, 260))) for _ in range(60)]
+    texts += [" ".join(rng.choices([" ".join(rng.sample(words, 3)) for _ in range(4)], k=30)) for _ in range(10)] + ["\n".join(f"{rng.choice(words)} http://x.y/{rng.choice(words)}" for _ in range(15)) for _ in range(5)]
+    texts += texts[:3] * 4
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = _brute_scores(texts)
+    size = [len(t) - t.count(" ") - t.count("\n") for t in texts]
+    for room in (0, 7, 40, 100_000):
+        found = {r.doc_id: r.spam for r in pagespam.page_spam(df, words=room, pairs=room).collect()}
+        assert found == pytest.approx({i: want.get(t, 0) / size[i] for i, t in enumerate(texts)})
+    assert 10 < len(want) < 65
 
 
 @pytest.mark.parametrize(("name", "columns"), [("p2_found", ["file"]), ("p7_ids", ["doc_id", "ids"]), ("p9_found", ["doc_id"])])
