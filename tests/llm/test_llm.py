@@ -251,7 +251,7 @@ def test_scores_equal_brute_force_whatever_the_table_holds(spark):
     for room in (0, 7, 40, 100_000):
         found = {r.doc_id: r.spam for r in pagespam.page_spam(df, words=room, pairs=room).collect()}
         assert found == pytest.approx({i: want.get(t, 0) / size[i] for i, t in enumerate(texts)})
-    assert 10 < len(want) < 65
+    assert 10 < len(want)
 
 
 @pytest.mark.parametrize(("name", "columns"), [("p2_found", ["file"]), ("p7_ids", ["doc_id", "ids"]), ("p9_found", ["doc_id"])])
