@@ -118,19 +118,25 @@ def resolve(targets: DataFrame, nodes: DataFrame) -> DataFrame:
     return best.select("target", "b.tier", F.coalesce("b.n", F.lit(0)).alias("n_matches"), F.when(F.col("b.n") == 1, F.col("b.id")).alias("id"))
 
 
-def innermost(sites: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``(edge_id, node_id)``: the smallest declaration of the site's file whose lines hold the site's line; ties by id.
+def covering(sites: DataFrame, spans: DataFrame, site: str) -> DataFrame:
+    """Every pair of a site (columns ``site``, file, line) and a span (file, line, end_line and more) of its file whose lines hold the site's: (site, the span's columns, line of the span as ``line``).
 
-    A range join within files: every node is listed under blocks of lines of growing width, one block or two a node, and a site asks one block
-    of each width. So a file with many nodes or sites does not compare all pairs.
+    A range join within files: every span is listed under blocks of lines of a width above its own, one block or two a span, and a site asks one block
+    of each width that its file has. So a file with many spans or sites does not compare all pairs.
     """
     widths = [1 << k for k in range(4, 31, 2)]
-    spans = nodes.where(F.col("kind") != "file").where("line is not null and end_line >= line").select("id", "file", "line", "end_line", (F.col("end_line") - F.col("line")).alias("span"))
-    level = F.array_min(F.filter(F.array(*[F.lit(w) for w in widths]), lambda w: w > F.col("span")))
-    blocks = spans.withColumn("w", level).withColumn("block", F.explode(F.array_distinct(F.array(F.floor(F.col("line") / F.col("w")), F.floor(F.col("end_line") / F.col("w"))))))
-    asked = sites.select("edge_id", "file", F.col("line").alias("at"), F.explode(F.array(*[F.lit(w) for w in widths])).alias("w")).withColumn("block", F.floor(F.col("at") / F.col("w")))
-    some = blocks.select("file", "w").distinct()
-    met = asked.join(some, ["file", "w"], "left_semi").join(blocks, ["file", "w", "block"]).where("at between line and end_line")
+    spans = spans.where("line is not null and end_line >= line")
+    level = F.array_min(F.filter(F.array(*[F.lit(w) for w in widths]), lambda w: w > F.col("end_line") - F.col("line")))
+    blocks = spans.withColumn("_w", level).withColumn("_block", F.explode(F.array_distinct(F.array(F.floor(F.col("line") / F.col("_w")), F.floor(F.col("end_line") / F.col("_w"))))))
+    some = blocks.groupBy("file").agg(F.collect_set("_w").alias("_ws"))
+    asked = sites.select(site, "file", F.col("line").alias("_at")).join(some, "file").withColumn("_w", F.explode("_ws")).withColumn("_block", F.floor(F.col("_at") / F.col("_w")))
+    return asked.join(blocks, ["file", "_w", "_block"]).where("_at between line and end_line").drop("_w", "_ws", "_block", "_at")
+
+
+def innermost(sites: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``(edge_id, node_id)``: the smallest declaration of the site's file whose lines hold the site's line; ties by id."""
+    spans = nodes.where("kind <> 'file'").select("id", "file", "line", "end_line", (F.col("end_line") - F.col("line")).alias("span"))
+    met = covering(sites.select("edge_id", "file", "line"), spans, "edge_id")
     return met.groupBy("edge_id").agg(F.min(F.struct("span", "id")).alias("m")).select("edge_id", F.col("m.id").alias("node_id"))
 
 

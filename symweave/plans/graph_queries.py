@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symweave.operators import accounting, diff, evidence, graph, lexical, traverse
-from symweave.plans.problems import flat_sql
+from symweave.operators import accounting, diff, evidence, graph, lexical, nested, traverse
+from symweave.plans.problems import RECORDS, flat_sql
 from symweave.session import table
 from symweave.sources import records
 from symweave.streaming import changes
@@ -24,8 +24,26 @@ def _removed(s: SparkSession, d: str) -> DataFrame:
     return _nodes(s, d).where("removed_at is not null and kind <> 'file'").select("id")
 
 
-def _found(s: SparkSession, d: str) -> DataFrame:
-    return evidence.required(evidence.deduplicate(evidence.collect(_removed(s, d), _edges(s, d), "remove_symbol")))
+def _symbols(s: SparkSession, d: str) -> DataFrame:
+    return _nodes(s, d).where("kind not in ('file', 'external')").select("id")
+
+
+def _record_rows(s: SparkSession, d: str, place: str, fields: dict[str, str]) -> DataFrame:
+    """A flat table of the current records with typed fields."""
+    rows = nested.flat_table(nested.nested_objects(table(s, d, "files")), place, list(fields))
+    return rows.select(F.col("file").alias("record"), "ordinal", *[F.col(f"f_{c}").try_cast(t).alias("start_offset" if c == "offset" else c) for c, t in fields.items()])
+
+
+def _recipes(s: SparkSession, d: str) -> evidence.Recipes:
+    symbols = _record_rows(s, d, "intent.symbols[]", {"id": "string", "kind": "string", "file": "string", "line": "long", "offset": "long", "parent": "string"})
+    relations = _record_rows(s, d, "intent.relations[]", {"source": "string", "target": "string", "kind": "string", "file": "string", "line": "long", "offset": "long", "confidence": "string"})
+    cases = _record_rows(s, d, "intent.tests[]", {"framework": "string", "name": "string", "line": "long", "end": "long"}).select(F.col("record").alias("file"), "ordinal", "framework", "name", "line", F.col("end").alias("end_line"))
+    nodes, edges = evidence.context(_nodes(s, d), _edges(s, d), symbols, relations.withColumn("confidence", F.coalesce("confidence", F.lit("resolved"))))
+    return evidence.Recipes(_symbols(s, d), nodes, edges, cases)
+
+
+def _found(s: SparkSession, d: str, intent: str = "remove_symbol") -> DataFrame:
+    return evidence.required(evidence.deduplicate(_recipes(s, d).collect(intent)))
 
 
 def graph_nodes(s, d):
@@ -200,8 +218,11 @@ def lexical_posting_blocks(s, d):
     return lexical.posting_blocks(_nodes(s, d))
 
 
-def evidence_rows(s, d):
-    return _found(s, d).drop("evidence_id")
+INTENTS = ["rename", "change_signature", "find_tests", "explain_symbol", "trace_flow", "move_symbol", "remove_symbol", "replace_dependency"]
+
+
+def _intent(name: str):
+    return lambda s, d: _found(s, d, name)
 
 
 def evidence_sections(s, d):
@@ -209,7 +230,7 @@ def evidence_sections(s, d):
 
 
 def evidence_page(s, d):
-    return evidence.first_page(_found(s, d)).select("position", "section", "source", "target", "kind", "file", "line", "start_offset")
+    return evidence.first_page(_found(s, d)).drop("evidence_id")
 
 
 def evidence_files(s, d):
@@ -221,7 +242,7 @@ def evidence_groups(s, d):
 
 
 def evidence_windows(s, d):
-    return traverse.interval_islands(evidence.source_windows(_found(s, d)))
+    return evidence.source_windows(_found(s, d))
 
 
 def usage_deltas(s, d):
@@ -295,7 +316,18 @@ def stream_index(s, d):
     return changes.maintained_index(s, d)
 
 
-QUERIES = {k: f for k, f in list(globals().items()) if k.split("_")[0] in ("graph", "closure", "diff", "lexical", "evidence", "usage", "source", "stream") and callable(f) and "_" in k and k != "diff_current"}
+_LISTED = [
+    graph_nodes, graph_edges, graph_dangling, graph_unreferenced, graph_callers, graph_callees, graph_references, graph_neighbours, graph_dependencies, graph_search, graph_search_page, graph_resolve,
+    graph_innermost, graph_homonyms, graph_derived_overrides, graph_architecture, graph_hubs, graph_ranked_callers, graph_health, graph_redelivered, graph_multiset,
+    closure_contracts, closure_flow, closure_tests, closure_implementations, closure_impact, closure_paths, closure_affected_files,
+    diff_files, diff_declarations, diff_relations, diff_diagnostics, diff_preceding,
+    lexical_frequencies, lexical_bm25, lexical_overlap, lexical_per_file, lexical_postings, lexical_posting_blocks,
+    evidence_sections, evidence_page, evidence_files, evidence_groups, evidence_windows,
+    usage_deltas, usage_sums, usage_conflicts, usage_campaign, usage_ledger, usage_read_audit, usage_percentiles, usage_bootstrap,
+    source_hashes, source_record_nodes, source_violations, source_upsert,
+    stream_windows, stream_sessions, stream_sliding, stream_dedup, stream_index,
+]
+QUERIES = {f.__name__: f for f in _LISTED} | {f"evidence_{name}": _intent(name) for name in INTENTS}
 
 _N = """n0 as (select id, name, kind, file, line, qualified, end_line, start_offset, length, parent, tags, synthetic, indexed_at, removed_at from nodes
     union all select id, name, kind, file, line, qualified, end_line, start_offset, length, parent, tags, synthetic, indexed_at, removed_at from library_nodes),
@@ -360,13 +392,92 @@ def _score(query: list[str], ranking: str) -> str:
       select file, line, round(score, 6) score, matched from sc where matched > 0 order by sc.score desc, file, line limit 50"""
 
 
-_EV = f"""{_N}, {_E}, rm as (select id from n where removed_at is not null and kind <> 'file'),
-ev as (select source, target, kind, file, line, start_offset, confidence, case when confidence = 'resolved' then 'consumers' else 'candidates' end section from e where kind in ('calls','references','overrides','registers') and target in (select id from rm)
-  union all select source, target, kind, file, line, start_offset, confidence, case when confidence = 'resolved' then 'contracts' else 'candidates' end from e where kind = 'overrides' and source in (select id from rm)
-  union all select source, target, kind, file, line, start_offset, confidence, case when confidence = 'resolved' then 'module_context' else 'candidates' end from e where kind in ('imports','exports') and target in (select id from rm)),
-pr as (select *, case section when 'contracts' then 2 when 'consumers' then 3 when 'module_context' then 6 when 'candidates' then 8 end p from ev),
-ag as (select source, target, kind, file, line, start_offset, confidence, list_sort(list_distinct(list(p))) ps, count(*) n_found from pr group by all),
-fd as (select *, list_transform(ps, lambda p: case p when 2 then 'contracts' when 3 then 'consumers' when 6 then 'module_context' else 'candidates' end) ns from ag)"""
+_CONTEXT = f"""{RECORDS}, {_N}, {_E},
+sy as (select * from (select value ->> '$.id' id, value ->> '$.kind' kind, value ->> '$.file' file, try_cast(value ->> '$.line' as bigint) line, try_cast(value ->> '$.offset' as bigint) start_offset, value ->> '$.parent' parent,
+  row_number() over (partition by value ->> '$.id' order by value ->> '$.kind' desc nulls last, value ->> '$.file' desc nulls last, try_cast(value ->> '$.line' as bigint) desc nulls last, try_cast(value ->> '$.offset' as bigint) desc nulls last, value ->> '$.parent' desc nulls last) rn
+  from obj where "table" = 'intent.symbols[]' and value ->> '$.id' is not null) where rn = 1),
+cn as (select id, kind, file, line, start_offset, parent from n union all select id, kind, file, line, start_offset, parent from sy where id not in (select id from n)),
+ce as (select source, target, kind, file, line, start_offset, confidence from e where source is not null and target is not null union all
+  select distinct value ->> '$.source', value ->> '$.target', value ->> '$.kind', value ->> '$.file', try_cast(value ->> '$.line' as bigint), try_cast(value ->> '$.offset' as bigint), coalesce(value ->> '$.confidence', 'resolved') from obj
+  where "table" = 'intent.relations[]' and value ->> '$.source' is not null and value ->> '$.target' is not null),
+tc as (select file, ordinal, value ->> '$.framework' framework, value ->> '$.name' as name, try_cast(value ->> '$.line' as bigint) a, try_cast(value ->> '$.end' as bigint) b from obj where "table" = 'intent.tests[]'),
+st as (select id as start from n where kind not in ('file', 'external')),
+lk as (select start, start id, 0 d from st union select lk.start, case when ce.source = lk.id then ce.target else ce.source end, lk.d + 1 from lk join ce on lk.id in (ce.source, ce.target) where ce.kind in ('overrides', 'binds_field', 'accessor_pair', 'super_parameter') and lk.d < 2),
+ln as (select start, id, min(d) d from lk group by all),
+wi as (select start, start id, 0 d from st union select wi.start, case when ce.target = wi.id then ce.source else ce.target end, wi.d + 1 from wi join ce on (ce.target = wi.id and ce.kind in ('calls', 'overrides')) or (ce.source = wi.id and ce.kind = 'overrides') where wi.d < 1),
+wo as (select start, start id, 0 d from st union select wo.start, case when ce.source = wo.id then ce.target else ce.source end, wo.d + 1 from wo join ce on (ce.source = wo.id and ce.kind in ('calls', 'overrides')) or (ce.target = wo.id and ce.kind = 'overrides') where wo.d < 1),
+tr as (select start, start id, 0 d from st union select tr.start, ce.source, tr.d + 1 from tr join ce on ce.target = tr.id where ce.kind in ('calls', 'references', 'overrides') and tr.d < 1)"""
+_CE = "ce.source, ce.target, ce.kind, ce.file, ce.line, ce.start_offset, ce.confidence"
+
+
+def _declared(ids: str, step: int, section: str) -> str:
+    return f"select x.start, {step} step, '{section}' section, 'indexed_declaration; range is not an editable token span' reason, 0 distance, cn.id source, cn.id target, 'declaration' kind, cn.file, cn.line, cn.start_offset, 'resolved' confidence from ({ids}) x join cn on cn.id = x.id"
+
+
+def _incoming(ids: str, step: int, kinds: str, section: str, reason: str = "resolved_static_site", end: str = "target", distance: str = "1") -> str:
+    return f"select x.start, {step}, {section}, '{reason}', {distance}, {_CE} from ({ids}) x join ce on ce.{end} = x.id where ce.kind in ({kinds})"
+
+
+_ONE, _LN = "select start, start id, 0 d from st", "select * from ln"
+_LINKS = "'overrides', 'binds_field', 'accessor_pair', 'super_parameter'"
+
+
+def _contracts(step: int) -> list[str]:
+    return [*[_incoming(_LN, step, _LINKS, "'contracts'", "compiler_resolved_symbol_link", end, "x.d + 1") for end in ("target", "source")], _declared("select * from ln where d > 0", step, "declarations")]
+
+
+def _directives(step: int, kinds: str) -> list[str]:
+    files = "select st.start, cn.file || '::file' id from st join cn on cn.id = st.start"
+    return [_incoming(files, step, kinds, "'module_context'", "file-level directive; not an obligatory symbol edit", end) for end in ("target", "source")]
+
+
+def _walk(step: int, near: str, ends: tuple, section: str) -> list[str]:
+    near = f"select start, id, min(d) d from {near} group by all"
+    parts = [_incoming(near, step, kinds, f"'{section}'", "?", end, "x.d + 1") for end, kinds in zip(ends, ("'calls', 'overrides'", "'overrides'"))]
+    return [p.replace("'?'", "case when ce.kind = 'calls' then 'static_call; runtime order unknown' else 'possible_dispatch; not proven runtime call' end") for p in parts]
+
+
+def _tests(step: int) -> list[str]:
+    near = "select start, id, min(d) d from tr group by all"
+    case = "(select list_sort(list([lpad(ordinal::varchar, 9, '0'), coalesce(framework, ''), coalesce(name, '')]))[1] from tc where tc.file = ce.file and ce.line between tc.a and tc.b)"
+    sites = f"""select *, {case} c from ce where kind in ('calls', 'references', 'overrides')"""
+    return [f"""select x.start, {step}, case when ce.c is not null then 'tests' else 'test_candidates' end, case when ce.c is not null then 'resolved test case ' || ce.c[2] || ': ' || ce.c[3] || '; static reference does not prove execution/assertion'
+      else 'heuristic test-file classification with resolved graph link; runner/assertions unknown' end, x.d + 1, {_CE} from ({near}) x join ({sites}) ce on ce.target = x.id
+      where ce.c is not null or regexp_matches(ce.file, '(^|/)(tests?|integration_test|__tests__)/|_test\\.|\\.test\\.|\\.spec\\.|Test\\.(java|kt)$')"""]
+
+
+_INNER = "case when ce.source = x.start then 'internal_group' else 'consumers' end"
+_PARTS = {
+    "rename": [*_contracts(1), _incoming(_LN, 2, "'references', 'calls', 'parameter_reference'", "'usages'"), *_directives(3, "'exports', 'part', 'part_of'")],
+    "change_signature": [*_contracts(1), _incoming(_LN, 2, "'calls', 'references'", "'callers'"), *_walk(3, "wi", ("target", "source"), "forwarding_context"), *_tests(4), _incoming(_ONE, 5, "'contains'", "'contract'", "indexed_member", "source", "0")],
+    "find_tests": _tests(1),
+    "explain_symbol": [
+        _declared("select cn.id as start, cn.parent id from cn join st on st.start = cn.id", 1, "container"), *_contracts(2),
+        _incoming(_ONE, 3, "'overrides', 'implements', 'extends', 'with'", "'implementations'", "resolved implementation/subtype; runtime selection unknown"),
+        _incoming(_ONE, 4, "'calls', 'references', 'extends', 'implements', 'with', 'on'", "'dependencies'", "resolved direct dependency; role tags are hints", "source"), _incoming(_ONE, 5, "'calls', 'references'", "'consumers'"),
+    ],
+    "trace_flow": _walk(1, "wo", ("source", "target"), "flow"),
+    "move_symbol": [_incoming(_ONE, 1, "'references', 'calls'", "'consumers'"), *_contracts(2), *_directives(3, "'imports', 'exports', 'part', 'part_of'")],
+    "remove_symbol": [_incoming(_ONE, 1, "'calls', 'references', 'overrides', 'registers'", _INNER), *_contracts(2), _incoming(_LN, 3, "'references', 'parameter_reference', 'calls'", _INNER), *_directives(4, "'imports', 'exports', 'part', 'part_of'"), *_tests(5)],
+    "replace_dependency": [_incoming(_ONE, 1, "'calls', 'references', 'registers', 'implements', 'extends'", "'composition'"), *_contracts(2), *_tests(3)],
+}
+
+
+def _evidence(intent: str) -> str:
+    """The evidence of one recipe: ``fd`` has one row per start and relation."""
+    parts = " union all ".join([_declared(_ONE, 0, "declarations"), *_PARTS[intent]])
+    return f"""with recursive {_CONTEXT}, ev as ({parts}),
+    f1 as (select start, source, target, kind, file, line, start_offset, confidence, section, min({{'s': step, 'd': distance, 'r': reason}}) f from ev group by all),
+    f2 as (select start, source, target, kind, file, line, start_offset, confidence, list_sort(list({{'s': f.s, 'd': f.d, 'n': section, 'r': f.r}})) every from f1 group by all),
+    fd as (select * exclude (every), case when confidence = 'resolved' then every[1].n else 'candidates' end section,
+      case when confidence = 'resolved' then array_to_string(list_transform(every[2:], lambda x: x.n), ',') else every[1].n end also_sections,
+      case when confidence = 'resolved' then list_reduce(list_transform(every, lambda x: x.r), lambda a, b: case when contains(a, b) then a else a || '; ' || b end) else 'provider confidence ' || confidence || ': ' || every[1].r end reason,
+      every[1].d distance, substr(sha256('["current",' || to_json({{'source': source, 'target': target, 'kind': kind, 'file': file, 'line': line, 'offset': start_offset, 'confidence': confidence}})::varchar || ']'), 1, 16) evidence_id from f2),
+    fq as (select *, section not in ('container', 'dependencies', 'consumers', 'forwarding_context', 'impact', 'test_candidates', 'module_context', 'candidates')
+      or list_has_any(string_split(also_sections, ','), ['usages', 'contracts', 'callers', 'flow', 'diagnostic_changes']) required from fd)"""
+
+
+_RM = _evidence("remove_symbol")
 
 ORACLES = {
     "graph_nodes": f"with {_N} select * replace (array_to_string(tags, ',') as tags) from n",
@@ -450,15 +561,18 @@ ORACLES = {
     "lexical_overlap": _score(["hashmap", "record", "string", "hash", "map"], "overlap"),
     "lexical_per_file": f"""with {_DOCS}, h as (select file, line, len(list_intersect(terms, ['switch', 'total', 'default'])) m from doc), r as (select *, row_number() over (partition by file order by m desc, line) rn, count(*) over (partition by file) c from h where m > 0)
       select file, line, cast(m as int) matched, c n_matches from r where rn = 1""",
-    "evidence_rows": f"""with {_EV} select source, target, kind, file, line, start_offset, confidence, ns[1] section, array_to_string(ns[2:], ',') also_sections, kind reason,
-      n_found, len(list_filter(ns, lambda x: x not in ('module_context', 'dependencies', 'candidates'))) > 0 required from fd""",
-    "evidence_sections": f"with {_EV}, u as (select unnest(ns) section, file from fd) select section, count(*) n, count(distinct coalesce(file, '')) n_files from u group by section",
-    "evidence_files": f"with {_EV}, u as (select file, count(*) n from fd where file is not null group by file) select file as value, row_number() over (order by file) - 1 code, n from u",
-    "evidence_groups": f"""with {_EV}, u as (select distinct target, kind, confidence, ns[1] section, file, line, start_offset from fd)
-      select target, kind, confidence, section, file, string_agg(concat_ws(':', line, start_offset), ' ' order by line nulls first, start_offset nulls first) sites from u group by all""",
-    "evidence_windows": f"""with {_EV}, w as (select file, greatest(line - 2, 1) a, line + 2 b from fd where line is not null), g as (select file, a, b, count(*) c from w group by all),
+    **{f"evidence_{name}": f"{_evidence(name)} select * from fq" for name in INTENTS},
+    "evidence_sections": f"{_RM}, u as (select distinct start, source, target, kind, file, line, start_offset, confidence, unnest(list_concat([section], string_split(also_sections, ','))) section from fq) select start, section, count(*) n, count(distinct coalesce(file, '')) n_files from u where section <> '' group by all",
+    "evidence_page": f"""{_RM}, o as (select * exclude (evidence_id), row_number() over (partition by start order by case section when 'declarations' then 0 when 'contracts' then 1 when 'contract' then 1 when 'usages' then 2 when 'callers' then 2 when 'composition' then 2 when 'flow' then 3
+        when 'tests' then 4 when 'test_candidates' then 8 when 'module_context' then 9 else 5 end, distance, file, line, start_offset, concat_ws('|', source, target, kind, file, start_offset)) position from fq),
+      p as (select *, row_number() over (partition by start, file order by position) k from o where position <= 40), q as (select *, sum(case when k = 1 then 1 else 0 end) over (partition by start order by position) files from p)
+      select * exclude (k, files) replace (cast(position as int) as position) from q where files <= 12""",
+    "evidence_files": f"{_RM}, u as (select file, count(*) n from fq where file is not null group by file) select file as value, row_number() over (order by file) - 1 code, n from u",
+    "evidence_groups": f"""{_RM}, u as (select distinct start, target, kind, confidence, section, file, line, start_offset from fq)
+      select start, target, kind, confidence, section, file, string_agg(concat_ws(':', line, start_offset), ' ' order by line nulls first, start_offset nulls first) sites from u group by all""",
+    "evidence_windows": f"""{_RM}, g as (select distinct file, greatest(line - 2, 1) a, line + 2 b from fq where line is not null and file is not null),
       m as (select *, case when max(b) over x is null or a > max(b) over x + 1 then 1 else 0 end nw from g window x as (partition by file order by a, b rows between unbounded preceding and 1 preceding)),
-      i as (select *, sum(nw) over (partition by file order by a, b) k from m) select file, min(a) start_line, max(b) end_line, cast(sum(c) as bigint) n_windows from i group by file, k""",
+      i as (select *, sum(nw) over (partition by file order by a, b) k from m) select file, min(a) start_line, max(b) end_line, count(*) n_windows from i group by file, k""",
     "usage_deltas": """with l as (select user_id, event_id, ts, value, lag(value) over (partition by user_id order by ts, event_id) old from events),
       r as (select *, old is null or value < old rs from l), g as (select *, sum(case when rs then 1 else 0 end) over (partition by user_id order by ts, event_id) segment from r)
       select user_id, event_id, cast(segment as bigint) segment, round(case when rs then value else value - old end, 4) delta from g where rs or value - old <> 0""",

@@ -117,7 +117,7 @@ o as (select distinct edge_id, side, k, cast(date_trunc('month', indexed_at) as
   where k is not null and not exists (select 1 from n where n.id = x.k and n.indexed_at <= x.indexed_at and (n.removed_at is null or n.removed_at > x.indexed_at)))"""
 
 _LISTS = "'nodes','edges','diagnostics','related','fixes','edits','symbols','relations','tests','children','bindings','uses','statements','controls'"
-_RECORDS = f"""c0 as (select file, record from (select file, record, row_number() over (partition by file order by indexed_at desc nulls last, record desc nulls last) rn from files where file is not null) where rn = 1),
+RECORDS = f"""c0 as (select file, record from (select file, record, row_number() over (partition by file order by indexed_at desc nulls last, record desc nulls last) rn from files where file is not null) where rn = 1),
 c1 as (select file, case when json_valid(record) and json_type(record) = 'VARCHAR' then record ->> '$' else record end record from c0),
 c2 as (select file, case when json_valid(record) and json_type(record) = 'VARCHAR' then record ->> '$' else record end record from c1),
 rec as (select file, record from c2 where json_valid(record) and json_type(record) in ('OBJECT', 'ARRAY')),
@@ -142,12 +142,12 @@ def flat_sql(place: str, fields: list[str]) -> str:
     """The SQL of a flat table; a field of a packed row is found by its place."""
     packed = nested.PACKED.get(place.split(".")[-1].removesuffix("[]"), ())
     one = lambda c: f"case when row_of then value ->> '$[{packed.index(c)}]' else value ->> '$.{c}' end" if c in packed else f"value ->> '$.{c}'"
-    return f"""with recursive {_RECORDS} select file, path, parent, ordinal, {', '.join(f'{one(c)} "f_{c}"' for c in fields)} from obj where "table" = '{place}'"""
+    return f"""with recursive {RECORDS} select file, path, parent, ordinal, {', '.join(f'{one(c)} "f_{c}"' for c in fields)} from obj where "table" = '{place}'"""
 
 
 ORACLES = {
-    "p4_found": f"with recursive {_RECORDS} select file, path from obj",
-    "p4_tables": f"""with recursive {_RECORDS} select "table", count(*) n_rows, count(distinct file) n_files, count(case when parent <> '' then 1 end) n_linked from obj group by "table\"""",
+    "p4_found": f"with recursive {RECORDS} select file, path from obj",
+    "p4_tables": f"""with recursive {RECORDS} select "table", count(*) n_rows, count(distinct file) n_files, count(case when parent <> '' then 1 end) n_linked from obj group by "table\"""",
     **{k: flat_sql(*v) for k, v in FLAT.items()},
     "p1_found": "select target, kind from edges where target is not null group by target, kind having count(*) >= 0.01 * (select count(*) from edges)",
     "p1_keys": f"""with {_NODE}, k as (select target, kind, count(*) n_rows, count(distinct source) n_source, count(distinct file) n_file from edges group by target, kind)

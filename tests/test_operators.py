@@ -150,18 +150,65 @@ def test_overlap_score(spark):
         lexical.rank(docs, "...")
 
 
-def test_evidence_keeps_the_first_section_and_all_reasons(spark):
-    rows = [("a", "b", "calls", "f", 1, 2, "resolved", s, r) for s, r in (("usages", "calls"), ("contracts", "x"), ("usages", "calls"))]
-    df = spark.createDataFrame(rows, "source string, target string, kind string, file string, line long, start_offset long, confidence string, section string, reason string")
-    row = evidence.required(evidence.deduplicate(df)).first()
-    assert (row.section, row.also_sections, row.reason, row.n_found, row.required) == ("contracts", "usages", "calls; x", 3, True) and len(row.evidence_id) == 16
+_EVIDENCE = "start string, step int, section string, reason string, distance int, source string, target string, kind string, file string, line long, start_offset long, confidence string"
+
+
+def test_evidence_keeps_the_first_section_and_adds_others_with_their_reasons(spark):
+    edge, sure, unsure = ("a", "b", "calls", "f", 1, 2), "resolved", "heuristic"
+    rows = [("b", 2, "usages", "resolved_static_site", 1, *edge, sure), ("b", 1, "contracts", "link", 3, *edge, sure), ("b", 1, "contracts", "link", 2, *edge, sure), ("b", 3, "consumers", "link", 1, *edge, sure)]
+    rows += [("b", 1, "callers", "site", 1, *edge, unsure), ("b", 2, "usages", "other", 1, *edge, unsure), ("c", 1, "consumers", "site", 1, *edge, sure), ("d", 1, "module_context", "x", 1, *edge, sure), ("d", 2, "flow", "y", 1, *edge, sure)]
+    found = {(r.start, r.confidence): r for r in evidence.required(evidence.deduplicate(spark.createDataFrame(rows, _EVIDENCE))).collect()}
+    assert len(found) == 4 and all(len(r.evidence_id) == 16 for r in found.values())
+    pick = lambda *k: (found[k].section, found[k].also_sections, found[k].reason, found[k].distance, found[k].required)
+    assert pick("b", sure) == ("contracts", "usages,consumers", "link; resolved_static_site", 2, True)
+    assert pick("b", unsure) == ("candidates", "callers", "provider confidence heuristic: site", 1, True)
+    assert pick("c", sure) == ("consumers", "", "site", 1, False) and pick("d", sure) == ("module_context", "flow", "x; y", 1, True)
+
+
+def _recipes(spark, nodes, edges, cases=(), depth=2):
+    nodes = spark.createDataFrame([(i, k, f, line, 0, p) for i, k, f, line, p in nodes], "id string, kind string, file string, line long, start_offset long, parent string")
+    edges = spark.createDataFrame([(s, t, k, f, line, o, "resolved") for s, t, k, f, line, o in edges], "source string, target string, kind string, file string, line long, start_offset long, confidence string")
+    cases = spark.createDataFrame(list(cases), "file string, ordinal int, framework string, name string, line long, end_line long")
+    return evidence.Recipes(nodes.where("kind not in ('file', 'external')").select("id"), nodes, edges, cases, depth)
+
+
+def _sections(recipes, intent, start):
+    rows = evidence.deduplicate(recipes.collect(intent)).where(f"start = '{start}'").collect()
+    return {(r.section, r.source, r.target, r.start_offset, r.distance) for r in rows if r.section != "declarations"}
+
+
+def test_recipes_keep_distinct_sites_and_follow_links(spark):
+    nodes = [("f", "file", "api.py", 1, None), ("api", "function", "api.py", 2, "f"), ("caller", "function", "api.py", 3, "f"), ("helper", "function", "api_test.py", 4, None), ("base", "method", "b.py", 1, None), ("impl", "method", "c.py", 1, None), ("other", "function", "d.py", 1, None)]
+    edges = [("caller", "api", "calls", "api.py", 3, 30), ("caller", "api", "references", "api.py", 3, 34), ("caller", "api", "references", "api.py", 3, 38), ("helper", "caller", "calls", "api_test.py", 4, 7), ("impl", "base", "overrides", "c.py", 1, 1), ("other", "base", "calls", "d.py", 1, 2), ("impl", "api", "calls", "c.py", 1, 9), ("x", "api.py::file", "exports", "x.py", 1, 0), ("impl", "impl", "calls", "c.py", 2, 3)]
+    kit = _recipes(spark, nodes, edges, [("api.py", 0, "unit", "first", 3, 3), ("api.py", 1, "unit", "second", 1, 9)])
+    assert _sections(kit, "rename", "api") == {("usages", "caller", "api", o, 1) for o in (30, 34, 38)} | {("usages", "impl", "api", 9, 1), ("module_context", "x", "api.py::file", 0, 1)}
+    assert _sections(kit, "rename", "impl") == {("contracts", "impl", "base", 1, 1), ("usages", "other", "base", 2, 1), ("usages", "impl", "impl", 3, 1)}
+    assert ("internal_group", "impl", "impl", 3, 1) in _sections(kit, "remove_symbol", "impl") and ("consumers", "other", "base", 2, 1) in _sections(kit, "remove_symbol", "impl")
+    assert _sections(kit, "find_tests", "api") == {("tests", "caller", "api", o, 1) for o in (30, 34, 38)} | {("test_candidates", "helper", "caller", 7, 2)}
+    reasons = {r.reason for r in kit.collect("find_tests").where("section = 'tests'").collect()}
+    assert reasons == {"resolved test case unit: first; static reference does not prove execution/assertion"}
+    assert kit.tests(1, framework="none").count() == 0 and kit.tests(1, scope="api_test.py").where("section = 'tests'").count() == 0
+    assert _sections(kit, "trace_flow", "other") == {("flow", "other", "base", 2, 1), ("flow", "impl", "base", 1, 2)}
+    assert _sections(kit, "explain_symbol", "caller") == {("container", "f", "f", 0, 0), *[("dependencies", "caller", "api", o, 1) for o in (30, 34, 38)], ("consumers", "helper", "caller", 7, 1)}
+    with pytest.raises(ValueError):
+        kit.collect("guess")
+
+
+def test_context_takes_the_graph_first(spark):
+    node, edge = "id string, kind string, file string, line long, start_offset long, parent string", "source string, target string, kind string, file string, line long, start_offset long, confidence string"
+    nodes, edges = evidence.context(
+        spark.createDataFrame([("a", "class", "f", 1, 0, None)], node), spark.createDataFrame([("a", "a", "calls", "f", 1, 0, "resolved")], edge),
+        spark.createDataFrame([("a", "parameter", "g", 1, 0, None), ("b", "parameter", "g", 1, 0, None), ("b", "parameter", "g", 1, 0, None), (None, "x", "g", 1, 0, None)], node), spark.createDataFrame([("a", "b", "binds_field", "f", 1, 0, "resolved")] * 2, edge),
+    )
+    assert sorted((r.id, r.kind) for r in nodes.collect()) == [("a", "class"), ("b", "parameter")] and edges.count() == 2
 
 
-def test_page_stops_at_the_files(spark):
-    rows = [("a", "b", "calls", f"f{i // 2}", i, i, "resolved", "usages", "calls") for i in range(10)]
-    df = evidence.deduplicate(spark.createDataFrame(rows, "source string, target string, kind string, file string, line long, start_offset long, confidence string, section string, reason string"))
-    got = evidence.first_page(df, max_items=8, max_files=2).collect()
+def test_page_stops_at_files_items_and_characters(spark):
+    rows = [(s, 1, "usages", "calls", 1, "a", "b", "calls", f"f{i // 2}", i, i, "resolved") for i in range(10) for s in ("s", "t")]
+    df = evidence.deduplicate(spark.createDataFrame(rows, _EVIDENCE))
+    got = evidence.first_page(df, max_items=8, max_files=2).where("start = 's'").collect()
     assert {r.file for r in got} == {"f0", "f1"} and sorted(r.position for r in got) == [1, 2, 3, 4]
+    assert evidence.first_page(df, max_chars=10).count() == 2 and evidence.first_page(df, max_chars=400).where("start = 't'").count() == 2
 
 
 def test_dictionary_is_dense_and_ordered(spark):
