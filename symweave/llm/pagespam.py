@@ -7,6 +7,7 @@ import re
 import tempfile
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -106,7 +107,7 @@ def words_of(text: str) -> list[str]:
 def _joined(lists: list[list[str]], ids: _Ids) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(words, list of each word, pairs of neighbours of one list, place of each pair's first word) of lists of words."""
     sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-    words = np.fromiter((ids[w] for x in lists for w in x), np.uint64, int(sizes.sum()))
+    words = np.fromiter(map(ids.__getitem__, chain.from_iterable(lists)), np.uint64, int(sizes.sum()))
     owner = np.repeat(np.arange(len(lists)), sizes)
     at = np.flatnonzero(owner[:-1] == owner[1:]) if len(words) else np.zeros(0, np.int64)
     return words, owner, pair_ids(words)[at] if len(words) else words, at
@@ -143,7 +144,7 @@ def neighbour_counts(documents: DataFrame, text: str = "text") -> DataFrame:
         yield from out()
 
     different = documents.where(F.col(text).isNotNull()).groupBy(F.sha2(F.col(text), 256)).agg(F.first(text).alias(text)).select(text)
-    return spread(different).mapInArrow(run, "kind int, id long, n long").groupBy("kind", "id").agg(F.sum("n").alias("n"))
+    return different.mapInArrow(run, "kind int, id long, n long").groupBy("kind", "id").agg(F.sum("n").alias("n"))
 
 
 def _pieces(texts: pa.Array) -> Iterator[list[tuple[int, str]]]:
