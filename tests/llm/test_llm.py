@@ -3,6 +3,7 @@
 import ast
 import math
 import random
+import sys
 from collections import Counter
 
 import numpy as np
@@ -90,6 +91,29 @@ def test_constants_and_top_levels(text, language, good):
 
 
 
+@pytest.mark.parametrize(("text", "language", "good"), [("x = " + "[" * 40_000, "js", False), ("x = " + "[" * 40_000 + "]" * 40_000 + ";", "js", True), ("x = " + "(" * 200 + "1" + ")" * 200 + "\n", "py", True), ("x = " + "(" * 201 + "1" + ")" * 201 + "\n", "py", False), ("".join(" " * i + "if x:\n" for i in range(99)) + " " * 99 + "y\n", "py", True), ("".join(" " * i + "if x:\n" for i in range(100)) + " " * 100 + "y\n", "py", False)])
+def test_deep_texts(text, language, good):
+    assert syntax.judge(text, language)[0] is good and syntax.accepts(text, language) is good
+    if language == "py":
+        try:
+            ast.parse(text)
+            assert good
+        except SyntaxError:
+            assert not good
+
+
+def test_texts_too_deep_to_judge(spark, monkeypatch):
+    monkeypatch.setattr(syntax, "DEPTH", 5000)
+    limit = sys.getrecursionlimit()
+    sys.setrecursionlimit(5000)
+    try:
+        assert syntax.judge("x = " + "[" * 9000 + "]" * 9000 + ";", "js") == (None, None, None, "too_deep")
+        assert syntax.judge("x = " + "[" * 9000 + "]" * 8999 + ";", "js")[::3] == (False, "truncated")
+        assert syntax.judge("x = " + "[" * 9000 + "]" * 8999 + ")", "js")[::3] == (False, "syntax")
+    finally:
+        sys.setrecursionlimit(limit)
+
+
 def test_verdict_rows(spark):
     rows = [*GOOD.items(), *[(f"r/{k}", v) for k, v in BAD.items()], ("null.py", None), ("empty.py", ""), ("blank.go", "package a"), ("other.txt", "("), (None, "("), ("r/cut.py", BAD["cut.py"]), ("deep.js", "(" * 3000 + "1" + ")" * 3000)]
     df = spark.createDataFrame([(*r, "l", 1) for r in rows], "file string, text string, language string, valid int")
