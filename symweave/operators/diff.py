@@ -2,9 +2,18 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
+from itertools import accumulate
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from symweave.functions.scalars import language
+from symweave.session import ship
+
 
 def valid_snapshots(snapshots: DataFrame) -> DataFrame:
     """One row per (snapshot_no, file): the one received last, null times being the oldest."""
@@ -21,6 +30,127 @@ def detect_changes(old: DataFrame, new: DataFrame) -> DataFrame:
     return met.select(F.coalesce("file", "f").alias("file"), change.alias("change")).where("change is not null")
 
 
+def file_changes(snapshots: DataFrame) -> DataFrame:
+    """``(snapshot_no, file, change)`` of every snapshot against the one before, by hash alone: ``changed`` for a new or different hash, ``deleted``. One window per file over its snapshots."""
+    ends = snapshots.agg(F.min("snapshot_no"), F.max("snapshot_no")).first()
+    rows = valid_snapshots(snapshots).select("snapshot_no", "file", F.lower("hash").alias("hash"))
+    by = Window.partitionBy("file").orderBy("snapshot_no")
+    seen = rows.select("snapshot_no", "file", "hash", F.lag("snapshot_no").over(by).alias("before"), F.lag("hash").over(by).alias("old"), F.lead("snapshot_no").over(by).alias("after"))
+    new = ~F.col("before").eqNullSafe(F.col("snapshot_no") - 1) | ~F.col("hash").eqNullSafe(F.col("old"))
+    here = F.when((F.col("snapshot_no") > (ends[0] or 0)) & new, "changed")
+    gone = F.when((F.col("snapshot_no") < (ends[1] or 0)) & ~F.col("after").eqNullSafe(F.col("snapshot_no") + 1), "deleted")
+    events = F.array(F.struct("snapshot_no", here.alias("change")), F.struct((F.col("snapshot_no") + 1).cast("int").alias("snapshot_no"), gone.alias("change")))
+    return seen.select("file", F.explode(events).alias("e")).where("e.change is not null").select("e.snapshot_no", "file", "e.change")
+
+
+def relation_correspondence(snapshots: DataFrame, intervals: DataFrame | None = None) -> DataFrame:
+    """``(snapshot_no, file, unchanged, relocated, uncertain, removed, added, removed_multiplicity, added_multiplicity)``: how the relations of a file answer to those of the snapshot before.
+
+    In a file with an equal hash a site's position is its own; in a changed one it is where ``intervals`` (snapshot_no, file, before_start, after_start, length, before_line, after_line; see
+    :func:`site_intervals`) put it, by an as-of join, or unknown. Equal relations are matched one to one as a multiset by counts, so no list of them is gathered. A site without a counterpart is ``uncertain`` if its
+    position is unknown and the file is in both snapshots, else removed. Multiplicities compare the numbers of relations with equal source, target, kind and confidence.
+    """
+    ends = snapshots.agg(F.min("snapshot_no"), F.max("snapshot_no")).first()
+    files = valid_snapshots(snapshots)
+    now = files.select("snapshot_no", "file", F.lower("hash").alias("hash"))
+    then = now.select((F.col("snapshot_no") + 1).cast("int").alias("snapshot_no"), "file", F.col("hash").alias("old_hash"), F.lit(True).alias("there"))
+    pairs = now.withColumn("here", F.lit(True)).join(then, ["snapshot_no", "file"], "full").where((F.col("snapshot_no") > (ends[0] or 0)) & (F.col("snapshot_no") <= (ends[1] or 0)))
+    pairs = pairs.select("snapshot_no", "file", F.coalesce("here", F.lit(False)).alias("here"), F.coalesce("there", F.lit(False)).alias("there"), (~(F.col("here").eqNullSafe(F.col("there")) & F.col("hash").eqNullSafe(F.col("old_hash")))).alias("moved"))
+    edge = ["source", "target", "kind", "confidence", "line", "start_offset"]
+    sites = files.select("snapshot_no", "file", F.explode("edges").alias("e")).where("e is not null").select("snapshot_no", "file", "e.source", "e.target", "e.kind", F.coalesce("e.confidence", F.lit("resolved")).alias("confidence"), "e.line", "e.start_offset")
+    sites = sites.groupBy("snapshot_no", "file", *edge).agg(F.count("*").alias("n"))
+    old = sites.withColumn("snapshot_no", (F.col("snapshot_no") + 1).cast("int")).join(pairs, ["snapshot_no", "file"]).withColumn("to_line", F.when(~F.col("moved"), F.col("line"))).withColumn("to_offset", F.when(~F.col("moved"), F.col("start_offset")))
+    if intervals is not None:
+        old = _relocated(old, intervals)
+    old = old.withColumn("known", F.col("to_line").isNotNull() & F.col("to_offset").isNotNull())
+    same = (F.col("line") == F.col("to_line")) & (F.col("start_offset") == F.col("to_offset"))
+    moved = old.groupBy("snapshot_no", "file", "source", "target", "kind", "confidence", F.col("to_line").alias("line"), F.col("to_offset").alias("start_offset"), "known", "here").agg(F.sum("n").alias("m"), F.coalesce(F.sum(F.when(same, F.col("n"))), F.lit(0)).alias("stays"))
+    new = sites.join(pairs.select("snapshot_no", "file"), ["snapshot_no", "file"], "left_semi").withColumnRenamed("n", "k")
+    on = ["snapshot_no", "file", *edge]
+    met = moved.where("known").join(new, on, "full").select(*on, F.coalesce("m", F.lit(0)).alias("m"), F.coalesce("stays", F.lit(0)).alias("stays"), F.coalesce("k", F.lit(0)).alias("k"))
+    hit = F.least("m", "k")
+    # a site that stays where it is takes its counterpart before one that moves there
+    sure = met.select("snapshot_no", "file", F.least("stays", hit).alias("unchanged"), (hit - F.least("stays", hit)).alias("relocated"), F.lit(0).cast("long").alias("uncertain"), (F.col("m") - hit).alias("removed"), (F.col("k") - hit).alias("added"))
+    zero = F.lit(0).cast("long")
+    lost = moved.where("not known").select("snapshot_no", "file", zero.alias("unchanged"), zero.alias("relocated"), F.when(F.col("here"), F.col("m")).otherwise(zero).alias("uncertain"), F.when(F.col("here"), zero).otherwise(F.col("m")).alias("removed"), zero.alias("added"))
+    kinds = ["unchanged", "relocated", "uncertain", "removed", "added"]
+    per_file = sure.unionByName(lost).groupBy("snapshot_no", "file").agg(*[F.sum(c).alias(c) for c in kinds])
+    key = ["snapshot_no", "file", "source", "target", "kind", "confidence"]
+    signed = old.select(*key, (-F.col("n")).alias("w")).unionByName(new.select(*key, F.col("k").alias("w")))
+    net = signed.groupBy(*key).agg(F.sum("w").alias("w")).groupBy("snapshot_no", "file").agg(F.sum(F.greatest(-F.col("w"), zero)).alias("removed_multiplicity"), F.sum(F.greatest("w", zero)).alias("added_multiplicity"))
+    return per_file.join(net, ["snapshot_no", "file"])
+
+
+def _relocated(old: DataFrame, intervals: DataFrame) -> DataFrame:
+    """Sites of changed files with the line and offset where the interval that begins last at or before them puts them; an as-of join by one order per file."""
+    key = ["snapshot_no", "file"]
+    span = F.struct("before_start", "after_start", "length", "before_line", "after_line")
+    marks = intervals.select(*key, F.col("before_start").alias("_at"), F.lit(0).alias("_side"), span.alias("_span"))
+    rows = old.withColumn("_at", F.col("start_offset")).withColumn("_side", F.lit(1)).withColumn("_span", F.lit(None).cast(marks.schema["_span"].dataType))
+    by = Window.partitionBy(*key).orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    both = rows.unionByName(marks, allowMissingColumns=True).withColumn("_last", F.last("_span", ignorenulls=True).over(by)).where("_side = 1")
+    step = F.col("start_offset") - F.col("_last.before_start")
+    held = F.col("moved") & (F.col("line") == F.col("_last.before_line")) & (step < F.col("_last.length"))
+    to_line, to_offset = F.when(held, F.col("_last.after_line")).otherwise(F.col("to_line")), F.when(held, F.col("_last.after_start") + step).otherwise(F.col("to_offset"))
+    return both.withColumn("to_line", to_line).withColumn("to_offset", to_offset).drop("_at", "_side", "_span", "_last")
+
+
+def site_intervals(texts: DataFrame) -> DataFrame:
+    """``(file, before_start, after_start, length, before_line, after_line)``: pieces of text that stand in both versions of a file, from a table of (file, before, after).
+
+    Lines that occur once in both texts are anchors; if their order differs, the file has no pieces. Between two anchors lines are paired in turn if both sides have as many; equal ones are pieces, and of a single
+    changed line its parts up to a semicolon that occur once on both sides. Offsets count in the units of the file's language, lines keep their ends. Other columns (``snapshot_no``) are kept as keys. One file's
+    lines are compared within a row's task; files are spread over the cluster.
+    """
+    keys = [c for c in texts.columns if c not in ("file", "before", "after")]
+    unit = F.when(language("file").isin("dart", "typescript", "javascript", "java"), "utf16").when(language("file") == "go", "bytes").otherwise("characters")
+    rows = texts.where("before is not null and after is not null and file is not null").select(*keys, "file", "before", "after", unit.alias("unit"))
+    ship(texts.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            owner, values = [], []
+            for i, r in enumerate(batch.select(["before", "after", "unit"]).to_pylist()):
+                for piece in _pieces(r["before"], r["after"], r["unit"]):
+                    owner.append(i)
+                    values.append(piece)
+            at = pa.array(owner, pa.int64())
+            columns = list(zip(*values)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([*[batch.column(c).take(at) for c in [*keys, "file"]], *[pa.array(c, pa.int64()) for c in columns]], names=[*keys, "file", "before_start", "after_start", "length", "before_line", "after_line"])
+
+    schema = ", ".join(f"`{c}` {texts.schema[c].dataType.simpleString()}" for c in keys)
+    return rows.mapInArrow(run, f"{schema}{', ' if keys else ''}file string, before_start long, after_start long, length long, before_line long, after_line long")
+
+
+def _pieces(before: str, after: str, unit: str) -> list[tuple[int, int, int, int, int]]:
+    """The pieces of one file for :func:`site_intervals`."""
+    size = {"utf16": lambda t: len(t.encode("utf-16-le", "surrogatepass")) // 2, "bytes": lambda t: len(t.encode()), "characters": len}[unit]
+    a, b = ([x for x in re.split(r"(?<=\n)", t) if x] for t in (before, after))
+    start = [list(accumulate(map(size, lines), initial=0)) for lines in (a, b)]
+    once = [{t: i for i, t in enumerate(lines) if count[t] == 1} for lines, count in ((a, Counter(a)), (b, Counter(b)))]
+    anchors = sorted((i, once[1][t]) for t, i in once[0].items() if t in once[1])
+    if any(x[1] >= y[1] for x, y in zip(anchors, anchors[1:])):
+        return []
+    out = []
+    left = (0, 0)
+    for right in [*anchors, (len(a), len(b))]:
+        gap = right[0] - left[0]
+        if gap == right[1] - left[1]:
+            for k in range(gap):
+                i, j = left[0] + k, left[1] + k
+                if a[i] == b[j]:
+                    out.append((start[0][i], start[1][j], size(a[i]), i + 1, j + 1))
+                elif gap == 1:
+                    for m in re.finditer(r"[^;]*;", a[i]):
+                        part = m[0].strip()
+                        if part and a[i].count(part) == 1 and b[j].count(part) == 1:
+                            out.append((start[0][i] + size(a[i][: a[i].index(part)]), start[1][j] + size(b[j][: b[j].index(part)]), size(part), i + 1, j + 1))
+        if right[0] < len(a):
+            out.append((start[0][right[0]], start[1][right[1]], size(a[right[0]]), right[0] + 1, right[1] + 1))
+        left = (right[0] + 1, right[1] + 1)
+    return sorted(out)
+
+
 def declaration_changes(snapshots: DataFrame) -> DataFrame:
     """``(snapshot_no, file, id, change)``: declarations added, removed or changed between consecutive snapshots of the files in both.
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from symweave.functions.scalars import directory, language, repository, utf16_order
+from symweave.operators.traverse import closure
 
 NODE = ["id", "name", "kind", "file", "line", "qualified", "end_line", "start_offset", "length", "parent", "tags", "synthetic"]
 IDENTITY = ["source", "target", "kind", "file", "start_offset"]
@@ -147,12 +148,14 @@ def homonyms(nodes: DataFrame) -> DataFrame:
 
 
 def derived_overrides(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``(member, base_member, class, base)``: members of a class that have the name of a member of a class it extends, implements or mixes in."""
-    heirs = edges.where("kind in ('extends', 'implements', 'with')").select(F.col("source").alias("class"), F.col("target").alias("base")).distinct()
+    """``(member, base_member, class, base)``: members of a class that have the name of a member of any class above it, over any number of extends, implements and with."""
+    kinds = ["extends", "implements", "with"]
+    heirs = closure(edges.where(F.col("kind").isin(kinds)).select(F.col("source").alias("id")).where("id is not null").distinct(), edges, kinds, reverse=False)
     members = nodes.where("kind in ('method', 'getter', 'setter', 'field') and parent is not null").select("id", "name", "parent")
-    own = members.select(F.col("id").alias("member"), "name", F.col("parent").alias("class"))
+    own = members.select(F.col("id").alias("member"), "name", F.col("parent").alias("start"))
     above = members.select(F.col("id").alias("base_member"), F.col("name").alias("base_name"), F.col("parent").alias("base"))
-    return heirs.join(own, "class").join(above, "base").where("name = base_name").select("member", "base_member", "class", "base")
+    met = heirs.select("start", F.col("id").alias("base")).where("start <> base").join(own, "start").join(above, "base").where("name = base_name")
+    return met.select("member", "base_member", F.col("start").alias("class"), "base")
 
 
 def architecture(nodes: DataFrame, edges: DataFrame, files: DataFrame) -> DataFrame:

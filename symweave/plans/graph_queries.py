@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from symweave.functions.scalars import test_path
 from symweave.operators import accounting, diff, evidence, graph, lexical, nested, traverse
 from symweave.plans.problems import RECORDS, flat_sql
 from symweave.session import table
@@ -133,28 +134,41 @@ def graph_multiset(s, d):
 
 
 def closure_contracts(s, d):
-    return traverse.contracts(_edges(s, d).where("kind = 'overrides'").select(F.col("target").alias("id")).where("id is not null"), _edges(s, d), 3)
+    return _recipes(s, d).linked().where("distance > 0")
 
 
 def closure_flow(s, d):
-    return traverse.flow(_nodes(s, d).where("kind = 'function' and removed_at is not null").select("id"), _edges(s, d))
+    return traverse.flow(_symbols(s, d), _edges(s, d))
 
 
 def closure_tests(s, d):
-    return traverse.tests_of(_removed(s, d), _edges(s, d), _nodes(s, d))
+    return traverse.tests_of(_symbols(s, d), _edges(s, d), _nodes(s, d), 2)
 
 
 def closure_implementations(s, d):
-    return traverse.implementations(table(s, d, "library_nodes").select("id"), _edges(s, d))
+    return traverse.implementations(_symbols(s, d), _edges(s, d))
 
 
 def closure_impact(s, d):
-    return traverse.impact(table(s, d, "library_nodes").where("removed_at is not null").select("id"), _edges(s, d), _nodes(s, d))
+    return traverse.impact(_removed(s, d), _edges(s, d), _nodes(s, d))
+
+
+def closure_impact_files(s, d):
+    return traverse.impact_files(closure_impact(s, d), _nodes(s, d))
+
+
+def closure_depth(s, d):
+    return traverse.depth_limited(_removed(s, d), _edges(s, d), _nodes(s, d), 2)
 
 
 def closure_paths(s, d):
-    seeds = table(s, d, "library_nodes").where("removed_at is not null").select("id")
-    return traverse.paths(traverse.impact(seeds, _edges(s, d), _nodes(s, d), 3)).withColumn("path", F.array_join("path", " "))
+    return traverse.paths(closure_impact(s, d)).withColumn("path", F.array_join("path", " "))
+
+
+def closure_path_to(s, d):
+    tests = _nodes(s, d).where(test_path("file")).where("kind not in ('file', 'external')").select("id")
+    reached = traverse.flow(tests, _edges(s, d), 3).where("distance > 1")
+    return traverse.path_to(reached.select("start", F.col("id").alias("destination")), _edges(s, d), 3)
 
 
 def _dependencies(s, d):
@@ -167,15 +181,15 @@ def diff_current(s, d):
 
 
 def closure_affected_files(s, d):
-    snap = table(s, d, "file_snapshots")
-    two = diff.valid_snapshots(snap.where("snapshot_no in (4, 5)"))
-    changed = diff.detect_changes(two.where("snapshot_no = 4"), two.where("snapshot_no = 5"))
-    return traverse.affected_files(changed, _dependencies(s, d))
+    return traverse.affected_files(diff.file_changes(table(s, d, "file_snapshots")).select("file"), _dependencies(s, d))
 
 
 def diff_files(s, d):
-    two = diff.valid_snapshots(table(s, d, "file_snapshots").where("snapshot_no in (1, 5)"))
-    return diff.detect_changes(two.where("snapshot_no = 1"), two.where("snapshot_no = 5"))
+    return diff.file_changes(table(s, d, "file_snapshots"))
+
+
+def diff_correspondence(s, d):
+    return diff.relation_correspondence(table(s, d, "file_snapshots"))
 
 
 def diff_declarations(s, d):
@@ -319,8 +333,8 @@ def stream_index(s, d):
 _LISTED = [
     graph_nodes, graph_edges, graph_dangling, graph_unreferenced, graph_callers, graph_callees, graph_references, graph_neighbours, graph_dependencies, graph_search, graph_search_page, graph_resolve,
     graph_innermost, graph_homonyms, graph_derived_overrides, graph_architecture, graph_hubs, graph_ranked_callers, graph_health, graph_redelivered, graph_multiset,
-    closure_contracts, closure_flow, closure_tests, closure_implementations, closure_impact, closure_paths, closure_affected_files,
-    diff_files, diff_declarations, diff_relations, diff_diagnostics, diff_preceding,
+    closure_contracts, closure_flow, closure_tests, closure_implementations, closure_impact, closure_impact_files, closure_depth, closure_paths, closure_path_to, closure_affected_files,
+    diff_files, diff_correspondence, diff_declarations, diff_relations, diff_diagnostics, diff_preceding,
     lexical_frequencies, lexical_bm25, lexical_overlap, lexical_per_file, lexical_postings, lexical_posting_blocks,
     evidence_sections, evidence_page, evidence_files, evidence_groups, evidence_windows,
     usage_deltas, usage_sums, usage_conflicts, usage_campaign, usage_ledger, usage_read_audit, usage_percentiles, usage_bootstrap,
@@ -345,23 +359,25 @@ def _rel(kind: str, own: str, other: str) -> str:
       from e join n a on a.id = e.{own} join n b on b.id = e.{other} where e.kind = '{kind}'"""
 
 
-_WAYS = """ways as (
-  select distinct e.target a, e.source nx, e.kind reason, 0 cls from e where e.kind in ('references','calls','extends','implements','with','on','overrides','registers','imports','exports','part','part_of')
-  union select e.source, e.target, 'member_of_changed_container', 1 from e join n on n.id = e.source where e.kind = 'contains' and n.kind in ('file','class','mixin','enum','extension','extension_type','interface','struct','record','type')
-  union select e.source, e.target, 'dispatch_contract', 2 from e where e.kind = 'overrides'
-  union select n.id, p.id, 'container_of_affected_member', 3 from n join n p on p.id = n.parent where p.kind <> 'file'),
-w as (select ways.* from ways join n on n.id = ways.nx where a is not null),
-l0 as (select distinct library_nodes.id from library_nodes join n on n.id = library_nodes.id where library_nodes.removed_at is not null)"""
+_WAYS = """key0 as (select *, concat_ws('|', source, target, kind, file, start_offset) k from e where source is not null and target is not null),
+w0 as (select e.target a, e.source nx, e.kind reason, 0 cls, e.k from key0 e where e.kind in ('references','calls','extends','implements','with','on','overrides','registers','imports','exports','part','part_of')
+  union all select e.source, e.target, 'member_of_changed_container', 1, e.k from key0 e join n on n.id = e.source where e.kind = 'contains' and n.kind in ('file','class','mixin','enum','extension','extension_type','interface','struct','record','type')
+  union all select e.source, e.target, 'dispatch_contract', 2, e.k from key0 e where e.kind = 'overrides'
+  union all select n.id, p.id, 'container_of_affected_member', 3, '' from n join n p on p.id = n.parent where p.kind <> 'file'),
+w as (select w0.* from w0 join n on n.id = w0.nx where a is not null),
+l0 as (select id, null::varchar via, null::varchar reason, row_number() over (order by id) pos from n where removed_at is not null and kind <> 'file')"""
 
 
 def _impact(depth: int) -> str:
+    """The levels of the impact as l0, l1, ... and all of them as ``im``."""
     seen, sql = "select id from l0", ""
-    parts = ["select id, 0 distance, null::varchar via, null::varchar reason from l0"]
+    parts = ["select id, 0 distance, via, reason from l0"]
     for k in range(1, depth + 1):
-        sql += f""", l{k} as (select nx id, m[4] via, m[3] reason from (select nx, min([encode_key(a), w.cls::varchar, w.reason, w.a]) m from w join l{k - 1} on w.a = l{k - 1}.id where nx not in ({seen}) group by nx))"""
+        sql += f""", c{k} as (select nx id, l{k - 1}.id via, w.reason, pos, cls, w.k, row_number() over (partition by nx order by pos, cls, w.k) rn from w join l{k - 1} on w.a = l{k - 1}.id where nx not in ({seen})),
+        l{k} as (select id, via, reason, row_number() over (order by pos, cls, k, id) pos from c{k} where rn = 1)"""
         seen += f" union all select id from l{k}"
         parts.append(f"select id, {k}, via, reason from l{k}")
-    return (f"with {_N}, {_E}, {_WAYS}{sql} " + " union all ".join(parts)).replace("encode_key(a)", "w.a")
+    return f"with recursive {_N}, {_E}, {_WAYS}{sql}, im as (" + " union all ".join(parts) + ")"
 
 
 _TERMS = """list_distinct(list_concat(list_transform(regexp_extract_all({t}, '[\\p{{L}}\\p{{N}}]+'), lambda w: lower(w)),
@@ -479,7 +495,49 @@ def _evidence(intent: str) -> str:
 
 _RM = _evidence("remove_symbol")
 
+_FC = """fc as (select b.snapshot_no, b.file, 'changed' change from v b left join v a on a.file = b.file and a.snapshot_no = b.snapshot_no - 1 where b.snapshot_no > 1 and (a.file is null or lower(a.hash) is distinct from lower(b.hash))
+  union all select a.snapshot_no + 1, a.file, 'deleted' from v a left join v b on a.file = b.file and b.snapshot_no = a.snapshot_no + 1 where a.snapshot_no < 5 and b.file is null)"""
+
+
+def _steps(depth: int) -> str:
+    """Levels of the shortest ways from every start, each with the first relation that leads to a node."""
+    parts, seen = [], "q0"
+    for k in range(1, depth + 1):
+        parts.append(f"""d{k} as (select q.start, w.nx id, q.pos, q.id via, w.way, w.source, w.target, w.kind, w.file, w.start_offset, w.k, row_number() over (partition by q.start, w.nx order by q.pos, w.way, w.kind, w.k) rn
+        from q{k - 1} q join w on w.a = q.id where not exists (select 1 from {seen} z where z.start = q.start and z.id = w.nx)),
+      q{k} as (select start, id, row_number() over (partition by start order by pos, way, kind, k, id) - 1 pos, via, source, target, kind, file, start_offset from d{k} where rn = 1)""")
+        seen = f"(select start, id from q{k} union all select start, id from {seen.replace(' z', '')})"
+    return ",\n      ".join(parts)
+
+
+_STEPS = _steps(3)
+
 ORACLES = {
+    "diff_correspondence": f"""with {_V}, x as (select snapshot_no, file, e.source, e.target, e.kind, coalesce(e.confidence, 'resolved') confidence, e.line, e.start_offset from (select snapshot_no, file, unnest(edges) e from v) where e is not null),
+      pr as (select coalesce(b.snapshot_no, a.snapshot_no + 1) sn, coalesce(b.file, a.file) file, a.file is not null there, b.file is not null here, a.file is null or b.file is null or lower(a.hash) is distinct from lower(b.hash) mv
+        from v b full join v a on a.file = b.file and a.snapshot_no = b.snapshot_no - 1 where coalesce(b.snapshot_no, a.snapshot_no + 1) between 2 and 5),
+      o as (select pr.sn, pr.here, pr.mv, x.* from x join pr on pr.sn = x.snapshot_no + 1 and pr.file = x.file), nw as (select pr.sn, pr.mv, x.* from x join pr on pr.sn = x.snapshot_no and pr.file = x.file),
+      oc as (select sn, file, source, target, kind, confidence, line, start_offset, any_value(mv) mv, any_value(here) here, count(*) m from o group by all), nc as (select sn, file, source, target, kind, confidence, line, start_offset, count(*) k from nw group by all),
+      j as (select coalesce(oc.sn, nc.sn) sn, coalesce(oc.file, nc.file) file, coalesce(m, 0) m, coalesce(k, 0) k, coalesce(oc.mv, true) mv, oc.here from oc full join nc on oc.sn = nc.sn and oc.file = nc.file and oc.source is not distinct from nc.source and oc.target is not distinct from nc.target
+        and oc.kind is not distinct from nc.kind and oc.confidence = nc.confidence and oc.line is not distinct from nc.line and oc.start_offset is not distinct from nc.start_offset),
+      f as (select sn, file, sum(case when mv then 0 else least(m, k) end) unchanged, 0 relocated, sum(case when mv and here then m else 0 end) uncertain, sum(case when mv and here then 0 when mv then m else m - least(m, k) end) removed, sum(case when mv then k else k - least(m, k) end) added from j group by all),
+      s as (select sn, file, source, target, kind, confidence, sum(w) w from (select sn, file, source, target, kind, confidence, -1 w from o union all select sn, file, source, target, kind, confidence, 1 from nw) group by all),
+      t as (select sn, file, sum(greatest(-w, 0)) rm, sum(greatest(w, 0)) ad from s group by all)
+      select cast(sn as int) snapshot_no, file, unchanged::bigint unchanged, relocated::bigint relocated, uncertain::bigint uncertain, removed::bigint removed, added::bigint added, rm::bigint removed_multiplicity, ad::bigint added_multiplicity from f join t using (sn, file)""",
+    "closure_path_to": f"""with recursive {_N}, {_E}, u as (select *, concat_ws('|', source, target, kind, file, start_offset) k from e where kind in ('calls', 'overrides') and source is not null and target is not null),
+      y as (select source a, target nx, 0 way, * from u union all select target, source, 1, * from u where kind = 'overrides'),
+      ww as (select *, row_number() over (partition by a, nx order by way, kind, k) rn from y), w as (select * from ww where rn = 1),
+      q0 as (select id as start, id, 0 pos, null::varchar via, null::varchar source, null::varchar target, null::varchar kind, null::varchar file, null::bigint start_offset from n
+        where kind not in ('file', 'external') and regexp_matches(file, '(^|/)(tests?|integration_test|__tests__)/|_test\\.|\\.test\\.|\\.spec\\.|Test\\.(java|kt)$')),
+      {_STEPS},
+      al as (select 1 step, * from q1 union all select 2, * from q2 union all select 3, * from q3),
+      bk as (select al.start, al.id destination, al.step, al.via, al.source, al.target, al.kind, al.file, al.start_offset from al where step > 1
+        union all select bk.start, bk.destination, al.step, al.via, al.source, al.target, al.kind, al.file, al.start_offset from bk join al on al.start = bk.start and al.id = bk.via and al.step = bk.step - 1)
+      select start, destination, step, source, target, kind, file, start_offset from bk""",
+    "closure_paths": f"""{_impact(6)}, p as (select id, distance, id path from im where distance = 0 union all select im.id, im.distance, p.path || ' ' || im.id from p join im on im.via = p.id and im.distance = p.distance + 1) select id, distance, path from p""",
+    "closure_depth": f"""{_impact(3)} select 2 depth, count(case when distance between 1 and 2 then 1 end) n_reached, (select count(distinct coalesce(file, '')) from im join n using (id) where distance between 1 and 2) n_files,
+      count(case when distance > 2 then 1 end) > 0 depth_limited from im""",
+    "closure_impact_files": f"{_impact(6)} select file, min(distance) distance, count(*) n_nodes from im join n using (id) where distance > 0 group by file",
     "graph_nodes": f"with {_N} select * replace (array_to_string(tags, ',') as tags) from n",
     "graph_edges": f"with {_E} select * from e",
     "graph_dangling": f"with {_N} select edges.kind, count(*) n_edges, count(*) - count(case when a.id is not null and b.id is not null then 1 end) n_dropped from edges left join n a on a.id = source left join n b on b.id = target group by edges.kind",
@@ -502,9 +560,9 @@ ORACLES = {
     "graph_innermost": f"""with {_N}, s as (select distinct edge_id, file, line from edges), m as (select edge_id, n.id, row_number() over (partition by edge_id order by n.end_line - n.line, n.id) rn
       from s join n on n.file = s.file and s.line between n.line and n.end_line where n.kind <> 'file') select edge_id, id node_id from m where rn = 1""",
     "graph_homonyms": f"with {_N} select name, kind, count(*) n_nodes, count(distinct coalesce(file, '')) n_files from n where kind not in ('file', 'external') group by name, kind having count(*) > 1",
-    "graph_derived_overrides": f"""with {_N}, {_E}, h as (select distinct source, target from e where kind in ('extends', 'implements', 'with')),
+    "graph_derived_overrides": f"""with recursive {_N}, {_E}, h as (select source, target from e where kind in ('extends', 'implements', 'with') and source is not null and target is not null union select h.source, e.target from h join e on e.source = h.target where e.kind in ('extends', 'implements', 'with') and e.target is not null),
       m as (select * from n where kind in ('method', 'getter', 'setter', 'field') and parent is not null)
-      select a.id member, b.id base_member, h.source "class", h.target base from h join m a on a.parent = h.source join m b on b.parent = h.target where a.name = b.name""",
+      select a.id member, b.id base_member, h.source "class", h.target base from h join m a on a.parent = h.source join m b on b.parent = h.target where a.name = b.name and h.source <> h.target""",
     "graph_architecture": f"""with {_N}, {_E}, {_CUR}, own as (select * from n where kind not in ('file', 'external')),
       x as (select 'languages' section, {_LANG} as key from cur union all select 'kinds', kind from own union all select 'tags', unnest(tags) from own
         union all select 'directories', case when len(string_split(file, '/')) < 3 then '.' else array_to_string(string_split(file, '/')[2:least(3, len(string_split(file, '/')) - 1)], '/') end from own
@@ -514,8 +572,8 @@ ORACLES = {
     "graph_hubs": f"with {_N}, {_E}, g as (select target, count(*) n_in from e group by target) select n.id, n.kind, n_in from n join g on g.target = n.id order by n_in desc, n.id limit 20",
     "graph_ranked_callers": f"""with {_N}, {_E}, c as (select target, source, count(*) n from e where kind = 'calls' and source in (select id from n) group by all),
       r as (select *, row_number() over (partition by target order by n desc, source) place from c) select target, source, n, cast(place as int) place from r where place <= 3""",
-    "closure_implementations": f"""with recursive {_E}, st as (select distinct target a, source b from e where kind in ('extends', 'implements', 'with', 'overrides') and source is not null and target is not null),
-      r as (select distinct id as start, id, 0 d from library_nodes union select r.start, st.b, r.d + 1 from r join st on st.a = r.id where r.d < 40)
+    "closure_implementations": f"""with recursive {_N}, {_E}, st as (select distinct target a, source b from e where kind in ('extends', 'implements', 'with', 'overrides') and source is not null and target is not null),
+      r as (select id as start, id, 0 d from n where kind not in ('file', 'external') union select r.start, st.b, r.d + 1 from r join st on st.a = r.id where r.d < 40)
       select start, id, cast(min(d) as int) distance from r group by start, id having min(d) > 0""",
     "graph_health": f"""with {_N}, {_E}, fx as (select file, unresolved_calls, diagnostics, row_number() over (partition by file order by indexed_at desc nulls last) rn from files where file is not null),
       a as (select split_part(file, '/', 1) repo, count(*) n_files, cast(coalesce(sum(unresolved_calls), 0) as bigint) n_unresolved, cast(sum(coalesce(len(diagnostics), 0)) as bigint) n_diagnostics from fx where rn = 1 group by 1),
@@ -524,24 +582,20 @@ ORACLES = {
     "graph_redelivered": """with v as (select edge_id, source, target, kind, file, line, start_offset, confidence, indexed_at, received_at, count(*) n from edges group by all)
       select edge_id, cast(sum(n) as bigint) copies, count(*) versions from v group by edge_id having sum(n) > 1""",
     "graph_multiset": "select source, target, kind, file, start_offset, 'a' side, count(*) - 1 left_over from edges group by all having count(*) > 1",
-    "closure_contracts": f"""with recursive {_N}, {_E}, st as (select source a, target b from e where kind = 'overrides' and source is not null and target is not null union select target, source from e where kind = 'overrides' and source is not null and target is not null),
-      r as (select distinct target as start, target id, 0 d from e where kind = 'overrides' and target is not null union select r.start, st.b, r.d + 1 from r join st on st.a = r.id where r.d < 3)
-      select start, id, cast(min(d) as int) distance from r group by start, id having min(d) > 0""",
+    "closure_contracts": f"with recursive {_CONTEXT} select start, id, d distance from ln where d > 0",
     "closure_flow": f"""with recursive {_N}, {_E}, st as (select source a, target b from e where kind in ('calls', 'overrides') and source is not null and target is not null union select target, source from e where kind = 'overrides' and source is not null and target is not null),
-      r as (select distinct id as start, id, 0 d from n where kind = 'function' and removed_at is not null union select r.start, st.b, r.d + 1 from r join st on st.a = r.id where r.d < 3)
+      r as (select distinct id as start, id, 0 d from n where kind not in ('file', 'external') union select r.start, st.b, r.d + 1 from r join st on st.a = r.id where r.d < 3)
       select start, id, cast(min(d) as int) distance from r group by start, id having min(d) > 0""",
     "closure_tests": f"""with recursive {_N}, {_E}, st as (select distinct target a, source b from e where kind in ('references', 'calls', 'overrides') and source is not null and target is not null),
-      r as (select id as start, id, 0 d from n where removed_at is not null and kind <> 'file' union select r.start, st.b, r.d + 1 from r join st on st.a = r.id where r.d < 4),
+      r as (select id as start, id, 0 d from n where kind not in ('file', 'external') union select r.start, st.b, r.d + 1 from r join st on st.a = r.id where r.d < 2),
       m as (select start, id, cast(min(d) as int) distance from r group by start, id having min(d) > 0)
       select m.start, m.id, n.file, m.distance from m join n on n.id = m.id where regexp_matches(n.file, '(^|/)(tests?|integration_test|__tests__)/|_test\\.|\\.test\\.|\\.spec\\.|Test\\.(java|kt)$')""",
     "stream_sliding": """with x as (select event_type, date_trunc('day', ts) as day from events), y as (select event_type, day started from x union all select event_type, day - interval 1 day from x),
       z as (select event_type, started, count(*) n from y group by all) select event_type, started, n from z""",
-    "closure_impact": _impact(6),
-    "diff_files": f"""with {_V}, a as (select * from v where snapshot_no = 1), b as (select * from v where snapshot_no = 5)
-      select coalesce(b.file, a.file) file, case when b.file is null then 'deleted' else 'changed' end change from a full join b on a.file = b.file where a.file is null or b.file is null or lower(a.hash) is distinct from lower(b.hash)""",
-    "closure_affected_files": f"""with recursive {_V}, {_CUR}, ch as (select coalesce(b.file, a.file) file from (select * from v where snapshot_no = 4) a full join (select * from v where snapshot_no = 5) b on a.file = b.file
-        where a.file is null or b.file is null or lower(a.hash) is distinct from lower(b.hash)), dep as (select distinct file, unnest(dependencies) target from cur),
-      r as (select file, 0 k from ch union select dep.file, r.k + 1 from r join dep on dep.target = r.file where r.k < 60) select file, cast(min(k) as int) round from r group by file""",
+    "closure_impact": f"{_impact(6)} select * from im",
+    "diff_files": f"with {_V}, {_FC} select cast(snapshot_no as int) snapshot_no, file, change from fc",
+    "closure_affected_files": f"""with recursive {_V}, {_CUR}, {_FC}, dep as (select distinct file, unnest(dependencies) target from cur),
+      r as (select distinct file, 0 k from fc union select dep.file, r.k + 1 from r join dep on dep.target = r.file where r.k < 60) select file, cast(min(k) as int) round from r group by file""",
     "diff_declarations": f"""with {_V}, x as (select snapshot_no, file, unnest(nodes) n from v), y as (select snapshot_no, file, n.id id, min(n) body from x where n.id is not null group by all),
       c as (select b.snapshot_no, b.file, b.id, case when a.id is null then 'added' else 'changed' end change from y b left join y a on a.file = b.file and a.id = b.id and a.snapshot_no = b.snapshot_no - 1 where a.id is null or a.body is distinct from b.body
         union all select a.snapshot_no + 1, a.file, a.id, 'removed' from y a left join y b on a.file = b.file and a.id = b.id and b.snapshot_no = a.snapshot_no + 1 where b.id is null)

@@ -2,9 +2,11 @@
 
 import math
 import os
+import random
 from datetime import datetime as T
 
 import pytest
+from pyspark.sql import functions as F
 
 from symweave import session
 from symweave.functions import scalars
@@ -92,19 +94,75 @@ def test_affected_files_with_scopes(spark):
     changed = spark.createDataFrame([("a",)], "file string")
     needs = spark.createDataFrame([("b", "a"), ("c", "b"), ("a", "c"), ("x", "y"), (None, "a")], "file string, target string")
     assert {r.file: r.round for r in traverse.affected_files(changed, needs).collect()} == {"a": 0, "b": 1, "c": 2}
-    scopes = spark.createDataFrame([("a", "s"), ("x", "s"), ("z", "t")], "file string, scope string")
-    assert {r.file for r in traverse.affected_files(changed, needs, scopes).collect()} == {"a", "b", "c", "x"}
+    scopes = spark.createDataFrame([("a", "s"), ("x", "s"), ("z", "t"), ("w", "u")], "file string, scope string")
+    assert {r.file: r.round for r in traverse.affected_files(changed, needs, scopes).collect()} == {"a": 0, "b": 1, "c": 2, "x": 2}
+    groups = spark.createDataFrame([("s", "u")], "from_scope string, to_scope string")
+    assert {r.file: r.round for r in traverse.affected_files(changed, needs, scopes, groups).collect()} == {"a": 0, "b": 1, "c": 2, "x": 2, "w": 3}
+
+
+def _edges(spark, rows):
+    return spark.createDataFrame([(s, t, k, "f", i) for i, (s, t, k) in enumerate(rows)], "source string, target string, kind string, file string, start_offset long")
 
 
 def test_impact_takes_the_first_way(spark):
     nodes = spark.createDataFrame([("Repo", "class", "f"), ("Repo.fetch", "method", "Repo"), ("Mem.fetch", "method", None), ("use", "function", None), ("f", "file", None)], "id string, kind string, parent string")
-    edges = spark.createDataFrame([("Repo", "Repo.fetch", "contains"), ("Mem.fetch", "Repo.fetch", "overrides"), ("use", "Repo.fetch", "calls"), ("gone", "Repo.fetch", "calls")], "source string, target string, kind string")
+    edges = _edges(spark, [("Repo", "Repo.fetch", "contains"), ("Mem.fetch", "Repo.fetch", "overrides"), ("use", "Repo.fetch", "calls"), ("gone", "Repo.fetch", "calls")])
     seeds = spark.createDataFrame([("Mem.fetch",), ("absent",)], "id string")
     found = {r.id: (r.distance, r.via, r.reason) for r in traverse.impact(seeds, edges, nodes).collect()}
     assert found == {"Mem.fetch": (0, None, None), "Repo.fetch": (1, "Mem.fetch", "dispatch_contract"), "use": (2, "Repo.fetch", "calls"), "Repo": (2, "Repo.fetch", "container_of_affected_member")}
     assert {r.id for r in traverse.impact(seeds, edges, nodes, 1).collect()} == {"Mem.fetch", "Repo.fetch"}
     ways = {r.id: r.path for r in traverse.paths(traverse.impact(seeds, edges, nodes)).collect()}
     assert ways["use"] == ["Mem.fetch", "Repo.fetch", "use"] and len(ways) == 4
+    known = nodes.withColumn("file", F.lit("f"))
+    assert tuple(traverse.depth_limited(seeds, edges, known, 1).first()) == (1, 1, 1, True) and tuple(traverse.depth_limited(seeds, edges, known, 2).first()) == (2, 3, 1, False)
+
+
+def test_impact_goes_in_the_order_of_discovery(spark):
+    rng = random.Random(6)
+    names = [f"n{i}" for i in range(40)]
+    nodes = spark.createDataFrame([(n, rng.choice(["class", "function", "method"]), rng.choice([None, *names])) for n in names], "id string, kind string, parent string")
+    links = sorted({(rng.choice(names), rng.choice(names), rng.choice(["calls", "references", "overrides", "contains", "other"])) for _ in range(90)})
+    rows = [(s, t, k, "f", i) for i, (s, t, k) in enumerate(links)]
+    edges = spark.createDataFrame(rows, "source string, target string, kind string, file string, start_offset long")
+    kind, parent = {r.id: r.kind for r in nodes.collect()}, {r.id: r.parent for r in nodes.collect()}
+    key = lambda e: f"{e[0]}|{e[1]}|{e[2]}|{e[3]}|{e[4]}"
+    ordered = sorted(rows, key=key)
+    seen, queue = {"n3": (0, None, None), "n7": (0, None, None)}, ["n3", "n7"]
+    while queue:
+        at = queue.pop(0)
+        ways = [(e[0], e[2]) for e in ordered if e[1] == at and e[2] in traverse.IMPACT]
+        ways += [(e[1], "member_of_changed_container") for e in ordered if e[0] == at and e[2] == "contains" and kind[at] == "class"] + [(e[1], "dispatch_contract") for e in ordered if e[0] == at and e[2] == "overrides"]
+        ways += [(parent[at], "container_of_affected_member")] if parent[at] else []
+        for to, why in ways:
+            if to not in seen and seen[at][0] < 4:
+                seen[to] = (seen[at][0] + 1, at, why)
+                queue.append(to)
+    found = {r.id: (r.distance, r.via, r.reason) for r in traverse.impact(spark.createDataFrame([("n7",), ("n3",)], "id string"), edges, nodes, 4).collect()}
+    assert found == seen and len(found) > 15
+
+
+def test_only_the_shortest_path_is_returned(spark):
+    side = [("s", f"x{i}", "calls") for i in range(20)] + [(f"x{i}", f"y{i}", "calls") for i in range(20)]
+    edges = _edges(spark, [*side, ("s", "a", "calls"), ("impl", "a", "overrides"), ("impl", "goal", "calls"), ("s", "b", "calls"), ("b", "c", "calls"), ("c", "d", "calls"), ("d", "goal", "calls"), ("goal", "back", "calls")])
+    pairs = spark.createDataFrame([("s", "goal"), ("s", "nowhere"), ("goal", "s"), ("s", "s"), (None, "s")], "start string, destination string")
+    rows = {(r.start, r.destination, r.step): (r.source, r.target, r.kind) for r in traverse.path_to(pairs, edges).collect()}
+    assert rows == {("s", "goal", 1): ("s", "a", "calls"), ("s", "goal", 2): ("impl", "a", "overrides"), ("s", "goal", 3): ("impl", "goal", "calls")}
+    assert traverse.path_to(pairs, edges, 2).count() == 0
+
+
+def test_affected_files_over_long_chains(spark, monkeypatch):
+    monkeypatch.setattr(traverse, "LINKS_PER_TASK", 40)
+    rng = random.Random(9)
+    links = [(f"r{i % 3}/f{i}", f"r{(i - 1) % 3 if i % 50 == 0 else i % 3}/f{i - (1 if i % 50 == 0 else 3)}") for i in range(3, 400)] + [(f"r0/f{rng.randrange(400)}", f"r1/f{rng.randrange(400)}") for _ in range(60)]
+    rounds, todo = {"r0/f0": 0, "r1/f100": 0}, ["r0/f0", "r1/f100"]
+    while todo:
+        at = todo.pop(0)
+        for user, target in links:
+            if target == at and user not in rounds:
+                rounds[user] = rounds[at] + 1
+                todo.append(user)
+    changed = spark.createDataFrame([("r0/f0",), ("r1/f100",), (None,)], "file string")
+    assert {r.file: r.round for r in traverse.affected_files(changed, spark.createDataFrame(links, "file string, target string")).collect()} == rounds
 
 
 def test_closure_ends_on_circles(spark):
@@ -136,6 +194,35 @@ def test_resolve_takes_the_least_tier(spark):
     assert found == {"f::A.m#method": (0, 1, "f::A.m#method"), "f": (1, 1, "f::file"), "A.m": (2, 1, "f::A.m#method"), "m": (2, 1, "g::m#function"), "none": (None, 0, None)}
 
 
+SNAPS = "snapshot_no int, file string, hash string, nodes array<struct<id:string>>, edges array<struct<source:string,target:string,kind:string,line:long,start_offset:long,confidence:string>>, received_at timestamp_ntz"
+
+
+def _compared(spark, before, after, old_sites, new_sites, file="a.ts"):
+    site = lambda text, at: ("s", "t", "calls", text.count("\n", 0, at) + 1, at, None)
+    rows = [(n, file, t, None, [site(t, i) for i in sites], T(2025, n, 1)) for n, t, sites in ((1, before, old_sites), (2, after, new_sites))]
+    texts = spark.createDataFrame([(2, file, before, after)], "snapshot_no int, file string, before string, after string")
+    return tuple(diff.relation_correspondence(spark.createDataFrame(rows, SNAPS), diff.site_intervals(texts)).first())[2:]
+
+
+def test_relations_that_moved_answer_to_each_other(spark):
+    old = "".join(f"target({i});\n" for i in range(100))
+    new = "// prefix\n" + old
+    places = lambda t: [i for i in range(len(t)) if t.startswith("target(", i)]
+    assert _compared(spark, old, new, places(old), places(new)) == (0, 100, 0, 0, 0, 0, 0)
+    assert _compared(spark, "target(1); target(1);\n", "target(1);\n", [0, 11], [0]) == (0, 0, 2, 0, 1, 1, 0)
+    assert _compared(spark, "a();target(1);b();\n", "a(); target(1);b();\n", [0, 4, 14], [0, 5, 15]) == (1, 2, 0, 0, 0, 0, 0)
+    assert _compared(spark, "same\n", "same\n", [0, 0], [0]) == (1, 0, 0, 1, 0, 1, 0)
+
+
+def test_intervals_count_in_the_units_of_the_language(spark):
+    texts = spark.createDataFrame([(f, "ä😀\nx\n", "ä😀\nnew\nx\n") for f in ("a.ts", "a.go", "a.py")] + [("b.py", "x\ny\n", "y\nx\n"), ("c.py", None, "x"), ("d.py", "", "")], "file string, before string, after string")
+    found = {}
+    for r in diff.site_intervals(texts).collect():
+        found.setdefault(r.file, []).append(tuple(r)[1:])
+    assert {f: sorted(v) for f, v in found.items()} == {f: [(0, 0, n, 1, 1), (n, n + 4, 2, 2, 3)] for f, n in (("a.ts", 4), ("a.go", 7), ("a.py", 3))}
+    assert diff.site_intervals(texts.where("false")).count() == 0
+
+
 def test_moved_lines(spark):
     old = spark.createDataFrame([("f", "a\nb\nb\nc")], "file string, text string")
     new = spark.createDataFrame([("f", "x\r\na\r\nc\r\nb")], "file string, text string")
