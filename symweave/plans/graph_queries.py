@@ -208,20 +208,36 @@ def diff_preceding(s, d):
     return diff.preceding_declaration(table(s, d, "edges").select("edge_id", "file", "start_offset").distinct(), _nodes(s, d))
 
 
+def _lines(s, d):
+    return lexical.line_documents(table(s, d, "sources"), _nodes(s, d))
+
+
 def lexical_frequencies(s, d):
-    return lexical.document_frequencies(lexical.line_documents(table(s, d, "sources")))
+    return lexical.document_frequencies(_lines(s, d))
 
 
 def lexical_bm25(s, d):
-    return lexical.rank(lexical.line_documents(table(s, d, "sources")), "switch total default").withColumn("score", F.round("score", 6))
+    return lexical.rank(_lines(s, d), "switch total default", _nodes(s, d)).withColumn("score", F.round("score", 6))
 
 
 def lexical_overlap(s, d):
-    return lexical.rank(lexical.line_documents(table(s, d, "sources")), "HashMap record string", ranking="overlap").withColumn("score", F.round("score", 6))
+    return lexical.rank(_lines(s, d), "HashMap record string", _nodes(s, d), ranking="overlap").withColumn("score", F.round("score", 6))
+
+
+def lexical_filtered(s, d):
+    return lexical.rank(_lines(s, d), "switch total return", _nodes(s, d), lang="go", kind="method").withColumn("score", F.round("score", 6))
+
+
+def lexical_grouped(s, d):
+    return lexical.grouped(lexical.scored(_lines(s, d), "switch total default", _nodes(s, d))).withColumn("score", F.round("score", 6))
+
+
+def lexical_expanded(s, d):
+    return lexical.expanded(lexical.rank(_lines(s, d), "switch total default", _nodes(s, d)), _edges(s, d), "dependencies")
 
 
 def lexical_per_file(s, d):
-    return lexical.best_per_file(lexical.line_documents(table(s, d, "sources")), ["switch", "total", "default"])
+    return lexical.best_per_file(_lines(s, d), ["switch", "total", "default"])
 
 
 def lexical_postings(s, d):
@@ -335,7 +351,7 @@ _LISTED = [
     graph_innermost, graph_homonyms, graph_derived_overrides, graph_architecture, graph_hubs, graph_ranked_callers, graph_health, graph_redelivered, graph_multiset,
     closure_contracts, closure_flow, closure_tests, closure_implementations, closure_impact, closure_impact_files, closure_depth, closure_paths, closure_path_to, closure_affected_files,
     diff_files, diff_correspondence, diff_declarations, diff_relations, diff_diagnostics, diff_preceding,
-    lexical_frequencies, lexical_bm25, lexical_overlap, lexical_per_file, lexical_postings, lexical_posting_blocks,
+    lexical_frequencies, lexical_bm25, lexical_overlap, lexical_filtered, lexical_grouped, lexical_expanded, lexical_per_file, lexical_postings, lexical_posting_blocks,
     evidence_sections, evidence_page, evidence_files, evidence_groups, evidence_windows,
     usage_deltas, usage_sums, usage_conflicts, usage_campaign, usage_ledger, usage_read_audit, usage_percentiles, usage_bootstrap,
     source_hashes, source_record_nodes, source_violations, source_upsert,
@@ -389,23 +405,27 @@ def _terms(t: str) -> str:
 
 
 _DOCS = f"""tx as (select file, max(text) t from sources where file is not null and text is not null group by file),
-li as (select file, string_split(replace(t, chr(13) || chr(10), chr(10)), chr(10)) ls from tx),
-ln as (select file, unnest(range(1, len(ls) + 1)) line, unnest(ls) body from li),
-dd as (select file, cast(line as int) line, {_terms('body')} own, {_terms('file')} ft from ln),
-doc as (select file, line, list_distinct(list_concat(own, ft)) terms, ft from dd where len(own) > 0)"""
+li as (select file, string_split(t, chr(10)) ls from tx),
+lb as (select file, unnest(range(1, len(ls) + 1)) line, unnest(ls) body from li),
+la as (select * from (select lb.*, n.id anchor, row_number() over (partition by lb.file, lb.line order by n.end_line - n.line, n.id) rn from lb left join n on n.file = lb.file and n.kind <> 'file' and lb.line between n.line and n.end_line) where rn = 1),
+dd as (select file, cast(line as int) line, anchor, {_terms('body')} own, list_distinct(list_concat({_terms('file')}, coalesce({_terms('anchor')}, []))) ft from la),
+doc as (select file, line, anchor, list_distinct(list_concat(own, ft)) terms, ft from dd where len(own) > 0)"""
 
 
-def _score(query: list[str], ranking: str) -> str:
+def _scored(query: list[str], ranking: str = "bm25", scope: str = "true") -> str:
+    """The rows with a term of the query as ``sc``; none of these queries names a declaration."""
     one = []
     for t in query:
-        df = f"(select count(*) from doc where list_contains(terms, '{t}'))"
+        df = f"(select count(*) from doc where {scope} and list_contains(terms, '{t}'))"
         if ranking == "overlap":
             one.append(f"case when list_contains(terms, '{t}') then ln((N + 1) / ({df} + 1)) + 1 else 0 end")
         else:
             one.append(f"case when list_contains(terms, '{t}') then ln(1 + (N - {df} + 0.5) / ({df} + 0.5)) * 2.2 / (1 + 1.2 * (0.25 + 0.75 * len(terms) / A)) * case when list_contains(ft, '{t}') then 2 else 1 end else 0 end")
-    return f"""with {_DOCS}, st as (select count(*) N, greatest(avg(len(terms)), 1) A from doc),
-      sc as (select file, line, {' + '.join(one)} score, cast(len(list_intersect(terms, [{', '.join(repr(t) for t in query)}])) as int) matched from doc, st)
-      select file, line, round(score, 6) score, matched from sc where matched > 0 order by sc.score desc, file, line limit 50"""
+    return f"""with {_N}, {_E}, {_DOCS}, ix as (select count(*) N, greatest(avg(len(terms)), 1) A from doc where {scope}),
+      sc as (select file, line, anchor, {' + '.join(one)} score, cast(len(list_intersect(terms, [{', '.join(repr(t) for t in query)}])) as int) matched from doc, ix where {scope} and len(list_intersect(terms, [{', '.join(repr(t) for t in query)}])) > 0)"""
+
+
+_TOP = "select file, line, anchor, round(score, 6) score, matched from sc order by sc.score desc, file, line limit 50"
 
 
 _CONTEXT = f"""{RECORDS}, {_N}, {_E},
@@ -513,6 +533,14 @@ def _steps(depth: int) -> str:
 _STEPS = _steps(3)
 
 ORACLES = {
+    "lexical_postings": f"""with {_N}, q as (select id, unnest({_terms('qualified')}) term from n where kind not in ('file', 'external')), r as (select *, row_number() over (partition by term order by id) k, count(*) over (partition by term) df from q)
+      select term, df, string_agg(id, ' ' order by k) first_ids from r where k <= 20 group by term, df""",
+    "lexical_expanded": f"""{_scored(['switch', 'total', 'default'])}, tp as (select * from sc order by score desc, file, line limit 50), a as (select distinct anchor from tp where anchor is not null),
+      x as (select e.* from e join a on a.anchor = e.source where e.kind in ('calls', 'references', 'overrides') order by a.anchor, list_position(['calls', 'references', 'overrides'], e.kind), concat_ws('|', source, target, kind, file, start_offset) limit 40)
+      select distinct source, target, kind, file, line, start_offset from x""",
+    "lexical_grouped": f"""{_scored(['switch', 'total', 'default'])}, g as (select *, coalesce(anchor, file || '::file') grp from sc), r as (select *, row_number() over (partition by grp order by score desc, file, line) k, count(*) over (partition by grp) c from g),
+      m as (select grp, string_agg(line::varchar, ' ' order by k) ml from r where k <= 3 group by grp) select file, line, anchor, round(score, 6) score, matched, c match_count, ml match_lines from r join m using (grp) where k = 1 order by r.score desc, file, line limit 50""",
+    "lexical_filtered": f"{_scored(['switch', 'total', 'return'], scope='file like $$%.go$$')} select file, line, anchor, round(score, 6) score, matched from sc where anchor in (select id from n where kind = 'method') order by sc.score desc, file, line limit 50",
     "diff_correspondence": f"""with {_V}, x as (select snapshot_no, file, e.source, e.target, e.kind, coalesce(e.confidence, 'resolved') confidence, e.line, e.start_offset from (select snapshot_no, file, unnest(edges) e from v) where e is not null),
       pr as (select coalesce(b.snapshot_no, a.snapshot_no + 1) sn, coalesce(b.file, a.file) file, a.file is not null there, b.file is not null here, a.file is null or b.file is null or lower(a.hash) is distinct from lower(b.hash) mv
         from v b full join v a on a.file = b.file and a.snapshot_no = b.snapshot_no - 1 where coalesce(b.snapshot_no, a.snapshot_no + 1) between 2 and 5),
@@ -610,10 +638,10 @@ ORACLES = {
       union all select distinct file, unnest(list_filter(coalesce(old, []), lambda x: not list_contains(coalesce(d, []), x))), 'resolved' from u""",
     "diff_preceding": f"""with {_N}, s as (select distinct edge_id, file, start_offset from edges where start_offset is not null), m as (select edge_id, n.id, row_number() over (partition by edge_id order by n.start_offset desc, n.id desc) rn
       from s join n on n.file = s.file and n.start_offset <= s.start_offset where n.kind <> 'file') select edge_id, id node_id from m where rn = 1""",
-    "lexical_frequencies": f"with {_DOCS} select t term, count(*) df from (select unnest(terms) t from doc) group by t",
-    "lexical_bm25": _score(["switch", "total", "default"], "bm25"),
-    "lexical_overlap": _score(["hashmap", "record", "string", "hash", "map"], "overlap"),
-    "lexical_per_file": f"""with {_DOCS}, h as (select file, line, len(list_intersect(terms, ['switch', 'total', 'default'])) m from doc), r as (select *, row_number() over (partition by file order by m desc, line) rn, count(*) over (partition by file) c from h where m > 0)
+    "lexical_frequencies": f"with {_N}, {_DOCS} select t term, count(*) df from (select unnest(terms) t from doc) group by t",
+    "lexical_bm25": f"{_scored(['switch', 'total', 'default'])} {_TOP}",
+    "lexical_overlap": f"{_scored(['hashmap', 'record', 'string', 'hash', 'map'], 'overlap')} {_TOP}",
+    "lexical_per_file": f"""with {_N}, {_DOCS}, h as (select file, line, len(list_intersect(terms, ['switch', 'total', 'default'])) m from doc), r as (select *, row_number() over (partition by file order by m desc, line) rn, count(*) over (partition by file) c from h where m > 0)
       select file, line, cast(m as int) matched, c n_matches from r where rn = 1""",
     **{f"evidence_{name}": f"{_evidence(name)} select * from fq" for name in INTENTS},
     "evidence_sections": f"{_RM}, u as (select distinct start, source, target, kind, file, line, start_offset, confidence, unnest(list_concat([section], string_split(also_sections, ','))) section from fq) select start, section, count(*) n, count(distinct coalesce(file, '')) n_files from u where section <> '' group by all",

@@ -229,12 +229,32 @@ def test_moved_lines(spark):
     assert {(r.old_line, r.new_line) for r in diff.moved_lines(old, new).collect()} == {(1, 2), (4, 3)}
 
 
-def test_overlap_score(spark):
-    docs = spark.createDataFrame([("f", 1, ["alpha", "beta"], ["f"]), ("f", 2, ["alpha"], ["f"])], "file string, line int, terms array<string>, field_terms array<string>")
-    best = lexical.rank(docs, "beta alpha", ranking="overlap").collect()
-    assert [r.line for r in best] == [1, 2] and best[1].score == pytest.approx(math.log(3 / 3) + 1)
+_NODES = "id string, kind string, file string, line long, end_line long, qualified string, name string, tags array<string>"
+
+
+def test_lines_are_found_by_their_declaration(spark):
+    nodes = spark.createDataFrame([("x.py::file", "file", "x.py", 1, 9, "x.py", "x.py", []), ("x.py::Store.loadAll#method", "method", "x.py", 2, 5, "Store.loadAll", "loadAll", ["hot"]), ("x.py::Store.inner#method", "method", "x.py", 3, 4, "Store.inner", "inner", []), ("x.py::Zap#class", "class", "x.py", 3, 4, "Zap", "Zap", [])], _NODES)
+    sources = spark.createDataFrame([("x.py", "alpha beta\nalpha\r\nbeta\n...\ngamma alpha\n"), ("x.py", None), ("y.py", "delta\n"), (None, "alpha")], "file string, text string")
+    docs = lexical.line_documents(sources, nodes)
+    found = {(r.file, r.line): r for r in docs.collect()}
+    assert set(found) == {("x.py", 1), ("x.py", 2), ("x.py", 3), ("x.py", 5), ("y.py", 1)}
+    assert [found["x.py", i].anchor for i in (1, 2, 3, 5)] == [None, "x.py::Store.loadAll#method", "x.py::Store.inner#method", "x.py::Store.loadAll#method"]
+    assert {"load", "all", "loadall", "store", "method"} <= set(found["x.py", 2].field_terms) <= set(found["x.py", 2].terms)
+    best = lexical.rank(docs, "beta alpha", nodes, ranking="overlap").collect()
+    assert [(r.line, r.matched) for r in best] == [(1, 2), (3, 1), (2, 1), (5, 1)] and best[1].score == pytest.approx(math.log(6 / 3) + 1) and best[3].score == pytest.approx(math.log(6 / 4) + 1)
+    exact = lexical.rank(docs, "Store.inner", nodes).collect()
+    assert exact[0].line == 3 and exact[0].score > 1000 and len(exact) == 3
+    assert [r.line for r in lexical.rank(docs, "alpha", nodes, kind="method", tag="hot").collect()] == [2, 5] and lexical.rank(docs, "alpha", nodes, lang="go").count() == 0
+    assert [r.line for r in lexical.rank(docs, "alpha", nodes, anchor="x.py::Store.loadAll#method").collect()] == [2, 5] and lexical.rank(docs, "delta", nodes, prefix="x.py").count() == 0
+    groups = {r.anchor: (r.line, r.match_count, r.match_lines) for r in lexical.grouped(lexical.scored(docs, "alpha gamma", nodes)).collect()}
+    assert groups == {"x.py::Store.loadAll#method": (5, 2, "5 2"), None: (1, 1, "1")}
+    edges = spark.createDataFrame([("a", "x.py::Store.inner#method", k, "f", 1, i) for i, k in enumerate(["references", "calls", "contains", "calls"])] + [("x.py::Store.inner#method", "b", "calls", "f", 1, 1)], "source string, target string, kind string, file string, line long, start_offset long")
+    chosen = lexical.rank(docs, "Store.inner", nodes, limit=1)
+    assert sorted(r.start_offset for r in lexical.expanded(chosen, edges).collect()) == [0, 1, 3] and [r.start_offset for r in lexical.expanded(chosen, edges, steps=1).collect()] == [1]
+    assert [r.target for r in lexical.expanded(chosen, edges, "dependencies").collect()] == ["b"]
     with pytest.raises(ValueError):
-        lexical.rank(docs, "...")
+        lexical.rank(docs, "...", nodes)
+    assert lexical.line_documents(sources.where("false"), nodes).count() == 0
 
 
 _EVIDENCE = "start string, step int, section string, reason string, distance int, source string, target string, kind string, file string, line long, start_offset long, confidence string"
