@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import base64
+import hashlib
 import tempfile
-import uuid
 from collections import Counter
 from collections.abc import Iterator
 from functools import cache
@@ -60,11 +60,14 @@ def word_counts(documents: DataFrame, text: str = "text") -> DataFrame:
     return spread(documents.select(text)).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+_sent: set[tuple[str, str]] = set()
+
+
 def build_lexicon(documents: DataFrame, text: str = "text", *, words: int = LEXICON_WORDS, folder: str = TOKENIZERS, name: str = "byte_bpe_50k") -> str:
     """Compile the most frequent words of the corpus with their ids; returns the name under which executors find the file.
 
     Counts cover all texts. At most ``words`` words come to the driver, all the others are met by the exact
-    merge: words are taken by whole levels of their count, most frequent first, as long as there is room. The automaton and the ids are one uncompressed array file, sent to the executors by Spark and mapped into memory there.
+    merge: words are taken by whole levels of their count, most frequent first, as long as there is room. Equal lexicons are sent once. The automaton and the ids are one uncompressed array file, sent to the executors by Spark and mapped into memory there.
     """
     spark = documents.sparkSession
     counts = stage(word_counts(documents, text), "words")
@@ -81,12 +84,16 @@ def build_lexicon(documents: DataFrame, text: str = "text", *, words: int = LEXI
     ids = [encoder.encode_ordinary(k.decode()) for k in keys]
     arrays = compile_words(keys)
     arrays |= {"at": np.cumsum([0, *map(len, ids)]).astype(np.int64), "ids": np.array([i for x in ids for i in x], np.int32)}
-    target = Path(tempfile.mkdtemp(prefix="spark-lexicon-")) / f"lexicon-{uuid.uuid4().hex}.npy"
     order = ("key", "to", "skip", "final", "root", "at", "ids")
     sizes = np.array([len(arrays[k]) for k in order], np.int64)
-    np.save(target, np.concatenate([sizes, *[arrays[k].astype(np.int64) for k in order]]))
-    spark.sparkContext.addFile(str(target))
-    return target.name
+    flat = np.concatenate([sizes, *[arrays[k].astype(np.int64) for k in order]])
+    file = f"lexicon-{hashlib.sha256(flat.tobytes()).hexdigest()[:24]}.npy"
+    if (spark.sparkContext.applicationId, file) not in _sent:
+        target = Path(tempfile.mkdtemp(prefix="spark-lexicon-")) / file
+        np.save(target, flat)
+        spark.sparkContext.addFile(str(target))
+        _sent.add((spark.sparkContext.applicationId, file))
+    return file
 
 
 @cache

@@ -97,8 +97,10 @@ def _ranked(items: DataFrame) -> tuple[DataFrame, DataFrame]:
     return placed.withColumn("k", F.col("rn") + F.col("before")), counts.groupBy("budget", "capacity", "size").agg(F.sum("n").alias("n"))
 
 
-#: More capacities than this are refused, since every item is packed once for each.
-MOST_BUDGETS = 1000
+#: Every item is packed once for each capacity, and so many capacities at once.
+BUDGETS_AT_ONCE = 1000
+#: So many segments of containers are broadcast; beyond it they are copied to every block of items and met by a shuffle.
+BROADCAST_SEGMENTS = 200_000
 
 
 def pack(sizes: DataFrame, budgets: DataFrame) -> DataFrame:
@@ -111,12 +113,20 @@ def pack(sizes: DataFrame, budgets: DataFrame) -> DataFrame:
     An item above the capacity is split into full containers and a rest that is packed like other items; part counts
     its pieces from 0. Items of no tokens lie in container 0. A null n_tokens is 0. Repeated rows are items of their own; a null doc_id is a document like others. Budgets with a
     null, zero or negative capacity are left out, equal budgets count once. No items give no rows. Containers are numbered from 0 without gaps. Extra columns are ignored.
+
+    When the query is built, the budgets come to the driver, and items and segments are written to the shared folder.
     """
     ship(sizes.sparkSession)
-    room = budgets.select("budget", F.col("max_tokens").cast("int").alias("capacity")).where("capacity > 0").dropDuplicates().limit(MOST_BUDGETS + 1).collect()
-    if len(room) > MOST_BUDGETS:
-        raise ValueError(f"more than {MOST_BUDGETS} capacities")
-    all_rooms = F.array(*[F.struct(F.lit(r["budget"]).alias("budget"), F.lit(r["capacity"]).alias("capacity")) for r in room]).cast("array<struct<budget:string,capacity:int>>")
+    rooms = budgets.select("budget", F.col("max_tokens").cast("int").alias("capacity")).where("capacity > 0").dropDuplicates().collect()
+    parts = [_pack(sizes, rooms[i : i + BUDGETS_AT_ONCE]) for i in range(0, max(1, len(rooms)), BUDGETS_AT_ONCE)]
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def _pack(sizes: DataFrame, rooms: list) -> DataFrame:
+    all_rooms = F.array(*[F.struct(F.lit(r["budget"]).alias("budget"), F.lit(r["capacity"]).alias("capacity")) for r in rooms]).cast("array<struct<budget:string,capacity:int>>")
     docs = sizes.select("doc_id", F.coalesce("n_tokens", F.lit(0)).cast("int").alias("n_tokens"), F.monotonically_increasing_id().alias("row"), F.explode(all_rooms).alias("r"))
     each = docs.select("doc_id", "row", "n_tokens", "r.*").withColumn("full", F.floor(F.col("n_tokens") / F.col("capacity")).cast("int"))
     cut = F.transform(F.when(F.col("full") > 0, F.sequence(F.lit(0), F.col("full") - 1)).otherwise(F.array().cast("array<int>")), lambda i: F.struct(i.alias("part"), F.col("capacity").alias("size")))
@@ -133,10 +143,14 @@ def pack(sizes: DataFrame, budgets: DataFrame) -> DataFrame:
         out.insert(0, "budget", rows["budget"].iloc[0])
         return out
 
-    segments = counts.groupBy("budget").applyInPandas(fill, "budget string, size int, first_item long, items long, first_container long, each long")
-    # at most one row for each size up to the capacity, however many items have it; an item's segment is the last that begins at or before its number
+    segments = stage(counts.groupBy("budget").applyInPandas(fill, "budget string, size int, first_item long, items long, first_container long, each long"), "segments")
+    # an item's segment is the last that begins at or before its number
     marks = segments.groupBy("budget", "size").agg(F.array_sort(F.collect_list(F.struct("first_item", "first_container", "each"))).alias("segments"))
-    found = ranked.join(F.broadcast(marks), ["budget", "size"]).withColumn("s", F.element_at(F.filter("segments", lambda s: s["first_item"] <= F.col("k")), -1))
+    if segments.count() <= BROADCAST_SEGMENTS:
+        met = ranked.join(F.broadcast(marks), ["budget", "size"])
+    else:
+        met = ranked.join(marks.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))), ["budget", "size", "block"])
+    found = met.withColumn("s", F.element_at(F.filter("segments", lambda s: s["first_item"] <= F.col("k")), -1))
     packed = found.select("budget", "doc_id", "part", F.col("size").alias("tokens"), (F.col("s.first_container") + F.floor((F.col("k") - F.col("s.first_item")) / F.col("s.each"))).cast("long").alias("container"))
     empty = pieces.where("size = 0").select("budget", "doc_id", "part", F.col("size").alias("tokens"), F.lit(0).cast("long").alias("container"))
     return packed.unionByName(empty)

@@ -162,7 +162,7 @@ def _pieces(texts: pa.Array) -> Iterator[list[tuple[int, str]]]:
         yield out
 
 
-_sent: dict[tuple, str] = {}
+_sent: set[tuple[str, str]] = set()
 
 
 def count_table(counts: DataFrame, words: int = TABLE_WORDS, pairs: int = TABLE_PAIRS) -> str:
@@ -194,7 +194,7 @@ def count_table(counts: DataFrame, words: int = TABLE_WORDS, pairs: int = TABLE_
         target = Path(tempfile.mkdtemp(prefix="spark-neighbours-")) / name
         np.save(target, flat)
         spark.sparkContext.addFile(str(target))
-        _sent[spark.sparkContext.applicationId, name] = name
+        _sent.add((spark.sparkContext.applicationId, name))
     return name
 
 

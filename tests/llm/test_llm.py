@@ -176,7 +176,7 @@ def test_best_fit_in_runs_equals_best_fit_one_by_one():
         assert sorted(left.values()) == _brute([s for s, n in sizes for _ in range(n)], capacity) and sorted(left) == list(range(len(left)))
 
 
-def test_pack(spark):
+def test_pack(spark, monkeypatch):
     rng = random.Random(6)
     rows = [(i, rng.choice([0, None, 1, 7, 7, 7, 40, 95, 100, 101, 350])) for i in range(400)] + [(5, 7), (5, 7), (None, 3)]
     sizes = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, n_tokens int, part int, size int")
@@ -192,6 +192,12 @@ def test_pack(spark):
         assert sum(r.tokens for r in own) == sum(n or 0 for _, n in rows) and sum(r.part == 0 for r in own) == len(rows)
     assert {r.budget for r in found} == {"s", "l"}
     assert packing.pack(sizes.where("false"), budgets).count() == 0
+    for name, value in (("BROADCAST_SEGMENTS", 0), ("BUDGETS_AT_ONCE", 1)):
+        monkeypatch.setattr(packing, name, value)
+        again = packing.pack(sizes, budgets).collect()
+        count = lambda rows: Counter((r.budget, r.doc_id, r.part, r.tokens) for r in rows)
+        assert count(again) == count(found) and {(r.budget, r.container) for r in again} == {(r.budget, r.container) for r in found}
+    assert packing.pack(sizes, budgets.where("max_tokens = 0")).count() == 0
     report = {r.budget: r for r in packing.container_report(packing.pack(sizes, budgets), budgets).collect()}
     assert report["s"].unused == report["s"].n_containers * 100 - report["s"].tokens
 
