@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import random
+import math
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -106,24 +105,71 @@ def percentiles(events: DataFrame, buckets: int = 1024) -> DataFrame:
     return hit.groupBy("event_type", "n").agg(pick(0).alias("median"), pick(1).alias("p95"))
 
 
+def _draw(seed: int, *key: str) -> Column:
+    """A number from 0 to 1 from a hash of the key."""
+    digits = F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in key])), 1, 12)
+    return F.conv(digits, 16, 10).cast("double") / float(1 << 48)
+
+
+def _poisson(draw: str) -> Column:
+    """The Poisson number of mean 1 for a draw from 0 to 1."""
+    weight = F.lit(0)
+    for k in range(12):
+        weight = weight + F.when(F.col(draw) >= sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)), 1).otherwise(0)
+    return weight
+
+
 def paired_bootstrap(pairs: DataFrame, resamples: int = 1000, seed: int = 7) -> DataFrame:
     """``(metric, ratio, low, high)``: the ratio of the sums of b and a over tasks, with a 95 % interval from resampled tasks.
 
-    ``pairs`` has metric, task, a and b, one row per task. A metric's tasks are one group of a bounded number of tasks, as an experiment has; metrics are spread over the cluster. An
+    ``pairs`` has metric, task, a and b, one row per task. Each resample takes a task a Poisson number of times, drawn from a hash of seed, metric, task and resample, so that every task of the cluster draws for its own rows and
+    sums per resample are combined before the shuffle; only ``resamples`` ratios of a metric meet in one row. The ends are the ratios at place int((n - 1) q). An
     interval is null if a resample has no sum for a.
     """
+    numbered = pairs.select("metric", "task", "a", "b", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("resample")).withColumn("u", _draw(seed, "metric", "task", "resample")).withColumn("w", _poisson("u"))
+    sums = numbered.groupBy("metric", "resample").agg(F.sum(F.col("a") * F.col("w")).alias("a"), F.sum(F.col("b") * F.col("w")).alias("b"))
+    ratios = sums.groupBy("metric").agg(F.sort_array(F.collect_list(F.try_divide("b", "a"))).alias("r"), F.count(F.when(F.col("a") != 0, 1)).alias("n"))
+    whole = pairs.groupBy("metric").agg(F.try_divide(F.sum("b"), F.sum("a")).alias("ratio"))
+    ends = [F.when(F.col("n") == resamples, F.get("r", F.lit(int((resamples - 1) * q)))).alias(name) for name, q in (("low", 0.025), ("high", 0.975))]
+    return whole.join(ratios, "metric", "left").select("metric", "ratio", *ends)
+
+
+def attempts(events: DataFrame) -> DataFrame:
+    """``(attempt, kind, status, started, finished)`` of a journal of ``started`` and ``finished`` events (attempt, event, at, kind): one row per attempt.
+
+    status is ``finished``, ``interrupted_unknown`` for a start without an end, ``conflict`` for several starts or ends, ``orphan_end`` for an end without a start. Counted per attempt, combined before the shuffle.
+    """
+    is_start, is_end = F.col("event") == "started", F.col("event") == "finished"
+    rows = events.where(F.col("attempt").isNotNull()).groupBy("attempt").agg(
+        F.min("kind").alias("kind"), F.count(F.when(is_start, 1)).alias("s"), F.count(F.when(is_end, 1)).alias("e"), F.min(F.when(is_start, F.col("at"))).alias("started"), F.max(F.when(is_end, F.col("at"))).alias("finished"))
+    status = F.when((F.col("s") > 1) | (F.col("e") > 1), "conflict").when(F.col("s") == 0, "orphan_end").when(F.col("e") == 0, "interrupted_unknown").otherwise("finished")
+    return rows.select("attempt", "kind", status.alias("status"), "started", "finished")
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("task")
-        a, b = rows["a"].to_numpy(), rows["b"].to_numpy()
-        draw, places, ratios = random.Random(seed), range(len(rows)), []
-        for _ in range(resamples):
-            pick = draw.choices(places, k=len(rows))
-            below = a[pick].sum()
-            ratios.append(b[pick].sum() / below if below else None)
-        ok = None not in ratios
-        ratios = sorted(r for r in ratios if r is not None)
-        edge = lambda q: ratios[min(len(ratios) - 1, int(q * len(ratios)))] if ok and ratios else None
-        return pd.DataFrame({"metric": [rows["metric"].iloc[0]], "ratio": [b.sum() / a.sum() if a.sum() else None], "low": [edge(0.025)], "high": [edge(0.975)]})
-
-    return pairs.groupBy("metric").applyInPandas(run, "metric string, ratio double, low double, high double")
+
+def normalised_usage(usage: DataFrame) -> DataFrame:
+    """``(request, provider, total, uncached, cached, valid)`` of request usage (request, provider, input, cached, created, output, reasoning).
+
+    ``anthropic`` counts cached and created tokens beside its input, others within it. A request is valid if cached is at most total, created at most uncached and reasoning at most output; an unknown counter makes
+    sums that need it null and the request not valid.
+    """
+    beside = F.col("provider") == "anthropic"
+    total = F.when(beside, F.col("input") + F.col("cached") + F.col("created")).otherwise(F.col("input"))
+    uncached = F.when(beside, F.col("input") + F.col("created")).otherwise(F.col("input") - F.col("cached"))
+    valid = (F.col("cached") <= total) & (F.col("created") <= uncached) & (F.col("reasoning") <= F.col("output"))
+    return usage.select("request", "provider", total.alias("total"), uncached.alias("uncached"), "cached", F.coalesce(valid, F.lit(False)).alias("valid"))
+
+
+def page_fusion(pages: DataFrame) -> DataFrame:
+    """``(collection, n_pages, n_records, n_repeated, complete)`` of pages (collection, page, offset, next_offset, record): records that pages of one collection share count once.
+
+    A collection is complete if its first page begins at 0, each page begins where the one before says, and the last says nothing. One row per page reaches the window; a page's records are counted before.
+    """
+    per_page = pages.groupBy("collection", "page").agg(F.min("offset").alias("offset"), F.max("next_offset").alias("next_offset"), F.count("record").alias("n"))
+    by = Window.partitionBy("collection").orderBy("offset", "page")
+    linked = per_page.withColumn("given", F.lag("next_offset").over(by)).withColumn("first", F.row_number().over(by) == 1)
+    ok = F.when(F.col("first"), F.col("offset") == 0).otherwise(F.col("given").eqNullSafe(F.col("offset")))
+    chain = linked.groupBy("collection").agg(F.count("*").alias("n_pages"), F.sum("n").alias("n_all"), (F.min(F.coalesce(ok, F.lit(False)).cast("int")) == 1).alias("chained"), F.max_by(F.col("next_offset").isNull(), F.struct("offset", "page")).alias("ended"))
+    records = pages.where("record is not null").groupBy("collection", "record").agg(F.count("*").alias("c")).groupBy("collection").agg(F.count("*").alias("n_records"))
+    met = chain.join(records, "collection", "left")
+    n = F.coalesce("n_records", F.lit(0))
+    return met.select("collection", "n_pages", n.alias("n_records"), (F.col("n_all") - n).alias("n_repeated"), (F.col("chained") & F.col("ended")).alias("complete"))

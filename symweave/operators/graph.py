@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from symweave.functions.scalars import directory, language, repository, utf16_order
+from symweave.operators.skew import balanced_join
 from symweave.operators.traverse import closure
+from symweave.session import stage
 
 NODE = ["id", "name", "kind", "file", "line", "qualified", "end_line", "start_offset", "length", "parent", "tags", "synthetic"]
 IDENTITY = ["source", "target", "kind", "file", "start_offset"]
@@ -45,16 +47,66 @@ def unreferenced(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(ends, nodes["id"] == ends["end"], "left_anti")
 
 
-def relations(edges: DataFrame, nodes: DataFrame, kinds: list[str], direction: str = "in") -> DataFrame:
-    """Callers, callees and references of every node: ``(target_id, id, kind, name, file, line, relation, site_file, site_line, confidence)``.
+def relations(edges: DataFrame, nodes: DataFrame, kinds: list[str] | None, direction: str = "in") -> DataFrame:
+    """Callers, callees and references of every node: ``(target_id, id, kind, name, file, line, tags, relation, direction, site_file, site_line, confidence)``.
 
-    ``in`` gives the sources of edges that lead to target_id, ``out`` the targets of those that leave it. Both ends must exist.
+    ``in`` gives the sources of edges that lead to target_id, ``out`` the targets of those that leave it; None takes every kind. Both ends must exist. The end that a few nodes hold most of is met by fragments and copies
+    of the node's row (:func:`symweave.operators.skew.balanced_join`), so no task gets all edges of a hot node.
     """
     own, other = ("target", "source") if direction == "in" else ("source", "target")
-    rows = edges.where(F.col("kind").isin(kinds)).select(F.col(own).alias("target_id"), F.col(other).alias("other"), F.col("kind").alias("relation"), F.col("file").alias("site_file"), F.col("line").alias("site_line"), "confidence")
-    rows = rows.join(nodes.select(F.col("id").alias("own")), F.col("target_id") == F.col("own"), "left_semi")
-    ends = nodes.select("id", "kind", "name", "file", "line")
-    return rows.join(ends, rows["other"] == ends["id"]).select("target_id", "id", "kind", "name", "file", "line", "relation", "site_file", "site_line", "confidence")
+    rows = edges.where(F.col("kind").isin(kinds)) if kinds else edges
+    rows = stage(rows.select(F.col(own).alias("target_id"), F.col(other).alias("other"), F.col("kind").alias("relation"), F.col("file").alias("site_file"), F.col("line").alias("site_line"), "start_offset", "confidence"), "relations")
+    ends = nodes.select("id", "kind", "name", "file", "line", F.array_join("tags", ",").alias("tags"))
+    ids = nodes.select(F.col("id").alias("own"))
+    spread_by = ["relation", "site_file", "site_line", "start_offset"]
+    if direction == "in":
+        met = balanced_join(rows, "target_id", ids, "own", spread_by=["other", *spread_by]).drop("own").join(ends, F.col("other") == F.col("id"))
+    else:
+        met = balanced_join(rows, "other", ends, "id", spread_by=["target_id", *spread_by]).join(ids, F.col("target_id") == F.col("own"), "left_semi")
+    return met.select("target_id", "id", "kind", "name", "file", "line", "tags", "relation", F.lit(direction).alias("direction"), "site_file", "site_line", "confidence")
+
+
+def neighbour_rows(edges: DataFrame, nodes: DataFrame, kinds: list[str] | None = None) -> DataFrame:
+    """The relations of every node in both directions; an edge of a node to itself comes out twice."""
+    return relations(edges, nodes, kinds, "out").unionByName(relations(edges, nodes, kinds, "in"))
+
+
+def inspect(edges: DataFrame, nodes: DataFrame, limit: int = 20) -> DataFrame:
+    """``(id, callers, callers_omitted, implementations, implementations_omitted)`` of every symbol that is called or implemented: how many there are, and how many a page of ``limit`` leaves out."""
+    there = nodes.select("id")
+    calls = edges.where("kind = 'calls'").groupBy("source", "target").agg(F.count("*").alias("n"))
+    calls = calls.join(there, F.col("source") == F.col("id"), "left_semi").groupBy(F.col("target").alias("id")).agg(F.sum("n").alias("callers")).join(there, "id", "left_semi")
+    heirs = closure(there, edges, ["extends", "implements", "with", "overrides"]).where("start <> id")
+    heirs = heirs.join(there, "id", "left_semi").groupBy(F.col("start").alias("id")).agg(F.count("*").alias("implementations"))
+    zero, rest = F.lit(0).cast("long"), lambda c: F.greatest(F.col(c) - limit, F.lit(0)).cast("long").alias(f"{c}_omitted")
+    met = calls.join(heirs, "id", "full").select("id", F.coalesce("callers", zero).alias("callers"), F.coalesce("implementations", zero).alias("implementations"))
+    return met.select("id", "callers", rest("callers"), "implementations", rest("implementations"))
+
+
+def compact(nodes: DataFrame) -> DataFrame:
+    """``(id, row)``: every symbol as JSON without what is absent: tags if there are any, synthetic if it is."""
+    tags, synthetic = F.when(F.size("tags") > 0, F.col("tags")), F.when(F.col("synthetic"), F.lit(True))
+    return nodes.select("id", F.to_json(F.struct("id", "kind", "name", "file", "line", tags.alias("tags"), synthetic.alias("synthetic"))).alias("row"))
+
+
+def file_filters(files: DataFrame, prefixes: list[str]) -> DataFrame:
+    """``(prefix, valid, suggestion)``: whether some file begins with each of the request's prefixes, and if none does, the one longer prefix that ends with it at a directory's begin, null for several.
+
+    A prefix that is absolute, leads upwards or holds a backslash or colon is an error.
+    """
+    for p in prefixes:
+        if p.startswith("/") or "\\" in p or ":" in p or ".." in p.split("/"):
+            raise ValueError(f"no path relative to the root: {p}")
+    spark = files.sparkSession
+    asked = spark.createDataFrame([(p,) for p in prefixes], "prefix string")
+    rows = files.select("file").where("file is not null").distinct().select("file", F.explode(F.array(*[F.lit(p) for p in prefixes])).alias("prefix")).where(F.contains("file", F.col("prefix")))
+    ends = F.filter(F.sequence(F.lit(2), F.length("file")), lambda i: (F.substring(F.col("file"), i - 1, F.lit(1)) == "/") & F.startswith(F.substring(F.col("file"), i, F.length("file")), F.col("prefix")))
+    longer = F.transform(ends, lambda i: F.substring(F.col("file"), F.lit(1), i - 1 + F.length("prefix")))
+    per = rows.select("prefix", F.startswith("file", F.col("prefix")).alias("valid"), F.explode_outer(longer).alias("longer")).groupBy("prefix", "longer").agg(F.max("valid").alias("valid"))
+    per = per.groupBy("prefix").agg(F.max("valid").alias("valid"), F.count("longer").alias("n"), F.min("longer").alias("longer"))
+    met = asked.join(per, "prefix", "left")
+    valid = F.coalesce("valid", F.lit(False))
+    return met.select("prefix", valid.alias("valid"), F.when(~valid & (F.col("n") == 1), F.col("longer")).alias("suggestion"))
 
 
 def row_text_order(*columns: str) -> list:

@@ -86,6 +86,19 @@ def copies(rows: DataFrame, key: str, plan: tuple) -> DataFrame:
     return met.withColumn("_slot", F.explode(F.coalesce("_shards", F.array(F.coalesce(_shard("_tasks", key, F.lit(1)), F.lit(0)))))).drop("_bucket", "_k", "_shards", "_tasks")
 
 
+def balanced_join(rows: DataFrame, key: str, side: DataFrame, side_key: str, *, spread_by: list[str], tasks: int | None = None) -> DataFrame:
+    """``rows`` with the row of ``side`` that has their key (side_key, unique), where a few keys hold most rows: rows of a large key lie in shards by ``spread_by``, the side's row is copied to those shards.
+
+    Rows without a match and null keys are left out. The load is counted when the query is built; ``rows`` should be a table or a staged result, as they are read for that too.
+    """
+    tasks = tasks or max(width(rows.sparkSession), -(-rows.count() // ROWS_PER_TASK))
+    rows = rows.where(F.col(key).isNotNull())
+    plan = load_plan(rows, key, tasks)
+    placed = slots(rows, key, plan, spread_by).repartitionById(tasks, "_slot")
+    copied = copies(side.where(F.col(side_key).isNotNull()), side_key, plan).withColumnRenamed("_slot", "_to").repartitionById(tasks, "_to")
+    return placed.join(copied, (F.col("_slot") == F.col("_to")) & (F.col(key) == F.col(side_key))).drop("_slot", "_to")
+
+
 def skewed_key_report(edges: DataFrame, nodes: DataFrame | None = None, *, key: str = "target", group: str = "kind", distinct: tuple[str, ...] = ("source", "file"), tasks: int | None = None) -> DataFrame:
     """Per ``(key, group)``: rows, distinct values of each column of ``distinct`` and the matching node.
 

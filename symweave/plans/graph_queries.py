@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import math
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from symweave.functions.scalars import test_path
-from symweave.operators import accounting, diff, evidence, graph, lexical, nested, traverse
+from symweave.operators import accounting, diff, evidence, graph, lexical, nested, reading, traverse
 from symweave.plans.problems import RECORDS, flat_sql
-from symweave.session import table
+from symweave.session import stage, table
 from symweave.sources import records
 from symweave.streaming import changes
 
@@ -79,6 +81,25 @@ def graph_neighbours(s, d):
     return graph.neighbours(_edges(s, d))
 
 
+def graph_neighbour_rows(s, d):
+    return graph.neighbour_rows(_edges(s, d), _nodes(s, d))
+
+
+def graph_inspect(s, d):
+    return graph.inspect(_edges(s, d), _nodes(s, d))
+
+
+def graph_compact(s, d):
+    return graph.compact(_nodes(s, d))
+
+
+PREFIXES = ["lib/", "src/graph/", "packages/wharf/", "amber", "src/engine/policy_frame", "nowhere/"]
+
+
+def graph_file_filters(s, d):
+    return graph.file_filters(table(s, d, "files"), PREFIXES)
+
+
 def graph_dependencies(s, d):
     return graph.file_dependencies(_edges(s, d), _nodes(s, d))
 
@@ -248,6 +269,28 @@ def lexical_posting_blocks(s, d):
     return lexical.posting_blocks(_nodes(s, d))
 
 
+def evidence_extract(s, d):
+    numbers = lambda *names: dict.fromkeys(names, "long")
+    kinds = {"statements": numbers("line", "end", "offset", "end_offset") | {"scope": "string", "block": "string"}, "bindings": {"id": "string", **numbers("offset")}, "uses": numbers("offset") | {"scope": "string", "binding": "string", "read": "boolean", "write": "boolean"}, "controls": numbers("offset") | {"kind": "string"}}
+    rows = {}
+    for name, fields in kinds.items():
+        flat = nested.flat_table(nested.nested_objects(table(s, d, "files")), f"intent.ast.{name}[]", list(fields))
+        rows[name] = flat.select("file", *[F.col(f"f_{c}").try_cast(t).alias(c) for c, t in fields.items()])
+    blocks = rows["statements"].where("line is not null and end is not null").groupBy("file", "scope", "block").agg(F.min("line").alias("start_line"), F.max("end").alias("end_line"))
+    wanted = blocks.select(F.concat_ws("|", "file", "scope", "block").alias("region"), "file", "start_line", "end_line")
+    found = stage(reading.regions(rows["statements"], wanted), "regions")
+    return reading.extraction(found, rows["bindings"], rows["uses"], rows["controls"])
+
+
+def evidence_fusion(s, d):
+    """The evidence of each symbol in pages of 40, put together again."""
+    by = Window.partitionBy("start").orderBy(*evidence.evidence_order())
+    rows = _found(s, d).withColumn("n", F.row_number().over(by) - 1).withColumn("page", F.floor(F.col("n") / 40))
+    last = rows.groupBy("start").agg(F.max("page").alias("last"))
+    pages = rows.join(last, "start").select(F.col("start").alias("collection"), "page", (F.col("page") * 40).alias("offset"), F.when(F.col("page") < F.col("last"), (F.col("page") + 1) * 40).alias("next_offset"), F.col("evidence_id").alias("record"))
+    return accounting.page_fusion(pages)
+
+
 INTENTS = ["rename", "change_signature", "find_tests", "explain_symbol", "trace_flow", "move_symbol", "remove_symbol", "replace_dependency"]
 
 
@@ -307,7 +350,24 @@ def usage_percentiles(s, d):
 def usage_bootstrap(s, d):
     day = F.dayofmonth("ts")
     rows = table(s, d, "events").groupBy(F.col("event_type").alias("metric"), F.col("user_id").alias("task")).agg(F.sum(F.when(day <= 15, F.col("value")).otherwise(0.0)).alias("a"), F.sum(F.when(day > 15, F.col("value")).otherwise(0.0)).alias("b"))
-    return accounting.paired_bootstrap(rows)
+    return accounting.paired_bootstrap(rows).select("metric", *[F.round(c, 6).alias(c) for c in ("ratio", "low", "high")])
+
+
+def usage_attempts(s, d):
+    event = F.when(F.col("event_type") == "purchase", "finished").when(F.col("event_type") == "view", "started")
+    return accounting.attempts(table(s, d, "events").select(F.concat_ws(" ", "user_id", F.date_format("ts", "yyyy-MM-dd")).alias("attempt"), event.alias("event"), F.col("ts").alias("at"), F.lit("day").alias("kind")))
+
+
+def source_freshness(s, d):
+    return reading.freshness(table(s, d, "files"), table(s, d, "sources"))
+
+
+def source_snippets(s, d):
+    return reading.snippets(_nodes(s, d).where("kind not in ('file', 'external')"), table(s, d, "sources"))
+
+
+def source_generation(s, d):
+    return reading.generation(diff_current(s, d))
 
 
 def source_hashes(s, d):
@@ -347,14 +407,14 @@ def stream_index(s, d):
 
 
 _LISTED = [
-    graph_nodes, graph_edges, graph_dangling, graph_unreferenced, graph_callers, graph_callees, graph_references, graph_neighbours, graph_dependencies, graph_search, graph_search_page, graph_resolve,
+    graph_nodes, graph_edges, graph_dangling, graph_unreferenced, graph_callers, graph_callees, graph_references, graph_neighbours, graph_neighbour_rows, graph_inspect, graph_compact, graph_file_filters, graph_dependencies, graph_search, graph_search_page, graph_resolve,
     graph_innermost, graph_homonyms, graph_derived_overrides, graph_architecture, graph_hubs, graph_ranked_callers, graph_health, graph_redelivered, graph_multiset,
     closure_contracts, closure_flow, closure_tests, closure_implementations, closure_impact, closure_impact_files, closure_depth, closure_paths, closure_path_to, closure_affected_files,
     diff_files, diff_correspondence, diff_declarations, diff_relations, diff_diagnostics, diff_preceding,
     lexical_frequencies, lexical_bm25, lexical_overlap, lexical_filtered, lexical_grouped, lexical_expanded, lexical_per_file, lexical_postings, lexical_posting_blocks,
-    evidence_sections, evidence_page, evidence_files, evidence_groups, evidence_windows,
-    usage_deltas, usage_sums, usage_conflicts, usage_campaign, usage_ledger, usage_read_audit, usage_percentiles, usage_bootstrap,
-    source_hashes, source_record_nodes, source_violations, source_upsert,
+    evidence_sections, evidence_page, evidence_files, evidence_groups, evidence_windows, evidence_extract, evidence_fusion,
+    usage_deltas, usage_sums, usage_conflicts, usage_campaign, usage_ledger, usage_read_audit, usage_percentiles, usage_bootstrap, usage_attempts,
+    source_hashes, source_record_nodes, source_violations, source_upsert, source_freshness, source_snippets, source_generation,
     stream_windows, stream_sessions, stream_sliding, stream_dedup, stream_index,
 ]
 QUERIES = {f.__name__: f for f in _LISTED} | {f"evidence_{name}": _intent(name) for name in INTENTS}
@@ -370,9 +430,9 @@ _LANG = """case regexp_extract(file, '[^.]*$') when 'dart' then 'dart' when 'ts'
   when 'java' then 'java' when 'go' then 'go' when 'py' then 'python' when 'rs' then 'rust' when 'swift' then 'swift' when 'kt' then 'kotlin' when 'm' then 'objectivec' when 'h' then 'objectivec' else 'unknown' end"""
 
 
-def _rel(kind: str, own: str, other: str) -> str:
-    return f"""with {_N}, {_E} select e.{own} target_id, b.id, b.kind, b.name, b.file, b.line, e.kind relation, e.file site_file, e.line site_line, e.confidence
-      from e join n a on a.id = e.{own} join n b on b.id = e.{other} where e.kind = '{kind}'"""
+def _rel(kind: str, own: str, other: str, direction: str) -> str:
+    return f"""select e.{own} target_id, b.id, b.kind, b.name, b.file, b.line, array_to_string(b.tags, ',') tags, e.kind relation, '{direction}' direction, e.file site_file, e.line site_line, e.confidence
+      from e join n a on a.id = e.{own} join n b on b.id = e.{other} where {kind}"""
 
 
 _WAYS = """key0 as (select *, concat_ws('|', source, target, kind, file, start_offset) k from e where source is not null and target is not null),
@@ -532,7 +592,62 @@ def _steps(depth: int) -> str:
 
 _STEPS = _steps(3)
 
+_POISSON = " + ".join(f"case when v >= {sum(math.exp(-1) / math.factorial(j) for j in range(k + 1))!r} then 1 else 0 end" for k in range(12))
+
+
+def _field(section: str, name: str, kind: str = "varchar") -> str:
+    """A field of a row of the packed ast, by place, or of an object."""
+    place = nested.PACKED[section].index(name)
+    return f"try_cast(case when row_of then value ->> '$[{place}]' else value ->> '$.{name}' end as {kind})"
+
+
 ORACLES = {
+    "evidence_extract": f"""with recursive {RECORDS}, sm as (select file, {_field('statements', 'line', 'bigint')} line, {_field('statements', 'end', 'bigint')} "end", {_field('statements', 'offset', 'bigint')} o, {_field('statements', 'end_offset', 'bigint')} eo, {_field('statements', 'scope')} scope, {_field('statements', 'block')} block from obj where "table" = 'intent.ast.statements[]'),
+      bd as (select file, {_field('bindings', 'id')} id, {_field('bindings', 'offset', 'bigint')} o from obj where "table" = 'intent.ast.bindings[]'),
+      us as (select file, {_field('uses', 'offset', 'bigint')} o, {_field('uses', 'scope')} scope, {_field('uses', 'binding')} binding, {_field('uses', 'read', 'boolean')} rd, {_field('uses', 'write', 'boolean')} wr from obj where "table" = 'intent.ast.uses[]'),
+      ct as (select file, {_field('controls', 'offset', 'bigint')} o, {_field('controls', 'kind')} kind from obj where "table" = 'intent.ast.controls[]'),
+      wt as (select concat_ws('|', file, scope, block) region, file, min(line) a, max("end") z from sm where line is not null and "end" is not null group by file, scope, block),
+      ins as (select wt.region, wt.a, wt.z, sm.* from wt join sm on sm.file = wt.file and sm.line >= wt.a and sm.line <= wt.z and sm."end" <= wt.z),
+      ag as (select region, file, count(case when line = a and "end" = z then 1 end) nx, max(case when line = a and "end" = z then {{'o': o, 'eo': eo, 's': scope}} end) one,
+        min(case when line = a then {{'o': o, 'eo': eo, 's': scope, 'b': block}} end) fi, max(case when "end" = z then {{'eo': eo, 'o': o, 's': scope, 'b': block}} end) la from ins group by region, file),
+      rg as (select region, file, one.s scope, one.o lo, one.eo hi from ag where nx = 1 union all
+        select i.region, i.file, ag.fi.s, min(i.o), max(i.eo) from ag join ins i on i.region = ag.region and i.file = ag.file and i.scope is not distinct from ag.fi.s and i.block is not distinct from ag.fi.b
+        where nx <> 1 and fi is not null and la is not null and fi.s is not distinct from la.s and fi.b is not distinct from la.b group by i.region, i.file, ag.fi.s),
+      ou as (select rg.region, rg.file, us.binding, us.rd, us.wr from rg join us on us.file = rg.file and us.o >= rg.lo and us.o < rg.hi join (select distinct file, id, o from bd) bd on bd.file = rg.file and bd.id = us.binding where bd.o < rg.lo or bd.o >= rg.hi),
+      fa as (select region, file, 'capture_reads' fact, binding from ou where rd union all select region, file, 'external_mutations', binding from ou where wr
+        union all select b.region, b.file, 'locals_used_after', b.id from (select distinct rg.region, rg.file, bd.id, rg.scope, rg.hi from rg join bd on bd.file = rg.file and bd.o >= rg.lo and bd.o < rg.hi) b join us on us.file = b.file and us.binding = b.id and us.scope is not distinct from b.scope and us.o >= b.hi
+        union all select rg.region, rg.file, 'control_exits', ct.kind from rg join ct on ct.file = rg.file and ct.o >= rg.lo and ct.o < rg.hi)
+      select region, file, fact, binding, count(*) n from fa group by all""",
+    "evidence_fusion": f"{_RM} select start collection, cast(ceil(count(*) / 40) as bigint) n_pages, count(distinct evidence_id) n_records, count(*) - count(distinct evidence_id) n_repeated, true complete from fq group by start",
+    "usage_bootstrap": f"""with p as (select event_type metric, user_id task, sum(case when dayofmonth(ts) <= 15 then value else 0 end) a, sum(case when dayofmonth(ts) > 15 then value else 0 end) b from events group by all),
+      d as (select *, unnest(range(1000)) rs from p), u as (select *, ('0x' || md5('7|' || metric || '|' || task || '|' || rs)[1:12])::bigint / 281474976710656.0::double v from d),
+      w as (select *, {_POISSON} w from u), s as (select metric, rs, sum(a * w) a, sum(b * w) b from w group by all), q as (select metric, list_sort(list(case when a <> 0 then b / a end), 'asc', 'nulls first') r, count(case when a <> 0 then 1 end) n from s group by metric),
+      o as (select metric, sum(b) / nullif(sum(a), 0) ratio from p group by metric)
+      select metric, round(ratio, 6) ratio, round(case when n = 1000 then r[25] end, 6) low, round(case when n = 1000 then r[975] end, 6) high from o join q using (metric)""",
+    "usage_attempts": """with x as (select user_id || ' ' || strftime(ts, '%Y-%m-%d') attempt, case event_type when 'purchase' then 'finished' when 'view' then 'started' end ev, ts from events),
+      g as (select attempt, count(case when ev = 'started' then 1 end) s, count(case when ev = 'finished' then 1 end) e, min(case when ev = 'started' then ts end) started, max(case when ev = 'finished' then ts end) finished from x group by attempt)
+      select attempt, 'day' kind, case when s > 1 or e > 1 then 'conflict' when s = 0 then 'orphan_end' when e = 0 then 'interrupted_unknown' else 'finished' end status, started, finished from g""",
+    "source_generation": f"""with {_CUR}, d as (select distinct sha256(coalesce(file, '') || chr(0) || coalesce(lower(hash), '-')) h from cur),
+      t as (select count(*) k, sum(('0x' || h[1:14])::bigint) a, sum(('0x' || h[15:28])::bigint) b, sum(('0x' || h[29:42])::bigint) c, sum(('0x' || h[43:56])::bigint) e from d)
+      select k n_files, sha256(concat_ws('|', k, a, b, c, e))[1:20] generation from t""",
+    "source_snippets": f"""with {_N}, tx as (select file, string_split(max(text), chr(10)) ls from sources where file is not null and text is not null group by file),
+      q as (select id, file, ls, greatest(line - 2, 1) a, least(end_line + 2, len(ls)) z from n join tx using (file) where kind not in ('file', 'external') and line >= 1 and end_line >= line and line <= len(ls)),
+      r as (select id, file, a, z, array_to_string(ls[a:least(z, a + 119)], chr(10)) w from q),
+      u as (select *, length(w) + length(regexp_replace(w, '[^\\x{{10000}}-\\x{{10FFFF}}]', '', 'g')) > 16000 big from r)
+      select id, file, a start_line, a + len(string_split(case when big then w[1:16000] else w end, chr(10))) - 1 end_line, a + 119 < z or big truncated, case when big then w[1:16000] else w end as text from u""",
+    "source_freshness": """with c as (select file, lower(hash) hash from (select file, hash, row_number() over (partition by file order by indexed_at desc nulls last, lower(hash) desc nulls last) rn from files where file is not null) where rn = 1),
+      t as (select file, max(sha256(text)) digest from sources where file is not null and text is not null group by file)
+      select file, case when digest is null then 'missing' when digest = hash then 'same' else 'stale' end state from c left join t using (file)""",
+    "graph_file_filters": f"""with p as (select unnest({PREFIXES!r}) prefix), f as (select distinct file from files where file is not null), x as (select prefix, file, unnest(range(2, length(file) + 1)) i from p, f where contains(file, prefix)),
+      c as (select distinct prefix, file[1:i - 1 + length(prefix)] longer from x where file[i - 1] = '/' and starts_with(file[i:], prefix)), g as (select prefix, count(*) k, min(longer) longer from c group by prefix)
+      select prefix, exists(select 1 from f where starts_with(file, prefix)) as valid, case when not exists(select 1 from f where starts_with(file, prefix)) and k = 1 then longer end suggestion from p left join g using (prefix)""",
+    "graph_compact": f"""with {_N} select id, '{{' || array_to_string(list_filter(['"id":' || to_json(id)::varchar, '"kind":' || to_json(kind)::varchar, '"name":' || to_json(name)::varchar, '"file":' || to_json(file)::varchar, '"line":' || line,
+      case when len(tags) > 0 then '"tags":' || to_json(tags)::varchar end, case when synthetic then '"synthetic":true' end], lambda x: x is not null), ',') || '}}' as row from n""",
+    "graph_inspect": f"""with recursive {_N}, {_E}, st as (select distinct target a, source b from e where kind in ('extends', 'implements', 'with', 'overrides') and source is not null and target is not null),
+      r as (select id as start, id, 0 d from n union select r.start, st.b, r.d + 1 from r join st on st.a = r.id where r.d < 40), h as (select start id, count(distinct id) k from r where start <> id and id in (select id from n) group by start),
+      c as (select target id, count(*) k from e where kind = 'calls' and source in (select id from n) and target in (select id from n) group by target)
+      select id, coalesce(c.k, 0) callers, greatest(coalesce(c.k, 0) - 20, 0) callers_omitted, coalesce(h.k, 0) implementations, greatest(coalesce(h.k, 0) - 20, 0) implementations_omitted from c full join h using (id)""",
+    "graph_neighbour_rows": f"with {_N}, {_E} {_rel('true', 'source', 'target', 'out')} union all {_rel('true', 'target', 'source', 'in')}",
     "lexical_postings": f"""with {_N}, q as (select id, unnest({_terms('qualified')}) term from n where kind not in ('file', 'external')), r as (select *, row_number() over (partition by term order by id) k, count(*) over (partition by term) df from q)
       select term, df, string_agg(id, ' ' order by k) first_ids from r where k <= 20 group by term, df""",
     "lexical_expanded": f"""{_scored(['switch', 'total', 'default'])}, tp as (select * from sc order by score desc, file, line limit 50), a as (select distinct anchor from tp where anchor is not null),
@@ -570,9 +685,9 @@ ORACLES = {
     "graph_edges": f"with {_E} select * from e",
     "graph_dangling": f"with {_N} select edges.kind, count(*) n_edges, count(*) - count(case when a.id is not null and b.id is not null then 1 end) n_dropped from edges left join n a on a.id = source left join n b on b.id = target group by edges.kind",
     "graph_unreferenced": f"with {_N} select id, kind from n where id not in (select source from edges where source is not null) and id not in (select target from edges where target is not null)",
-    "graph_callers": _rel("calls", "target", "source"),
-    "graph_callees": _rel("calls", "source", "target"),
-    "graph_references": _rel("references", "target", "source"),
+    "graph_callers": f"with {_N}, {_E} {_rel("e.kind = 'calls'", 'target', 'source', 'in')}",
+    "graph_callees": f"with {_N}, {_E} {_rel("e.kind = 'calls'", 'source', 'target', 'out')}",
+    "graph_references": f"with {_N}, {_E} {_rel("e.kind = 'references'", 'target', 'source', 'in')}",
     "graph_neighbours": f"with {_E}, x as (select source id, kind, 1 o, 0 i from e union all select target, kind, 0, 1 from e) select id, kind, cast(sum(o) as bigint) n_out, cast(sum(i) as bigint) n_in from x where id is not null group by id, kind",
     "graph_dependencies": f"""with {_N}, {_E}, c as (select a.file sf, b.file tf, e.kind, count(*) k from e join n a on a.id = e.source join n b on b.id = e.target where e.kind <> 'contains' and a.file <> b.file group by all)
       select sf file, tf other_file, kind, 'out' direction, k n_edges from c union all select tf, sf, kind, 'in', k from c""",

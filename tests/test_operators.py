@@ -1,5 +1,6 @@
 """Operators that no query with SQL covers, on small tables."""
 
+import hashlib
 import math
 import os
 import random
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from symweave import session
 from symweave.functions import scalars
-from symweave.operators import accounting, diff, evidence, graph, lexical, traverse
+from symweave.operators import accounting, diff, evidence, graph, lexical, reading, skew, traverse
 from symweave.sources import records
 from symweave.streaming import changes
 
@@ -324,10 +325,102 @@ def test_dictionary_is_dense_and_ordered(spark):
     assert found == {"a": (0, 2), "a-long-value-1": (1, 1), "a-long-value-2": (2, 1), "aa": (3, 1), "b": (4, 1), "ü": (5, 1)}
 
 
-def test_bootstrap_is_seeded_and_holds_the_ratio(spark):
-    pairs = spark.createDataFrame([("m", i, float(i + 1), 2.0 * (i + 1)) for i in range(30)] + [("none", 1, 0.0, 1.0)], "metric string, task int, a double, b double")
+def test_bootstrap_holds_the_ratio_and_is_null_without_sums(spark):
+    rng = random.Random(3)
+    pairs = spark.createDataFrame([("m", i, float(i + 1), 2.0 * (i + 1)) for i in range(30)] + [("none", 1, 0.0, 1.0)] + [("wide", i, 1.0, float(rng.random() < 0.5)) for i in range(200)], "metric string, task int, a double, b double")
     got = {r.metric: r for r in accounting.paired_bootstrap(pairs, 200).collect()}
-    assert got["m"].ratio == pytest.approx(2) and got["m"].low == pytest.approx(2) and got["none"].ratio is None and got["none"].low is None
+    assert got["m"].ratio == pytest.approx(2) and got["m"].low == pytest.approx(2) and got["m"].high == pytest.approx(2) and got["none"].ratio is None and got["none"].low is None
+    half = 1.96 * math.sqrt(got["wide"].ratio * (1 - got["wide"].ratio) / 200)
+    assert got["wide"].high - got["wide"].low == pytest.approx(2 * half, rel=0.35) and got["wide"].low < got["wide"].ratio < got["wide"].high
+    assert accounting.paired_bootstrap(pairs.where("false")).count() == 0
+
+
+def test_attempts_of_a_journal(spark):
+    at = lambda d: T(2025, 1, d)
+    rows = [("a", "started", at(1)), ("a", "finished", at(2)), ("b", "started", at(1)), ("c", "started", at(1)), ("c", "started", at(2)), ("d", "finished", at(3)), (None, "started", at(1)), ("a", "note", at(9))]
+    found = {r.attempt: (r.status, r.started, r.finished) for r in accounting.attempts(spark.createDataFrame([(*r, "k") for r in rows], "attempt string, event string, at timestamp_ntz, kind string")).collect()}
+    assert found == {"a": ("finished", at(1), at(2)), "b": ("interrupted_unknown", at(1), None), "c": ("conflict", at(1), None), "d": ("orphan_end", None, at(3))}
+
+
+def test_usage_of_providers(spark):
+    rows = [("1", "anthropic", 10, 5, 3, 7, 2), ("2", "openai", 10, 4, 0, 7, 2), ("3", "openai", 10, 14, 0, 7, 2), ("4", "openai", 10, None, 0, 7, 2), ("5", "openai", 10, 4, 0, 1, 2)]
+    found = {r.request: (r.total, r.uncached, r.valid) for r in accounting.normalised_usage(spark.createDataFrame(rows, "request string, provider string, input long, cached long, created long, output long, reasoning long")).collect()}
+    assert found == {"1": (18, 13, True), "2": (10, 6, True), "3": (10, -4, False), "4": (10, None, False), "5": (10, 6, False)}
+
+
+def test_pages_are_put_together(spark):
+    rows = [("a", 0, 0, 2, "x"), ("a", 0, 0, 2, "y"), ("a", 1, 2, None, "y"), ("b", 0, 0, 2, "x"), ("b", 1, 3, None, "z"), ("c", 0, 0, 2, "x"), ("d", 0, 1, None, "x"), ("e", 0, 0, None, None)]
+    found = {r.collection: tuple(r)[1:] for r in accounting.page_fusion(spark.createDataFrame(rows, "collection string, page long, offset long, next_offset long, record string")).collect()}
+    assert found == {"a": (2, 2, 1, True), "b": (2, 2, 0, False), "c": (1, 1, 0, False), "d": (1, 1, 0, False), "e": (1, 0, 0, True)}
+
+
+def test_snippets_are_clamped_and_cut(spark):
+    text = "α😀\r\nsecond\r\n" + "\n".join(f"line {i}" for i in range(3, 30))
+    nodes = spark.createDataFrame([("a", "f", 1, 2), ("b", "f", 10, 20), ("c", "f", 0, 1), ("d", "f", 40, 41), ("e", "g", 1, 1), ("h", "f", 28, 99)], "id string, file string, line long, end_line long")
+    sources = spark.createDataFrame([("f", text), ("g", None)], "file string, text string")
+    own = {r.id: r for r in reading.snippets(nodes, sources, context=0).collect()}
+    assert set(own) == {"a", "b", "h"} and own["a"].text == "α😀\r\nsecond\r" and (own["a"].start_line, own["a"].end_line, own["a"].truncated) == (1, 2, False)
+    assert own["h"].text == "line 28\nline 29"
+    cut = {r.id: r for r in reading.snippets(nodes, sources, context=2, max_lines=3, max_units=2).collect()}
+    assert cut["a"].text == "α" and cut["a"].truncated and (cut["b"].start_line, cut["b"].end_line, cut["b"].text) == (8, 8, "li")
+    with pytest.raises(ValueError):
+        reading.snippets(nodes, sources, context=21)
+    files = spark.createDataFrame([("f", "0" * 64, T(2025, 1, 1)), ("f", hashlib.sha256(text.encode()).hexdigest().upper(), T(2025, 1, 2)), ("g", "x", None), ("k", "x", None)], "file string, hash string, indexed_at timestamp_ntz")
+    states = spark.createDataFrame([("f", text), ("g", "other"), ("g", None)], "file string, text string")
+    assert dict(map(tuple, reading.freshness(files, states).collect())) == {"f": "same", "g": "stale", "k": "missing"}
+
+
+def test_extraction_of_a_region(spark):
+    # 1 value = input   2 value += 1   3 result = value * 2   4 return result
+    statements = spark.createDataFrame([("f", i, i, 10 * i, 10 * i + 9, "s0", "b0") for i in range(1, 5)] + [("f", 3, 3, 31, 33, "s0", "inner")], "file string, line long, end long, offset long, end_offset long, scope string, block string")
+    bindings = spark.createDataFrame([("f", "value", 10), ("f", "result", 30), ("f", "far", 5)], "file string, id string, offset long")
+    uses = spark.createDataFrame([("f", 20, "s0", "value", True, True), ("f", 35, "s0", "value", True, False), ("f", 45, "s0", "result", True, False), ("f", 36, "s0", None, True, False), ("f", 46, "s1", "result", True, False)], "file string, offset long, scope string, binding string, read boolean, write boolean")
+    controls = spark.createDataFrame([("f", 40, "return")], "file string, offset long, kind string")
+    wanted = spark.createDataFrame([("mid", "f", 2, 3), ("all", "f", 1, 4), ("one", "f", 2, 2), ("none", "f", 9, 12)], "region string, file string, start_line long, end_line long")
+    found = reading.regions(statements, wanted)
+    assert {r.region: (r.start_offset, r.end_offset, r.n_statements) for r in found.collect()} == {"mid": (20, 39, 2), "all": (10, 49, 4), "one": (20, 29, 1)}
+    facts = {(r.region, r.fact, r.binding): r.n for r in reading.extraction(found, bindings, uses, controls).collect()}
+    assert facts == {("mid", "capture_reads", "value"): 2, ("mid", "external_mutations", "value"): 1, ("mid", "locals_used_after", "result"): 1, ("one", "capture_reads", "value"): 1, ("one", "external_mutations", "value"): 1, ("all", "control_exits", "return"): 1}
+
+
+def test_inert_edits_and_unchanged_sources(spark):
+    rows = [("a.dart", "x\n", "// c\n \nx\n", True), ("a.dart", "// c\nx\n", "x\n", True), ("a.py", "x\n", "// c\nx\n", False), ("a.py", "x\n", "\n\nx\n", True), ("a.dart", "x\n", "y\nx\n", False), ("a.dart", "x\n", "// \\ c\nx\n", False), ("a.dart", "x\n", "x\n", False), ("a.dart", "x\n", "// cx\n", False), ("a.dart", None, "x", False)]
+    df = spark.createDataFrame(rows, "file string, a string, b string, want boolean")
+    assert [r for r in df.select(reading.inert_leading_edit("file", "a", "b").alias("got"), "want", "a", "b").collect() if r.got != r.want] == []
+    df = spark.createDataFrame([("a\nb\nc", 2, 3, "x\na\nb\nc", 3, 4, True), ("a\nb", 1, 2, "a\nc", 1, 2, False), ("a\nb", 1, 3, "a\nb", 1, 3, False), ("a", 0, 1, "a", 0, 1, False)], "t string, l long, e long, u string, m long, f long, want boolean")
+    assert [r for r in df.select(reading.unchanged_source("t", "l", "e", "u", "m", "f").alias("got"), "want").collect() if r.got != r.want] == []
+
+
+def test_generation_tells_tables_apart_whatever_their_order(spark):
+    name = lambda *rows: reading.generation(spark.createDataFrame(list(rows), "file string, hash string")).first().generation
+    assert name(("a", "1"), ("b", None)) == name(("b", None), ("a", "1"), ("a", "1")) and len(name(("a", "1"))) == 20
+    assert len({name(("a", "1"), ("b", "2")), name(("a", "2"), ("b", "1")), name(("a", "1")), name(("a", None))}) == 4
+
+
+def test_relations_of_a_hot_node(spark, monkeypatch):
+    monkeypatch.setattr(skew, "ROWS_PER_TASK", 20)
+    nodes = spark.createDataFrame([(f"n{i}", "function", f"n{i}", "f", i, ["t"]) for i in range(60)], "id string, kind string, name string, file string, line long, tags array<string>")
+    edges = spark.createDataFrame([(f"n{i}", "n0", "calls", "f", 1, i, "resolved") for i in range(1, 60)] * 2 + [("n1", "gone", "calls", "f", 1, 1, "resolved"), ("n5", "n5", "references", "f", 1, 1, "resolved"), (None, "n0", "calls", "f", 1, 1, "resolved")], "source string, target string, kind string, file string, line long, start_offset long, confidence string")
+    callers = graph.relations(edges, nodes, ["calls"], "in").collect()
+    assert len(callers) == 118 and {r.target_id for r in callers} == {"n0"} and {r.id for r in callers} == {f"n{i}" for i in range(1, 60)} and callers[0].tags == "t"
+    assert graph.relations(edges, nodes, ["calls"], "out").count() == 118
+    assert graph.neighbour_rows(edges, nodes).where("target_id = 'n5' and relation = 'references'").count() == 2
+    seen = {r.id: tuple(r)[1:] for r in graph.inspect(edges, nodes).collect()}
+    assert seen == {"n0": (118, 98, 0, 0)}
+
+
+def test_file_filters_suggest_one_longer_prefix(spark):
+    files = spark.createDataFrame([("app/lib/a.dart",), ("app/lib/b.dart",), ("x/src/a.go",), ("y/src/b.go",), (None,)], "file string")
+    found = {r.prefix: (r.valid, r.suggestion) for r in graph.file_filters(files, ["lib/", "src/", "app/", "none", "ib/"]).collect()}
+    assert found == {"lib/": (False, "app/lib/"), "src/": (False, None), "app/": (True, None), "none": (False, None), "ib/": (False, None)}
+    for bad in ("/a", "a/../b", "a:b", "a\\b"):
+        with pytest.raises(ValueError):
+            graph.file_filters(files, [bad])
+
+
+def test_compact_rows_leave_out_what_is_absent(spark):
+    rows = spark.createDataFrame([("a", "class", "A", "f", 1, ["t"], True), ("b", "class", None, "f", 1, [], False)], "id string, kind string, name string, file string, line long, tags array<string>, synthetic boolean")
+    assert [r.row for r in graph.compact(rows).orderBy("id").collect()] == ['{"id":"a","kind":"class","name":"A","file":"f","line":1,"tags":["t"],"synthetic":true}', '{"id":"b","kind":"class","file":"f","line":1}']
 
 
 def test_deltas_skip_repeats_and_start_again_after_a_fall(spark):
