@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -48,6 +50,38 @@ def under(file: str | Column, scope: str) -> Column:
     return (file == scope) | file.startswith(scope.rstrip("/") + "/")
 
 
+def glob(file: str | Column, include: list[str], exclude: list[str] = ()) -> Column:
+    """Whether a path fits one of the globs ``include`` and none of ``exclude``: ``*`` takes any characters, those of directories too, ``?`` one, ``[..]`` one of some, ``{a,b}`` one of several texts."""
+
+    def pattern(text: str) -> str:
+        out, depth, at = "", 0, 0
+        while at < len(text):
+            c = text[at]
+            end = text.find("]", at + 2)
+            if c == "*":
+                out += "" if out.endswith(".*") else ".*"
+            elif c == "?":
+                out += "."
+            elif c == "[" and end > 0:
+                inner = text[at + 1 : end]
+                out += "[" + ("^" + inner[1:] if inner[0] == "!" else inner).replace("\\", "\\\\") + "]"
+                at = end
+            elif c == "{":
+                out, depth = out + "(?:", depth + 1
+            elif c == "}" and depth:
+                out, depth = out + ")", depth - 1
+            elif c == "," and depth:
+                out += "|"
+            else:
+                out += re.escape(c)
+            at += 1
+        return f"(?:{out})"
+
+    file = F.col(file) if isinstance(file, str) else file
+    fits = file.rlike("(?s)^(?:" + "|".join(map(pattern, include)) + ")$") if include else F.lit(False)
+    return fits & ~file.rlike("(?s)^(?:" + "|".join(map(pattern, exclude)) + ")$") if exclude else fits
+
+
 def test_path(file: str | Column) -> Column:
     """Whether a path looks like a test's."""
     file = F.col(file) if isinstance(file, str) else file

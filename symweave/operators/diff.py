@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from symweave.functions.scalars import language
-from symweave.session import ship
+from symweave.session import ship, stage
 
 
 def valid_snapshots(snapshots: DataFrame) -> DataFrame:
@@ -81,6 +81,50 @@ def relation_correspondence(snapshots: DataFrame, intervals: DataFrame | None =
     return per_file.join(net, ["snapshot_no", "file"])
 
 
+def review(snapshots: DataFrame) -> DataFrame:
+    """``(snapshot_no, section, phase, source, target, kind, file, line, start_offset, n)``: the evidence that a review of each snapshot against the one before needs.
+
+    source_changes are files by hash, removed_symbols, added_symbols and changed_symbols declarations of a file by id (kind, name and parent), affected_consumers relations of the snapshot before that lead to a removed
+    symbol, removed_relations and added_relations sites without a counterpart; in a changed file no site has one. n counts equal rows. A declaration's relation leads from itself to itself. phase is ``before`` or ``current``.
+    """
+    ends = snapshots.agg(F.min("snapshot_no"), F.max("snapshot_no")).first()
+    files = stage(valid_snapshots(snapshots), "snapshots")
+    inside = (F.col("snapshot_no") > (ends[0] or 0)) & (F.col("snapshot_no") <= (ends[1] or 0))
+    later = (F.col("snapshot_no") + 1).cast("int").alias("snapshot_no")
+    now = files.select("snapshot_no", "file", F.lower("hash").alias("hash"), F.lit(True).alias("here"))
+    then = files.select(later, "file", F.lower("hash").alias("old"), F.lit(True).alias("there"))
+    pairs = now.join(then, ["snapshot_no", "file"], "full").where(inside)
+    moved = ~(F.col("here").eqNullSafe(F.col("there")) & F.col("hash").eqNullSafe(F.col("old")))
+    pairs = stage(pairs.select("snapshot_no", "file", F.col("here").isNotNull().alias("here"), F.col("there").isNotNull().alias("there"), moved.alias("moved")), "pairs")
+    nothing = F.lit(None).cast("long")
+    own = F.concat("file", F.lit("::file"))
+    event = F.when(~F.col("there"), "source_added").when(~F.col("here"), "source_removed").otherwise("source_changed")
+    one = F.lit(1).cast("long").alias("n")
+    phase = lambda gone: F.when(gone, "before").otherwise("current").alias("phase")
+    sources = pairs.where("moved").select("snapshot_no", F.lit("source_changes").alias("section"), phase(~F.col("here")), own.alias("source"), own.alias("target"), event.alias("kind"), "file", F.lit(1).cast("long").alias("line"), F.lit(0).cast("long").alias("start_offset"), one)
+
+    declared = files.select("snapshot_no", "file", F.explode("nodes").alias("d")).where("d.id is not null").groupBy("snapshot_no", "file", F.col("d.id").alias("id")).agg(F.min(F.struct("d.kind", "d.name", "d.parent")).alias("body"), F.min("d.line").alias("line"))
+    old = declared.select(later, "file", "id", F.col("body").alias("old_body"), F.col("line").alias("old_line"))
+    met = declared.join(old, ["snapshot_no", "file", "id"], "full").where(inside)
+    section = F.when(F.col("body").isNull(), "removed_symbols").when(F.col("body.kind") == "file", None).when(F.col("old_body").isNull(), "added_symbols").when(F.col("body") != F.col("old_body"), "changed_symbols")
+    symbols = stage(met.select("snapshot_no", "file", "id", section.alias("section"), F.coalesce("line", "old_line").alias("line")).where("section is not null"), "symbols")
+    declarations = symbols.select("snapshot_no", "section", phase(F.col("section") == "removed_symbols"), F.col("id").alias("source"), F.col("id").alias("target"), F.lit("declaration").alias("kind"), "file", "line", nothing.alias("start_offset"), one)
+
+    edge = ["source", "target", "kind", "confidence", "line", "start_offset"]
+    sites = files.select("snapshot_no", "file", F.explode("edges").alias("e")).where("e is not null").select("snapshot_no", "file", "e.source", "e.target", "e.kind", F.coalesce("e.confidence", F.lit("resolved")).alias("confidence"), "e.line", "e.start_offset")
+    sites = stage(sites.groupBy("snapshot_no", "file", *edge).agg(F.count("*").alias("n")), "sites")
+    before = sites.withColumn("snapshot_no", (F.col("snapshot_no") + 1).cast("int")).where(inside)
+    gone = symbols.where("section = 'removed_symbols'").select("snapshot_no", F.col("id").alias("target")).distinct()
+    columns = ["snapshot_no", "section", "phase", "source", "target", "kind", "file", "line", "start_offset", "n"]
+    users = before.where("kind in ('calls', 'references', 'overrides')").join(gone, ["snapshot_no", "target"]).withColumn("section", F.lit("affected_consumers")).withColumn("phase", F.lit("before")).select(*columns)
+    both = before.withColumn("w", -F.col("n")).unionByName(sites.where(inside).withColumn("w", F.col("n"))).join(pairs.select("snapshot_no", "file", "moved"), ["snapshot_no", "file"])
+    # the sites of a changed file have no counterpart, so those of before and after are counted apart
+    net = both.withColumn("side", F.when(F.col("moved"), F.signum("w")).otherwise(0)).groupBy("snapshot_no", "file", *edge, "side").agg(F.sum("w").alias("w")).where("w <> 0")
+    lost = F.col("w") < 0
+    relations = net.select("snapshot_no", F.when(lost, "removed_relations").otherwise("added_relations").alias("section"), phase(lost), "source", "target", "kind", "file", "line", "start_offset", F.abs("w").alias("n"))
+    return sources.unionByName(declarations).unionByName(users).unionByName(relations)
+
+
 def _relocated(old: DataFrame, intervals: DataFrame) -> DataFrame:
     """Sites of changed files with the line and offset where the interval that begins last at or before them puts them; an as-of join by one order per file."""
     key = ["snapshot_no", "file"]

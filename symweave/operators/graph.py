@@ -171,6 +171,33 @@ def resolve(targets: DataFrame, nodes: DataFrame) -> DataFrame:
     return best.select("target", "b.tier", F.coalesce("b.n", F.lit(0)).alias("n_matches"), F.when(F.col("b.n") == 1, F.col("b.id")).alias("id"))
 
 
+def resolve_candidates(targets: DataFrame, nodes: DataFrame, most: int = 10) -> DataFrame:
+    """``(target, place, id)``: the first ``most`` nodes, by id, that each ambiguous text of ``targets`` names in its least tier; cut before the shuffle."""
+    unclear = resolve(targets, nodes).where("n_matches > 1").select("target", "tier")
+    keys = F.array(F.struct(F.lit(1).alias("tier"), F.when(F.col("kind") == "file", F.col("file")).alias("key")), F.struct(F.lit(2).alias("tier"), F.col("qualified").alias("key")), F.struct(F.lit(3).alias("tier"), F.col("name").alias("key")))
+    named = nodes.select("id", F.explode(keys).alias("k")).select("id", "k.tier", F.col("k.key").alias("target")).where("target is not null")
+    place = F.row_number().over(Window.partitionBy("target").orderBy(utf16_order("id")))
+    return named.join(unclear, ["target", "tier"], "left_semi").withColumn("place", place).where(F.col("place") <= most).select("target", "place", "id")
+
+
+def unlinked_homonyms(nodes: DataFrame, linked: DataFrame) -> DataFrame:
+    """``(id, n)``: how many other nodes have a symbol's name and are not among the declarations bound to it (``linked``: start, id); symbols without any are left out. Counted by name, so no pairs of homonyms are made."""
+    named = nodes.where("name is not null").select("id", "name")
+    counts = named.groupBy("name").agg(F.count("*").alias("all"))
+    own = linked.where("start <> id").join(named.select(F.col("id").alias("start"), "name"), "start").join(named.select("id", F.col("name").alias("other")), "id").where("name = other").groupBy(F.col("start").alias("id")).agg(F.count("*").alias("own"))
+    met = named.where("name is not null").join(counts, "name").join(own, "id", "left")
+    return met.select("id", (F.col("all") - 1 - F.coalesce("own", F.lit(0))).alias("n")).where("n > 0")
+
+
+def diagnostic_samples(files: DataFrame, limit: int = 20, most: int = 512) -> DataFrame:
+    """``(file, place, severity, code, message, truncated)``: the first ``limit`` diagnostics of the current records by file and place, messages cut at ``most`` characters; a report, so a limit."""
+    newest = files.where("file is not null").groupBy("file").agg(F.max(F.struct("indexed_at", "diagnostics")).alias("r")).select("file", F.posexplode("r.diagnostics").alias("place", "d"))
+    rows = newest.where(F.col("d").startswith("{") & F.col("d").endswith("}"))
+    message = F.get_json_object("d", "$.message")
+    rows = rows.select("file", "place", F.coalesce(F.get_json_object("d", "$.severity"), F.lit("error")).alias("severity"), F.get_json_object("d", "$.code").alias("code"), F.substring(message, 1, most).alias("message"), F.coalesce(F.length(message) > most, F.lit(False)).alias("truncated"))
+    return rows.orderBy(utf16_order("file"), "place").limit(limit)
+
+
 def covering(sites: DataFrame, spans: DataFrame, site: str) -> DataFrame:
     """Every pair of a site (columns ``site``, file, line) and a span (file, line, end_line and more) of its file whose lines hold the site's: (site, the span's columns, line of the span as ``line``).
 

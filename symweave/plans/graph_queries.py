@@ -117,6 +117,19 @@ def graph_resolve(s, d):
     return graph.resolve(table(s, d, "edges").select(F.element_at(F.split("target", "::"), -1).alias("target")).select(F.substring_index("target", "#", 1).alias("target")), _nodes(s, d))
 
 
+def graph_candidates(s, d):
+    names = _edges(s, d).where("target is not null").select(F.element_at(F.split("target", r"[.:#/]"), -2).alias("target")).where("target is not null and target <> ''")
+    return graph.resolve_candidates(names, _nodes(s, d))
+
+
+def graph_unlinked_homonyms(s, d):
+    return graph.unlinked_homonyms(_nodes(s, d), _recipes(s, d).linked())
+
+
+def graph_diagnostics(s, d):
+    return graph.diagnostic_samples(table(s, d, "files"), 200)
+
+
 def graph_innermost(s, d):
     return graph.innermost(table(s, d, "edges").select("edge_id", "file", "line").distinct(), _nodes(s, d))
 
@@ -213,6 +226,10 @@ def diff_correspondence(s, d):
     return diff.relation_correspondence(table(s, d, "file_snapshots"))
 
 
+def diff_review(s, d):
+    return diff.review(table(s, d, "file_snapshots"))
+
+
 def diff_declarations(s, d):
     return diff.declaration_changes(table(s, d, "file_snapshots"))
 
@@ -407,10 +424,10 @@ def stream_index(s, d):
 
 
 _LISTED = [
-    graph_nodes, graph_edges, graph_dangling, graph_unreferenced, graph_callers, graph_callees, graph_references, graph_neighbours, graph_neighbour_rows, graph_inspect, graph_compact, graph_file_filters, graph_dependencies, graph_search, graph_search_page, graph_resolve,
+    graph_nodes, graph_edges, graph_dangling, graph_unreferenced, graph_callers, graph_callees, graph_references, graph_neighbours, graph_neighbour_rows, graph_inspect, graph_compact, graph_file_filters, graph_dependencies, graph_search, graph_search_page, graph_resolve, graph_candidates, graph_unlinked_homonyms, graph_diagnostics,
     graph_innermost, graph_homonyms, graph_derived_overrides, graph_architecture, graph_hubs, graph_ranked_callers, graph_health, graph_redelivered, graph_multiset,
     closure_contracts, closure_flow, closure_tests, closure_implementations, closure_impact, closure_impact_files, closure_depth, closure_paths, closure_path_to, closure_affected_files,
-    diff_files, diff_correspondence, diff_declarations, diff_relations, diff_diagnostics, diff_preceding,
+    diff_files, diff_correspondence, diff_review, diff_declarations, diff_relations, diff_diagnostics, diff_preceding,
     lexical_frequencies, lexical_bm25, lexical_overlap, lexical_filtered, lexical_grouped, lexical_expanded, lexical_per_file, lexical_postings, lexical_posting_blocks,
     evidence_sections, evidence_page, evidence_files, evidence_groups, evidence_windows, evidence_extract, evidence_fusion,
     usage_deltas, usage_sums, usage_conflicts, usage_campaign, usage_ledger, usage_read_audit, usage_percentiles, usage_bootstrap, usage_attempts,
@@ -602,6 +619,29 @@ def _field(section: str, name: str, kind: str = "varchar") -> str:
 
 
 ORACLES = {
+    "diff_review": f"""with {_V}, pr as (select coalesce(b.snapshot_no, a.snapshot_no + 1) sn, coalesce(b.file, a.file) file, a.file is not null there, b.file is not null here, a.file is null or b.file is null or lower(a.hash) is distinct from lower(b.hash) mv
+        from v b full join v a on a.file = b.file and a.snapshot_no = b.snapshot_no - 1 where coalesce(b.snapshot_no, a.snapshot_no + 1) between 2 and 5),
+      dx as (select snapshot_no sn, file, unnest(nodes) d from v), dc as (select sn, file, d.id id, min({{'kind': d.kind, 'name': d.name, 'parent': d.parent}}) body, min(d.line) line from dx where d.id is not null group by all),
+      dm as (select coalesce(b.sn, a.sn + 1) sn, coalesce(b.file, a.file) file, coalesce(b.id, a.id) id, b.body nb, a.body ob, coalesce(b.line, a.line) line from dc b full join dc a on a.file = b.file and a.id = b.id and a.sn = b.sn - 1 where coalesce(b.sn, a.sn + 1) between 2 and 5),
+      sy as (select sn, file, id, line, case when nb is null then 'removed_symbols' when nb.kind = 'file' then null when ob is null then 'added_symbols' when nb is distinct from ob then 'changed_symbols' end section from dm),
+      ex as (select snapshot_no sn, file, e.source, e.target, e.kind, coalesce(e.confidence, 'resolved') confidence, e.line, e.start_offset, count(*) n from (select snapshot_no, file, unnest(edges) e from v) where e is not null group by all),
+      od as (select * replace (sn + 1 as sn) from ex where sn < 5),
+      rl as (select x.sn, x.file, source, target, kind, confidence, line, start_offset, case when mv then sign(w) else 0 end side, sum(w) w from (select * exclude (n), -n w from od union all select * exclude (n), n from ex where sn > 1) x join pr on pr.sn = x.sn and pr.file = x.file group by all having sum(w) <> 0)
+      select cast(sn as int) snapshot_no, 'source_changes' section, case when here then 'current' else 'before' end phase, file || '::file' source, file || '::file' target, case when not there then 'source_added' when not here then 'source_removed' else 'source_changed' end kind, file, 1::bigint line, 0::bigint start_offset, 1::bigint n from pr where mv
+      union all select sn, section, case when section = 'removed_symbols' then 'before' else 'current' end, id, id, 'declaration', file, line, null, 1 from sy where section is not null
+      union all select od.sn, 'affected_consumers', 'before', source, target, kind, od.file, line, start_offset, n from od where kind in ('calls', 'references', 'overrides') and exists (select 1 from sy where sy.sn = od.sn and sy.id = od.target and section = 'removed_symbols')
+      union all select sn, case when w < 0 then 'removed_relations' else 'added_relations' end, case when w < 0 then 'before' else 'current' end, source, target, kind, file, line, start_offset, abs(w)::bigint from rl""",
+    "graph_diagnostics": """with c as (select file, diagnostics from (select file, diagnostics, row_number() over (partition by file order by indexed_at desc nulls last, diagnostics desc nulls last) rn from files where file is not null) where rn = 1),
+      x as (select file, unnest(range(len(diagnostics))) place, unnest(diagnostics) d from c), y as (select * from x where starts_with(d, '{') and ends_with(d, '}'))
+      select file, cast(place as int) place, case when json_valid(d) then coalesce(d ->> '$.severity', 'error') else 'error' end severity, case when json_valid(d) then d ->> '$.code' end code, case when json_valid(d) then (d ->> '$.message')[1:512] end message,
+        case when json_valid(d) then coalesce(length(d ->> '$.message') > 512, false) else false end truncated from y order by file, place limit 200""",
+    "graph_unlinked_homonyms": f"""with recursive {_CONTEXT}, c as (select id, count(*) over (partition by name) k, name from n where name is not null),
+      o as (select ln.start id, count(*) k from ln join n a on a.id = ln.start join n b on b.id = ln.id where ln.start <> ln.id and a.name = b.name group by ln.start)
+      select c.id, c.k - 1 - coalesce(o.k, 0) n from c left join o using (id) where c.k - 1 - coalesce(o.k, 0) > 0""",
+    "graph_candidates": f"""with {_N}, t as (select distinct regexp_split_to_array(target, '[.:#/]')[-2] target from edges where target is not null),
+      k as (select id, 0 tier, id as key from n union all select id, 1, file from n where kind = 'file' union all select id, 2, qualified from n union all select id, 3, name from n),
+      m as (select t.target, min(tier) tier from t join k on k.key = t.target where t.target <> '' group by t.target), c as (select m.target, k.id, row_number() over (partition by m.target order by k.id) place, count(*) over (partition by m.target) n from m join k on k.key = m.target and k.tier = m.tier)
+      select target, cast(place as int) place, id from c where n > 1 and place <= 10""",
     "evidence_extract": f"""with recursive {RECORDS}, sm as (select file, {_field('statements', 'line', 'bigint')} line, {_field('statements', 'end', 'bigint')} "end", {_field('statements', 'offset', 'bigint')} o, {_field('statements', 'end_offset', 'bigint')} eo, {_field('statements', 'scope')} scope, {_field('statements', 'block')} block from obj where "table" = 'intent.ast.statements[]'),
       bd as (select file, {_field('bindings', 'id')} id, {_field('bindings', 'offset', 'bigint')} o from obj where "table" = 'intent.ast.bindings[]'),
       us as (select file, {_field('uses', 'offset', 'bigint')} o, {_field('uses', 'scope')} scope, {_field('uses', 'binding')} binding, {_field('uses', 'read', 'boolean')} rd, {_field('uses', 'write', 'boolean')} wr from obj where "table" = 'intent.ast.uses[]'),

@@ -418,6 +418,36 @@ def test_file_filters_suggest_one_longer_prefix(spark):
             graph.file_filters(files, [bad])
 
 
+def test_globs(spark):
+    df = spark.createDataFrame([("a/b.ts",), ("a/b/c.test.ts",), ("x.go",), ("a/{b}.ts",)], "file string")
+    fits = lambda *g: [r.file for r in df.where(scalars.glob("file", *g)).collect()]
+    assert fits(["a/*.ts"]) == ["a/b.ts", "a/b/c.test.ts", "a/{b}.ts"] and fits(["**/*.ts", "?.go"], ["*.test.*"]) == ["a/b.ts", "x.go", "a/{b}.ts"]
+    assert fits(["*.{go,rs}"]) == ["x.go"] and fits(["[!a].go"]) == ["x.go"] and fits(["[!x].go"]) == [] and fits([]) == []
+
+
+def test_candidates_of_ambiguous_names(spark):
+    nodes = spark.createDataFrame([(f"f::m{i}", "method", "f", f"A{i}.m", "m") for i in range(15)] + [("f::one", "class", "f", "one", "one")], "id string, kind string, file string, qualified string, name string")
+    found = graph.resolve_candidates(spark.createDataFrame([("m",), ("one",), ("no",), ("m",)], "target string"), nodes).collect()
+    assert [r.id for r in sorted(found, key=lambda r: r.place)] == sorted(f"f::m{i}" for i in range(15))[:10] and {r.target for r in found} == {"m"}
+
+
+def test_review_of_snapshots(spark):
+    schema = "snapshot_no int, file string, hash string, nodes array<struct<id:string,name:string,kind:string,line:long,end_line:long,parent:string>>, edges array<struct<source:string,target:string,kind:string,line:long,start_offset:long,confidence:string>>, received_at timestamp_ntz"
+    node = lambda i, kind="class", line=1: (i, i, kind, line, line, None)
+    edge = lambda s, t, at=0: (s, t, "calls", 1, at, None)
+    rows = [
+        (1, "a", "1", [node("a::file", "file"), node("x"), node("y")], [edge("x", "y"), edge("x", "y")], T(2025, 1, 1)), (2, "a", "2", [node("a::file", "file", 2), node("x", "struct"), node("z")], [edge("x", "y")], T(2025, 1, 2)),
+        (1, "b", "1", None, [edge("q", "y"), edge("q", "y"), edge("q", "x", 5)], T(2025, 1, 1)), (2, "b", "1", None, [edge("q", "y"), edge("q", "x", 6)], T(2025, 1, 2)), (2, "c", "1", [], [], T(2025, 1, 2)),
+    ]
+    found = {(r.section, r.phase, r.source, r.target, r.kind, r.start_offset, r.n) for r in diff.review(spark.createDataFrame(rows, schema)).collect()}
+    assert found == {
+        ("source_changes", "current", "a::file", "a::file", "source_changed", 0, 1), ("source_changes", "current", "c::file", "c::file", "source_added", 0, 1),
+        ("changed_symbols", "current", "x", "x", "declaration", None, 1), ("added_symbols", "current", "z", "z", "declaration", None, 1), ("removed_symbols", "before", "y", "y", "declaration", None, 1),
+        ("affected_consumers", "before", "x", "y", "calls", 0, 2), ("affected_consumers", "before", "q", "y", "calls", 0, 2),
+        ("removed_relations", "before", "x", "y", "calls", 0, 2), ("added_relations", "current", "x", "y", "calls", 0, 1), ("removed_relations", "before", "q", "y", "calls", 0, 1), ("removed_relations", "before", "q", "x", "calls", 5, 1), ("added_relations", "current", "q", "x", "calls", 6, 1),
+    }
+
+
 def test_compact_rows_leave_out_what_is_absent(spark):
     rows = spark.createDataFrame([("a", "class", "A", "f", 1, ["t"], True), ("b", "class", None, "f", 1, [], False)], "id string, kind string, name string, file string, line long, tags array<string>, synthetic boolean")
     assert [r.row for r in graph.compact(rows).orderBy("id").collect()] == ['{"id":"a","kind":"class","name":"A","file":"f","line":1,"tags":["t"],"synthetic":true}', '{"id":"b","kind":"class","file":"f","line":1}']
