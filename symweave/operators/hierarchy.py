@@ -113,7 +113,7 @@ def peel(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame, int]:
 
     In a round every task peels what it can of its own links, then the sizes and heights of peeled nodes go to parents in other tasks. So
     rounds are counted by how often a branch changes task, not by its depth. What is left when no message is sent is exactly the nodes
-    on cycles, as trees that hang below a cycle are peeled.
+    on cycles, as trees that hang below a cycle are peeled. All rounds run when the query is built; each is written to the shared folder.
     """
     spark = nodes.sparkSession
     ship(spark)

@@ -25,6 +25,8 @@ def snapshot_changes(snapshots: DataFrame) -> DataFrame:
     ``resolved``. Of several rows the one with the greatest received_at counts, null being the least; on a tie the
     greatest digest. Rows with a null file or snapshot_no are no files and are left out. A number between the first and the last that has
     no rows is an empty snapshot. Empty input gives no rows. Extra columns are ignored.
+
+    When the query is built, the first and last snapshot number are read.
     """
     content = F.struct(F.lower("hash").alias("hash"), _set_of("nodes").alias("nodes"), _set_of("edges", {"confidence": "resolved"}).alias("edges"))
     digest = F.unhex(F.sha2(F.to_json(content), 256))

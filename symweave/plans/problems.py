@@ -165,6 +165,10 @@ ORACLES = {
       from l left join t on t.id = l.id left join d on d.above = l.id left join cyc on cyc.id = l.id""",
     "p5_descendants": f"""with recursive {_TREE} select u.above ancestor, u.id descendant, b.depth - a.depth distance
       from up u join t a on a.id = u.above join t b on b.id = u.id""",
+    "p5_all_descendants": """with recursive l as (select a.id, case when b.id is not null then a.parent end parent from (select id, max(parent) parent from nodes where id is not null group by id) a left join (select distinct id from nodes) b on a.parent = b.id),
+      up as (select id, parent as above, 1 d, [parent] seen from l where parent is not null and parent <> id union all
+        select up.id, l.parent, up.d + 1, list_append(up.seen, l.parent) from up join l on l.id = up.above where l.parent is not null and l.parent <> up.id and not list_contains(up.seen, l.parent))
+      select above ancestor, id descendant, d distance from up""",
     "p6_found": f"with {_ORPHANS} select edge_id, side from o",
     "p6_report": f"with {_ORPHANS} select side, period, count(*) n_orphans, count(distinct k) n_keys from o group by all",
 }
