@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from symweave.functions.scalars import language
@@ -39,6 +39,18 @@ def snippets(nodes: DataFrame, sources: DataFrame, *, context: int = 2, max_line
     return rows.select("id", "file", "start_line", (F.col("start_line") + F.size(F.split("text", "\n")) - 1).cast("long").alias("end_line"), "truncated", "text")
 
 
+def merge_windows(windows: DataFrame) -> DataFrame:
+    """``(file, start_line, end_line, n_windows, conflict, text)`` of windows (file, start_line, text): those that overlap or touch as one; conflict if they have different texts for a line.
+
+    Every line of a file counts once, however many windows hold it, and combined before the shuffle; so what meets in a file is its lines. A conflicting line shows the least of its texts. n_windows counts windows by their first line.
+    """
+    lines = windows.where("file is not null and start_line is not null and text is not null").select("file", "start_line", F.posexplode(F.split("text", "\n")).alias("n", "body"))
+    once = lines.groupBy("file", (F.col("start_line") + F.col("n")).alias("line")).agg(F.min("body").alias("body"), F.max("body").alias("other"), F.count(F.when(F.col("n") == 0, 1)).alias("begun"))
+    marked = once.withColumn("island", F.col("line") - F.row_number().over(Window.partitionBy("file").orderBy("line")))
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line", "body"))), lambda x: x["body"]), "\n").alias("text")
+    return marked.groupBy("file", "island").agg(F.min("line").alias("start_line"), F.max("line").alias("end_line"), F.sum("begun").alias("n_windows"), F.max(F.col("body") != F.col("other")).alias("conflict"), text).drop("island")
+
+
 def freshness(files: DataFrame, sources: DataFrame) -> DataFrame:
     """``(file, state)`` of the current records: ``same`` if the text has the record's hash, ``stale`` if not, ``missing`` without a text; digests are shuffled, not texts."""
     newest = files.where("file is not null").groupBy("file").agg(F.max(F.struct("indexed_at", F.lower("hash").alias("hash"))).alias("r")).select("file", "r.hash")

@@ -31,18 +31,20 @@ def _symbols(s: SparkSession, d: str) -> DataFrame:
     return _nodes(s, d).where("kind not in ('file', 'external')").select("id")
 
 
-def _record_rows(s: SparkSession, d: str, place: str, fields: dict[str, str]) -> DataFrame:
-    """A flat table of the current records with typed fields."""
-    rows = nested.flat_table(nested.nested_objects(table(s, d, "files")), place, list(fields))
-    return rows.select(F.col("file").alias("record"), "ordinal", *[F.col(f"f_{c}").try_cast(t).alias("start_offset" if c == "offset" else c) for c, t in fields.items()])
+def _record_tables(s: SparkSession, d: str, tables: dict[str, dict[str, str]]) -> list[DataFrame]:
+    """Flat tables of the current records with typed fields; the records are read once."""
+    objects = stage(nested.nested_objects(table(s, d, "files")).where(F.col("table").isin(list(tables))), "objects")
+    typed = lambda fields: [F.col(f"f_{c}").try_cast(t).alias(c) for c, t in fields.items()]
+    return [nested.flat_table(objects, place, list(fields)).select(F.col("file").alias("record"), "ordinal", *typed(fields)) for place, fields in tables.items()]
 
 
 def _recipes(s: SparkSession, d: str) -> evidence.Recipes:
-    symbols = _record_rows(s, d, "intent.symbols[]", {"id": "string", "kind": "string", "file": "string", "line": "long", "offset": "long", "parent": "string"})
-    relations = _record_rows(s, d, "intent.relations[]", {"source": "string", "target": "string", "kind": "string", "file": "string", "line": "long", "offset": "long", "confidence": "string"})
-    cases = _record_rows(s, d, "intent.tests[]", {"framework": "string", "name": "string", "line": "long", "end": "long"}).select(F.col("record").alias("file"), "ordinal", "framework", "name", "line", F.col("end").alias("end_line"))
-    nodes, edges = evidence.context(_nodes(s, d), _edges(s, d), symbols, relations.withColumn("confidence", F.coalesce("confidence", F.lit("resolved"))))
-    return evidence.Recipes(_symbols(s, d), nodes, edges, cases)
+    site = {"file": "string", "line": "long", "offset": "long"}
+    places = {"intent.symbols[]": {"id": "string", "kind": "string", "parent": "string", **site}, "intent.relations[]": {"source": "string", "target": "string", "kind": "string", "confidence": "string", **site}, "intent.tests[]": {"framework": "string", "name": "string", "line": "long", "end": "long"}}
+    symbols, relations, cases = _record_tables(s, d, places)
+    relations = relations.withColumn("confidence", F.coalesce("confidence", F.lit("resolved"))).withColumnRenamed("offset", "start_offset")
+    nodes, edges = evidence.context(_nodes(s, d), _edges(s, d), symbols.withColumnRenamed("offset", "start_offset"), relations)
+    return evidence.Recipes(_symbols(s, d), nodes, edges, cases.select(F.col("record").alias("file"), "ordinal", "framework", "name", "line", F.col("end").alias("end_line")))
 
 
 def _found(s: SparkSession, d: str, intent: str = "remove_symbol") -> DataFrame:
@@ -289,14 +291,10 @@ def lexical_posting_blocks(s, d):
 def evidence_extract(s, d):
     numbers = lambda *names: dict.fromkeys(names, "long")
     kinds = {"statements": numbers("line", "end", "offset", "end_offset") | {"scope": "string", "block": "string"}, "bindings": {"id": "string", **numbers("offset")}, "uses": numbers("offset") | {"scope": "string", "binding": "string", "read": "boolean", "write": "boolean"}, "controls": numbers("offset") | {"kind": "string"}}
-    rows = {}
-    for name, fields in kinds.items():
-        flat = nested.flat_table(nested.nested_objects(table(s, d, "files")), f"intent.ast.{name}[]", list(fields))
-        rows[name] = flat.select("file", *[F.col(f"f_{c}").try_cast(t).alias(c) for c, t in fields.items()])
-    blocks = rows["statements"].where("line is not null and end is not null").groupBy("file", "scope", "block").agg(F.min("line").alias("start_line"), F.max("end").alias("end_line"))
+    statements, bindings, uses, controls = (t.drop("ordinal").withColumnRenamed("record", "file") for t in _record_tables(s, d, {f"intent.ast.{k}[]": f for k, f in kinds.items()}))
+    blocks = statements.where("line is not null and end is not null").groupBy("file", "scope", "block").agg(F.min("line").alias("start_line"), F.max("end").alias("end_line"))
     wanted = blocks.select(F.concat_ws("|", "file", "scope", "block").alias("region"), "file", "start_line", "end_line")
-    found = stage(reading.regions(rows["statements"], wanted), "regions")
-    return reading.extraction(found, rows["bindings"], rows["uses"], rows["controls"])
+    return reading.extraction(stage(reading.regions(statements, wanted), "regions"), bindings, uses, controls)
 
 
 def evidence_fusion(s, d):
@@ -383,6 +381,10 @@ def source_snippets(s, d):
     return reading.snippets(_nodes(s, d).where("kind not in ('file', 'external')"), table(s, d, "sources"))
 
 
+def source_merged(s, d):
+    return reading.merge_windows(source_snippets(s, d).select("file", "start_line", "text"))
+
+
 def source_generation(s, d):
     return reading.generation(diff_current(s, d))
 
@@ -431,7 +433,7 @@ _LISTED = [
     lexical_frequencies, lexical_bm25, lexical_overlap, lexical_filtered, lexical_grouped, lexical_expanded, lexical_per_file, lexical_postings, lexical_posting_blocks,
     evidence_sections, evidence_page, evidence_files, evidence_groups, evidence_windows, evidence_extract, evidence_fusion,
     usage_deltas, usage_sums, usage_conflicts, usage_campaign, usage_ledger, usage_read_audit, usage_percentiles, usage_bootstrap, usage_attempts,
-    source_hashes, source_record_nodes, source_violations, source_upsert, source_freshness, source_snippets, source_generation,
+    source_hashes, source_record_nodes, source_violations, source_upsert, source_freshness, source_snippets, source_merged, source_generation,
     stream_windows, stream_sessions, stream_sliding, stream_dedup, stream_index,
 ]
 QUERIES = {f.__name__: f for f in _LISTED} | {f"evidence_{name}": _intent(name) for name in INTENTS}
@@ -618,6 +620,12 @@ def _field(section: str, name: str, kind: str = "varchar") -> str:
     return f"try_cast(case when row_of then value ->> '$[{place}]' else value ->> '$.{name}' end as {kind})"
 
 
+_SNIPPETS = f"""with {_N}, tx as (select file, string_split(max(text), chr(10)) ls from sources where file is not null and text is not null group by file),
+      q as (select id, file, ls, greatest(line - 2, 1) a, least(end_line + 2, len(ls)) z from n join tx using (file) where kind not in ('file', 'external') and line >= 1 and end_line >= line and line <= len(ls)),
+      r as (select id, file, a, z, array_to_string(ls[a:least(z, a + 119)], chr(10)) w from q),
+      u as (select *, length(w) + length(regexp_replace(w, '[^\\x{{10000}}-\\x{{10FFFF}}]', '', 'g')) > 16000 big from r),
+      sn as (select id, file, a start_line, a + len(string_split(case when big then w[1:16000] else w end, chr(10))) - 1 end_line, a + 119 < z or big truncated, case when big then w[1:16000] else w end as text from u)"""
+
 ORACLES = {
     "diff_review": f"""with {_V}, pr as (select coalesce(b.snapshot_no, a.snapshot_no + 1) sn, coalesce(b.file, a.file) file, a.file is not null there, b.file is not null here, a.file is null or b.file is null or lower(a.hash) is distinct from lower(b.hash) mv
         from v b full join v a on a.file = b.file and a.snapshot_no = b.snapshot_no - 1 where coalesce(b.snapshot_no, a.snapshot_no + 1) between 2 and 5),
@@ -670,11 +678,10 @@ ORACLES = {
     "source_generation": f"""with {_CUR}, d as (select distinct sha256(coalesce(file, '') || chr(0) || coalesce(lower(hash), '-')) h from cur),
       t as (select count(*) k, sum(('0x' || h[1:14])::bigint) a, sum(('0x' || h[15:28])::bigint) b, sum(('0x' || h[29:42])::bigint) c, sum(('0x' || h[43:56])::bigint) e from d)
       select k n_files, sha256(concat_ws('|', k, a, b, c, e))[1:20] generation from t""",
-    "source_snippets": f"""with {_N}, tx as (select file, string_split(max(text), chr(10)) ls from sources where file is not null and text is not null group by file),
-      q as (select id, file, ls, greatest(line - 2, 1) a, least(end_line + 2, len(ls)) z from n join tx using (file) where kind not in ('file', 'external') and line >= 1 and end_line >= line and line <= len(ls)),
-      r as (select id, file, a, z, array_to_string(ls[a:least(z, a + 119)], chr(10)) w from q),
-      u as (select *, length(w) + length(regexp_replace(w, '[^\\x{{10000}}-\\x{{10FFFF}}]', '', 'g')) > 16000 big from r)
-      select id, file, a start_line, a + len(string_split(case when big then w[1:16000] else w end, chr(10))) - 1 end_line, a + 119 < z or big truncated, case when big then w[1:16000] else w end as text from u""",
+    "source_snippets": f"{_SNIPPETS} select * from sn",
+    "source_merged": f"""{_SNIPPETS}, l as (select file, start_line, unnest(range(len(string_split(text, chr(10))))) k, unnest(string_split(text, chr(10))) body from sn),
+      o as (select file, start_line + k line, min(body) body, max(body) other, count(case when k = 0 then 1 end) begun from l group by all), g as (select *, line - row_number() over (partition by file order by line) island from o)
+      select file, min(line) start_line, max(line) end_line, cast(sum(begun) as bigint) n_windows, bool_or(body <> other) conflict, string_agg(body, chr(10) order by line) as text from g group by file, island""",
     "source_freshness": """with c as (select file, lower(hash) hash from (select file, hash, row_number() over (partition by file order by indexed_at desc nulls last, lower(hash) desc nulls last) rn from files where file is not null) where rn = 1),
       t as (select file, max(sha256(text)) digest from sources where file is not null and text is not null group by file)
       select file, case when digest is null then 'missing' when digest = hash then 'same' else 'stale' end state from c left join t using (file)""",

@@ -370,6 +370,12 @@ def test_snippets_are_clamped_and_cut(spark):
     assert dict(map(tuple, reading.freshness(files, states).collect())) == {"f": "same", "g": "stale", "k": "missing"}
 
 
+def test_windows_are_merged_and_conflicts_told(spark):
+    rows = [("f", 1, "a\nb\nc"), ("f", 3, "c\nd"), ("f", 5, "e"), ("f", 9, "x\r\ny"), ("f", 10, "z"), ("g", 1, "q"), ("g", 1, "q"), (None, 1, "q"), ("h", 1, None)]
+    found = {(r.file, r.start_line): tuple(r)[2:] for r in reading.merge_windows(spark.createDataFrame(rows, "file string, start_line long, text string")).collect()}
+    assert found == {("f", 1): (5, 3, False, "a\nb\nc\nd\ne"), ("f", 9): (10, 2, True, "x\r\ny"), ("g", 1): (1, 2, False, "q")}
+
+
 def test_extraction_of_a_region(spark):
     # 1 value = input   2 value += 1   3 result = value * 2   4 return result
     statements = spark.createDataFrame([("f", i, i, 10 * i, 10 * i + 9, "s0", "b0") for i in range(1, 5)] + [("f", 3, 3, 31, 33, "s0", "inner")], "file string, line long, end long, offset long, end_offset long, scope string, block string")
