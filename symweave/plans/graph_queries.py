@@ -132,6 +132,11 @@ def graph_diagnostics(s, d):
     return graph.diagnostic_samples(table(s, d, "files"), 200)
 
 
+def graph_callers_page(s, d):
+    rows = graph.relations(_edges(s, d), _nodes(s, d), ["calls"], "in")
+    return graph.page(rows, [*graph.row_text_order("target_id", "id", "kind", "name", "file", "line", "tags", "relation", "direction", "site_file", "site_line", "confidence")], 10, 50)
+
+
 def graph_innermost(s, d):
     return graph.innermost(table(s, d, "edges").select("edge_id", "file", "line").distinct(), _nodes(s, d))
 
@@ -426,7 +431,7 @@ def stream_index(s, d):
 
 
 _LISTED = [
-    graph_nodes, graph_edges, graph_dangling, graph_unreferenced, graph_callers, graph_callees, graph_references, graph_neighbours, graph_neighbour_rows, graph_inspect, graph_compact, graph_file_filters, graph_dependencies, graph_search, graph_search_page, graph_resolve, graph_candidates, graph_unlinked_homonyms, graph_diagnostics,
+    graph_nodes, graph_edges, graph_dangling, graph_unreferenced, graph_callers, graph_callees, graph_references, graph_neighbours, graph_neighbour_rows, graph_inspect, graph_compact, graph_file_filters, graph_dependencies, graph_search, graph_search_page, graph_resolve, graph_candidates, graph_unlinked_homonyms, graph_diagnostics, graph_callers_page,
     graph_innermost, graph_homonyms, graph_derived_overrides, graph_architecture, graph_hubs, graph_ranked_callers, graph_health, graph_redelivered, graph_multiset,
     closure_contracts, closure_flow, closure_tests, closure_implementations, closure_impact, closure_impact_files, closure_depth, closure_paths, closure_path_to, closure_affected_files,
     diff_files, diff_correspondence, diff_review, diff_declarations, diff_relations, diff_diagnostics, diff_preceding,
@@ -627,6 +632,8 @@ _SNIPPETS = f"""with {_N}, tx as (select file, string_split(max(text), chr(10))
       sn as (select id, file, a start_line, a + len(string_split(case when big then w[1:16000] else w end, chr(10))) - 1 end_line, a + 119 < z or big truncated, case when big then w[1:16000] else w end as text from u)"""
 
 ORACLES = {
+    "graph_callers_page": f"""with {_N}, {_E}, r as ({_rel("e.kind = 'calls'", 'target', 'source', 'in')}) select * from r
+      order by concat_ws(chr(9), target_id, id, kind, name, file, line, tags, relation, direction, site_file, site_line, confidence) limit 50 offset 10""",
     "diff_review": f"""with {_V}, pr as (select coalesce(b.snapshot_no, a.snapshot_no + 1) sn, coalesce(b.file, a.file) file, a.file is not null there, b.file is not null here, a.file is null or b.file is null or lower(a.hash) is distinct from lower(b.hash) mv
         from v b full join v a on a.file = b.file and a.snapshot_no = b.snapshot_no - 1 where coalesce(b.snapshot_no, a.snapshot_no + 1) between 2 and 5),
       dx as (select snapshot_no sn, file, unnest(nodes) d from v), dc as (select sn, file, d.id id, min({{'kind': d.kind, 'name': d.name, 'parent': d.parent}}) body, min(d.line) line from dx where d.id is not null group by all),
