@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from symweave.functions.scalars import test_path, under, utf16_order
 from symweave.operators.graph import covering
-from symweave.operators.traverse import closure, interval_islands
+from symweave.operators.traverse import closure, interval_islands, ranked
 from symweave.session import stage
 
 EDGE = ["source", "target", "kind", "file", "line", "start_offset", "confidence"]
@@ -49,7 +49,7 @@ class Recipes:
     """The relations that tasks on ``starts`` (column id) need, for all of them at once: every part is a join or a closure over all starts.
 
     nodes must be one row per id; edges have the columns of EDGE; ``cases`` are test cases (file, framework, name, line, end_line, ordinal).
-    Rows are ``(start, step, section, reason, distance, edge...)``, steps being the order in which a task asks.
+    Rows are ``(start, step, section, reason, distance, edge...)``, steps being the order in which a task asks. Joins with the edges of a hot node are left to adaptive execution, which splits them.
     """
 
     def __init__(self, starts: DataFrame, nodes: DataFrame, edges: DataFrame, cases: DataFrame | None = None, depth: int = 2):
@@ -222,16 +222,9 @@ def first_page(evidence: DataFrame, max_items: int = 40, max_files: int = 12, ma
 
 
 def dictionary(evidence: DataFrame, column: str) -> DataFrame:
-    """``(value, code, n)``: a dense code from 0 for every value of a column, by code units of its text.
-
-    Values are sorted by ranges, each range in a task of its own; codes are the place within the range and the number of values in ranges before, so no task ranks all values.
-    """
+    """``(value, code, n)``: a dense code from 0 for every value of a column, by code units of its text; ranges of values are sorted in tasks of their own."""
     values = evidence.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n")).where("value is not null")
-    placed = stage(values.withColumn("_o", utf16_order("value")).repartitionByRange("_o").withColumn("_part", F.spark_partition_id()), "ranges")
-    sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_o").alias("_lo"))
-    before = sizes.select("_part", (F.sum("_n").over(Window.partitionBy(F.lit(1)).orderBy("_lo")) - F.col("_n")).alias("_before"))
-    rank = F.row_number().over(Window.partitionBy("_part").orderBy("_o"))
-    return placed.withColumn("_r", rank).join(F.broadcast(before), "_part").select("value", (F.col("_before") + F.col("_r") - 1).alias("code"), "n")
+    return ranked(values.withColumn("_o", utf16_order("value")), ["_o"], "code").select("value", "code", "n")
 
 
 def grouped_sites(evidence: DataFrame, by: str = "start") -> DataFrame:
