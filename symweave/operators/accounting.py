@@ -34,16 +34,16 @@ def counter_deltas(events: DataFrame) -> DataFrame:
     return rows.where("reset = 1 or delta <> 0").select("user_id", "event_id", "segment", F.round("delta", 4).alias("delta"))
 
 
-def sums_with_unknowns(events: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
-    """``(keys, n, total)`` where total is null if any value is unknown; repeated rows of one event count once."""
-    once = events.groupBy(*keys, "event_id").agg(F.max(value).alias("v"))
+def sums_with_unknowns(events: DataFrame, keys: list[str], value: str = "value", id: str = "event_id") -> DataFrame:
+    """``(keys, n, total)`` where total is null if any value is unknown; repeated rows of one ``id`` count once, with the greatest value."""
+    once = events.groupBy(*keys, id).agg(F.max(value).alias("v"))
     return once.groupBy(*keys).agg(F.count("*").alias("n"), F.round(F.when(F.count("v") == F.count("*"), F.sum("v")), 4).alias("total"))
 
 
-def conflicts(events: DataFrame) -> DataFrame:
-    """``(event_id, n_versions)`` of ids that were delivered with different contents."""
-    rows = events.groupBy("event_id", F.xxhash64("ts", "user_id", "event_type", "value", "props").alias("v")).agg(F.count("*").alias("n"))
-    return rows.groupBy("event_id").agg(F.count("*").alias("n_versions")).where("n_versions > 1")
+def conflicts(events: DataFrame, key: list[str] = ("event_id",), content: list[str] = ("ts", "user_id", "event_type", "value", "props")) -> DataFrame:
+    """``(key, n_versions)`` of keys that were delivered with different contents."""
+    rows = events.groupBy(*key, F.xxhash64(*content).alias("v")).agg(F.count("*").alias("n"))
+    return rows.groupBy(*key).agg(F.count("*").alias("n_versions")).where("n_versions > 1")
 
 
 def campaign(events: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from symweave.functions.scalars import test_path
+from symweave.functions.scalars import language, repository, test_path
 from symweave.operators import accounting, diff, evidence, graph, lexical, nested, reading, traverse
 from symweave.plans.problems import RECORDS, flat_sql
 from symweave.session import stage, table
@@ -351,6 +351,17 @@ def usage_conflicts(s, d):
     return accounting.conflicts(e.unionByName(e.withColumn("event_id", F.floor(F.col("event_id") / 2).cast("long"))))
 
 
+def usage_identities(s, d):
+    """Relations whose site was delivered with different lines or confidences."""
+    return accounting.conflicts(table(s, d, "edges").where("source is not null and target is not null"), graph.IDENTITY, ["line", "confidence"])
+
+
+def usage_unresolved(s, d):
+    """Unresolved calls of the current records by repository and language, unknown if one is."""
+    rows = table(s, d, "files").where("file is not null").groupBy("file").agg(F.max(F.struct("indexed_at", "unresolved_calls")).alias("r"))
+    return accounting.sums_with_unknowns(rows.select("file", repository("file").alias("repo"), language("file").alias("language"), F.col("r.unresolved_calls").alias("n")), ["repo", "language"], "n", "file")
+
+
 def usage_campaign(s, d):
     return accounting.campaign(table(s, d, "events"))
 
@@ -437,7 +448,7 @@ _LISTED = [
     diff_files, diff_correspondence, diff_review, diff_declarations, diff_relations, diff_diagnostics, diff_preceding,
     lexical_frequencies, lexical_bm25, lexical_overlap, lexical_filtered, lexical_grouped, lexical_expanded, lexical_per_file, lexical_postings, lexical_posting_blocks,
     evidence_sections, evidence_page, evidence_files, evidence_groups, evidence_windows, evidence_extract, evidence_fusion,
-    usage_deltas, usage_sums, usage_conflicts, usage_campaign, usage_ledger, usage_read_audit, usage_percentiles, usage_bootstrap, usage_attempts,
+    usage_deltas, usage_sums, usage_conflicts, usage_identities, usage_unresolved, usage_campaign, usage_ledger, usage_read_audit, usage_percentiles, usage_bootstrap, usage_attempts,
     source_hashes, source_record_nodes, source_violations, source_upsert, source_freshness, source_snippets, source_merged, source_generation,
     stream_windows, stream_sessions, stream_sliding, stream_dedup, stream_index,
 ]
@@ -632,6 +643,10 @@ _SNIPPETS = f"""with {_N}, tx as (select file, string_split(max(text), chr(10))
       sn as (select id, file, a start_line, a + len(string_split(case when big then w[1:16000] else w end, chr(10))) - 1 end_line, a + 119 < z or big truncated, case when big then w[1:16000] else w end as text from u)"""
 
 ORACLES = {
+    "usage_identities": """with v as (select distinct source, target, kind, file, start_offset, line, confidence from edges where source is not null and target is not null)
+      select source, target, kind, file, start_offset, count(*) n_versions from v group by all having count(*) > 1""",
+    "usage_unresolved": f"""with c as (select file, unresolved_calls u from (select file, unresolved_calls, row_number() over (partition by file order by indexed_at desc nulls last, unresolved_calls desc nulls last) rn from files where file is not null) where rn = 1)
+      select split_part(file, '/', 1) repo, {_LANG} as "language", count(*) n, case when count(u) = count(*) then sum(u)::bigint end total from c group by 1, 2""",
     "graph_callers_page": f"""with {_N}, {_E}, r as ({_rel("e.kind = 'calls'", 'target', 'source', 'in')}) select * from r
       order by concat_ws(chr(9), target_id, id, kind, name, file, line, tags, relation, direction, site_file, site_line, confidence) limit 50 offset 10""",
     "diff_review": f"""with {_V}, pr as (select coalesce(b.snapshot_no, a.snapshot_no + 1) sn, coalesce(b.file, a.file) file, a.file is not null there, b.file is not null here, a.file is null or b.file is null or lower(a.hash) is distinct from lower(b.hash) mv
