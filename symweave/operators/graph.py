@@ -189,6 +189,14 @@ def unlinked_homonyms(nodes: DataFrame, linked: DataFrame) -> DataFrame:
     return met.select("id", (F.col("all") - 1 - F.coalesce("own", F.lit(0))).alias("n")).where("n > 0")
 
 
+def diagnostic_identities(files: DataFrame) -> DataFrame:
+    """``(file, identity, severity, n)`` of the diagnostics of the current records: a digest of file and text by which one is known again in a later delivery; null severity means error, text that is no JSON object has none."""
+    newest = files.where("file is not null").groupBy("file").agg(F.max(F.struct("indexed_at", "diagnostics")).alias("r")).select("file", F.explode("r.diagnostics").alias("d")).where("d is not null")
+    is_object = F.col("d").startswith("{") & F.col("d").endswith("}")
+    severity = F.when(is_object, F.coalesce(F.get_json_object("d", "$.severity"), F.lit("error")))
+    return newest.groupBy("file", F.substring(F.sha2(F.concat("file", F.lit("\u0000"), "d"), 256), 1, 16).alias("identity"), severity.alias("severity")).agg(F.count("*").alias("n"))
+
+
 def diagnostic_samples(files: DataFrame, limit: int = 20, most: int = 512) -> DataFrame:
     """``(file, place, severity, code, message, truncated)``: the first ``limit`` diagnostics of the current records by file and place, messages cut at ``most`` characters; a report, so a limit."""
     newest = files.where("file is not null").groupBy("file").agg(F.max(F.struct("indexed_at", "diagnostics")).alias("r")).select("file", F.posexplode("r.diagnostics").alias("place", "d"))

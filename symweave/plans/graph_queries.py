@@ -132,6 +132,10 @@ def graph_diagnostics(s, d):
     return graph.diagnostic_samples(table(s, d, "files"), 200)
 
 
+def graph_diagnostic_identities(s, d):
+    return graph.diagnostic_identities(table(s, d, "files"))
+
+
 def graph_callers_page(s, d):
     rows = graph.relations(_edges(s, d), _nodes(s, d), ["calls"], "in")
     return graph.page(rows, [*graph.row_text_order("target_id", "id", "kind", "name", "file", "line", "tags", "relation", "direction", "site_file", "site_line", "confidence")], 10, 50)
@@ -442,7 +446,7 @@ def stream_index(s, d):
 
 
 _LISTED = [
-    graph_nodes, graph_edges, graph_dangling, graph_unreferenced, graph_callers, graph_callees, graph_references, graph_neighbours, graph_neighbour_rows, graph_inspect, graph_compact, graph_file_filters, graph_dependencies, graph_search, graph_search_page, graph_resolve, graph_candidates, graph_unlinked_homonyms, graph_diagnostics, graph_callers_page,
+    graph_nodes, graph_edges, graph_dangling, graph_unreferenced, graph_callers, graph_callees, graph_references, graph_neighbours, graph_neighbour_rows, graph_inspect, graph_compact, graph_file_filters, graph_dependencies, graph_search, graph_search_page, graph_resolve, graph_candidates, graph_unlinked_homonyms, graph_diagnostics, graph_diagnostic_identities, graph_callers_page,
     graph_innermost, graph_homonyms, graph_derived_overrides, graph_architecture, graph_hubs, graph_ranked_callers, graph_health, graph_redelivered, graph_multiset,
     closure_contracts, closure_flow, closure_tests, closure_implementations, closure_impact, closure_impact_files, closure_depth, closure_paths, closure_path_to, closure_affected_files,
     diff_files, diff_correspondence, diff_review, diff_declarations, diff_relations, diff_diagnostics, diff_preceding,
@@ -643,6 +647,9 @@ _SNIPPETS = f"""with {_N}, tx as (select file, string_split(max(text), chr(10))
       sn as (select id, file, a start_line, a + len(string_split(case when big then w[1:16000] else w end, chr(10))) - 1 end_line, a + 119 < z or big truncated, case when big then w[1:16000] else w end as text from u)"""
 
 ORACLES = {
+    "graph_diagnostic_identities": """with c as (select file, diagnostics from (select file, diagnostics, row_number() over (partition by file order by indexed_at desc nulls last, diagnostics desc nulls last) rn from files where file is not null) where rn = 1),
+      x as (select file, unnest(diagnostics) d from c), y as (select * from x where d is not null)
+      select file, sha256(file || chr(0) || d)[1:16] identity, case when starts_with(d, '{') and ends_with(d, '}') then case when json_valid(d) then coalesce(d ->> '$.severity', 'error') else 'error' end end severity, count(*) n from y group by all""",
     "usage_identities": """with v as (select distinct source, target, kind, file, start_offset, line, confidence from edges where source is not null and target is not null)
       select source, target, kind, file, start_offset, count(*) n_versions from v group by all having count(*) > 1""",
     "usage_unresolved": f"""with c as (select file, unresolved_calls u from (select file, unresolved_calls, row_number() over (partition by file order by indexed_at desc nulls last, unresolved_calls desc nulls last) rn from files where file is not null) where rn = 1)
