@@ -33,7 +33,7 @@ def _symbols(s: SparkSession, d: str) -> DataFrame:
 
 def _record_tables(s: SparkSession, d: str, tables: dict[str, dict[str, str]]) -> list[DataFrame]:
     """Flat tables of the current records with typed fields; the records are read once."""
-    objects = stage(nested.nested_objects(table(s, d, "files")).where(F.col("table").isin(list(tables))), "objects")
+    objects = stage(nested.nested_objects(table(s, d, "files"), whole={k: list(v) for k, v in tables.items()}).where(F.col("table").isin(list(tables))), "objects")
     typed = lambda fields: [F.col(f"f_{c}").try_cast(t).alias(c) for c, t in fields.items()]
     return [nested.flat_table(objects, place, list(fields)).select(F.col("file").alias("record"), "ordinal", *typed(fields)) for place, fields in tables.items()]
 

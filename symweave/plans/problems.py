@@ -53,8 +53,21 @@ FLAT = {
 }
 
 
-def _flat(place: str, fields: list[str]):
-    return lambda spark, d: nested.flat_table(nested.nested_objects(table(spark, d, "files")), place, fields)
+#: The flat tables of objects that stand in no list.
+SINGLE = {
+    "p4_records": ("", ["file", "hash", "dependencies", "unresolvedCalls"]),
+    "p4_intents": ("intent", ["capabilities"]),
+    "p4_asts": ("intent.ast", ["format", "version", "offset_unit", "scopes"]),
+}
+
+
+def _flat(place: str, fields: list[str], listed: bool = True):
+    find = nested.nested_objects if listed else nested.single_objects
+    return lambda spark, d: nested.flat_table(find(table(spark, d, "files"), whole={place: fields}), place, fields)
+
+
+def p4_single(spark: SparkSession, d: str) -> DataFrame:
+    return nested.single_objects(table(spark, d, "files")).select("file", "path", "parent", "table")
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -83,6 +96,7 @@ def p6_report(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": p1_found, "p1_keys": p1_keys, "p3_found": p3_found, "p3_rates": p3_rates, "p4_found": p4_found, "p4_tables": p4_tables, **{k: _flat(*v) for k, v in FLAT.items()},
+    "p4_single": p4_single, **{k: _flat(*v, listed=False) for k, v in SINGLE.items()},
     "p5_found": p5_found, "p5_hierarchy": p5_hierarchy, "p5_descendants": p5_descendants, "p5_all_descendants": p5_all_descendants, "p6_found": p6_found, "p6_report": p6_report,
 }
 
@@ -138,6 +152,15 @@ walk as (select file, prefix, id, prefix path, '' parent, prefix tab, 0 ordinal,
 obj as (select file, path, parent, tab "table", ordinal, type, value, name, row_of from walk where listed)"""
 
 
+SINGLE_RECORDS = f"""{RECORDS}, one as (select file, path, parent, tab "table", ordinal, value from walk where type = 'OBJECT' and not listed)"""
+
+
+def single_sql(place: str, fields: list[str]) -> str:
+    """The SQL of a flat table of objects that stand in no list."""
+    names = ", ".join(f"""value ->> '$.{c}' "f_{c}\"""" for c in fields)
+    return f"""with recursive {SINGLE_RECORDS} select file, path, parent, ordinal, {names} from one where "table" = '{place}'"""
+
+
 def flat_sql(place: str, fields: list[str]) -> str:
     """The SQL of a flat table; a field of a packed row is found by its place."""
     packed = nested.PACKED.get(place.split(".")[-1].removesuffix("[]"), ())
@@ -149,6 +172,8 @@ ORACLES = {
     "p4_found": f"with recursive {RECORDS} select file, path from obj",
     "p4_tables": f"""with recursive {RECORDS} select "table", count(*) n_rows, count(distinct file) n_files, count(case when parent <> '' then 1 end) n_linked from obj group by "table\"""",
     **{k: flat_sql(*v) for k, v in FLAT.items()},
+    "p4_single": f"""with recursive {SINGLE_RECORDS} select file, path, parent, "table" from one""",
+    **{k: single_sql(*v) for k, v in SINGLE.items()},
     "p1_found": "select target, kind from edges where target is not null group by target, kind having count(*) >= 0.01 * (select count(*) from edges)",
     "p1_keys": f"""with {_NODE}, k as (select target, kind, count(*) n_rows, count(distinct source) n_source, count(distinct file) n_file from edges group by target, kind)
       select k.*, best.n.c node_name, best.n.d node_kind from k left join best on best.id = k.target""",

@@ -5,9 +5,11 @@ import random
 from collections import Counter, defaultdict
 from datetime import datetime as T
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__
 from symweave.operators import hierarchy, nested, references, skew, snapshots
 
 EDGES = "edge_id long, source string, target string, kind string, file string, indexed_at timestamp_ntz, id string, _key string, n long"
@@ -174,6 +176,54 @@ def test_nested_objects(spark):
     assert nested.nested_objects(files.where("false")).count() == 0
 
 
+def test_nested_objects_leave_nothing_out(spark):
+    packed = {"format": "pcg-ast-1", "version": 1, "bindings": [[1, {"a": 1}, 3, [{"b": 2}], 5, 6, 7, 8, 9], [1, [2]]]}
+    deep = "[" * 50_000 + "1" + "]" * 50_000
+    records = {
+        "cells": json.dumps({"intent": json.dumps({"ast": packed, "capabilities": ["x"]}), "unresolvedCalls": 2}),
+        "one path": '{"a": [[{"z": 1}]], "a[0]": [{"z": 2}], "b.c": [{"z": 3}], "b": {"c": [{"z": 4}]}}',
+        "repeated": '{"nodes": [{"id": 1, "id": 2}], "nodes": [{"id": 3}, {"id": 4}]}',
+        "repeated and deep": '{"x": ' + deep + ', "nodes": [{"id": 1, "id": 2}], "nodes": [{"id": 3}]}',
+        "long": '{"nodes": [{"line": ' + "9" * 5000 + "}]}",
+        "half a pair": '{"nodes": [{"name": "\\ud83d"}]}', "pair": '{"nodes": [{"name": "\\ud83d\\ude00 \\\\ud83d"}]}',
+        "keys": '{"": {"intent": "{\\"tests\\": [{}]}"}}',
+        "fields": '{"nodes": [{"id": {"k": [1, 1e400]}, "name": [[1, 2], {"x": 1}], "tags": [[1], [2.50]], "at": {"line": 3, "to": {"line": 4}}, "many": ' + deep + "}]}",
+    }
+    files = spark.createDataFrame([(f, r, A) for f, r in records.items()], "file string, record string, indexed_at timestamp_ntz")
+    rows = nested.nested_objects(files, whole={"nodes[]": ["id"]}).collect()
+    found = defaultdict(list)
+    for r in rows:
+        found[r.file].append((r.path, r.fields.get("z", r.fields.get("id"))))
+    at = "intent.ast.bindings[0]"
+    assert [p for p, _ in found["cells"]] == [at, at + "[1]", at + "[3][0]"]
+    assert {r.parent for r in rows if r.path.startswith(at + "[")} == {at}
+    assert found["one path"] == [("a[0][0]", "1"), ("a[0][0]", "2"), ("b.c[0]", "3"), ("b.c[0]", "4")]
+    assert found["repeated"] == [("nodes[0]", "1"), ("nodes[0]", "3"), ("nodes[1]", "4")] and found["repeated and deep"] == [("nodes[0]", "1"), ("nodes[0]", "3")]
+    assert "half a pair" not in found and "keys" not in found
+    by = {(r.file, r.path): r for r in rows}
+    assert by["long", "nodes[0]"].fields["line"] == "9" * 5000 and by["pair", "nodes[0]"].fields["name"] == "\U0001f600 \\ud83d"
+    assert by["fields", "nodes[0]"].fields == {"id": '{"k":[1,1e400]}', "name": "[[1,2],null]", "tags": "[[1],[2.5]]", "many": deep}
+    # what stands in no list has rows of its own
+    single = {(r.file, r.path): r for r in nested.single_objects(files).collect()}
+    assert single["fields", "nodes[0].at"].fields == {"line": "3"} and single["fields", "nodes[0].at.to"].parent == "nodes[0]" and single["fields", "nodes[0].at.to"].fields == {"line": "4"}
+    assert single["cells", ""].fields == {"unresolvedCalls": "2"} and single["cells", "intent"].fields == {"capabilities": '["x"]'}
+    assert single["cells", "intent.ast"].fields == {"format": "pcg-ast-1", "version": "1", "bindings": "[null,[1,[2]]]"}
+
+
+def test_nested_fields_are_those_of_the_sql(spark, tmp_path):
+    numbers = ["1.0", "1e5", "1.5e-7", "-0.0", "1E22", "1e16", "1e21", "123e18", "1.25e20", "0.00001", "1e-6", "-2.5e-6", "1e-7", "1e300", "-1.5e-300", "1e400", "9" * 5000, "18446744073709551616", "-0", "5e-324"]
+    values = [*numbers, "[" + ",".join(numbers) + "]", "true", "null", '{"a":[1,{"b":"\\u0001\\u001f\\u007f/ä\\u2028"}]}', '[[1],"x",[]]', "{}", '"t"']
+    records = [(str(i), f'{{"nodes":[{{"id":{v},"line":[{v}]}}],"intent":{{"capabilities":{v},"ast":{{"format":"pcg-ast-1","controls":[[1,2,3,4,5,{v}]]}}}}}}', A) for i, v in enumerate(values)]
+    spark.createDataFrame(records, "file string, record string, indexed_at timestamp_ntz").write.parquet(f"{tmp_path}/files.parquet")
+    duck = duckdb.connect()
+    duck.sql(f"create view files as from '{tmp_path}/files.parquet/*.parquet'")
+    queries, sql = __spark_entry__.queries(), __spark_entry__.oracle_sql()
+    for name in ("p4_nodes", "p4_controls", "p4_intents", "p4_single"):
+        df = queries[name](spark, str(tmp_path))
+        columns = ", ".join(f'"{c}"' for c in df.columns)
+        assert sorted(map(str, map(tuple, df.collect()))) == sorted(map(str, duck.sql(f"select {columns} from ({sql[name]})").fetchall()))
+
+
 def test_hierarchy(spark):
     links = [("r.py::r", None), ("r.py::a", "r.py::r"), ("q.py::b", "r.py::a"), ("r.py::c", "q.py::b"), ("lost", "nowhere"), ("self", "self"), ("x", "y"), ("y", "z"), ("z", "x"), ("hang", "x"), ("hang2", "hang"), (None, "r.py::r")]
     links += [links[1], links[1]] + [(f"chain::{i}", f"chain::{i - 1}" if i else None) for i in range(300)]
