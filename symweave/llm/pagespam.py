@@ -5,9 +5,9 @@ from __future__ import annotations
 import hashlib
 import re
 import tempfile
+from array import array
 from collections.abc import Iterator
 from functools import cache
-from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -35,6 +35,8 @@ LINKED = 0.4
 PAGE = 0.5
 #: Pieces of a batch with about this many characters are scored at once.
 CHARACTERS = 1_000_000
+#: A worker keeps about so many runs of letters, with so many words in them, from one piece of a batch to the next.
+KEPT_RUNS, KEPT_WORDS = 250_000, 2_000_000
 
 #: Stands for a link among words; a code point that is no character.
 LINK = "\ufdd0"
@@ -42,12 +44,17 @@ _WORD = re.compile(r"[A-Z]?[a-zß-öø-ÿ]+|[A-ZÀ-ÖØ-Þ]+(?![a-zß-öø-ÿ])|
 #: Markdown links, addresses, and names of hosts with a path.
 _LINK = re.compile(r"\[!\[[^\]\n]*\]\([^)\n]*\)\]\([^)\n]*\)|!?\[[^\]\n]*\]\([^)\n]*\)|<?(?:https?|hxxps?|ftp)://[^\s)>]+>?|\bwww\s?\.\s?[\w-]+(?:\s?\.\s?[\w-]+)+(?:/\S*)?|(?<![\w./@-])[a-z0-9-]+(?:\.[a-z0-9-]+)+/[^\s)>]*")
 _FENCE = re.compile(r"\s*(?:```|~~~)")
-#: What every link has, cheap to look for.
-_SOME_LINK = re.compile(r"\]\(|://|www|\.[a-z0-9-]+/")
+_PATH = re.compile(r"\.[a-z0-9-]+/")
+#: Letters and bytes beyond ASCII as they are, others as blanks: no word holds or looks past one of those.
+_RUNS = bytes(c if c > 127 or chr(c).isalpha() else 32 for c in range(256))
+#: Stands between texts.
+_BETWEEN = b"\0"
 _STRUCTURE = re.compile(
     r"\s*(?:\[?\d{4}-\d\d-\d\d|\[?\d{1,2}:\d\d\b|\|.*\|\s*$|[{}\]]|\[\s*$|\"[^\"]*\"\s*(?:[:,]|$)|-?[\d.]+,?\s*$|@@|(?:diff --|index [0-9a-f]{6,}\.\.)|(?:[+]{3}|-{3}) |(?:INFO|WARN|ERROR|DEBUG|TRACE)\b)"
 )
 _LEAD = re.compile(r"\s*(?:>\s*)*(?:[-*+•]\s+|\d+[.)]\s+|#{1,6}\s+)?")
+#: What structure and the lead of a line begin with, apart from digits.
+_STRUCTURE_BEGINS, _LEAD_BEGINS = frozenset("[]{}|\"-.@+diIWEDT"), frozenset(">-*+•#")
 _TAGS = re.compile(r"</?[a-zA-Z][^<>\n]{0,300}>")
 _SENTENCE = re.compile(r"[.!?…:;](?=[\s\"')\]*_]|$)|[。！？؟]|\n")
 _ARABIC = re.compile("[\u0620-\u064a]{3}")
@@ -81,6 +88,56 @@ class _Ids(dict):
         return out
 
 
+class _Runs(dict):
+    """Numbers of runs of letters, in UTF-8, with the words of each: a run is taken apart once, and found again by its bytes wherever it occurs. Number 0 is the mark between texts, without words."""
+
+    def __init__(self):
+        self._empty()
+
+    def _empty(self) -> None:
+        self.clear()
+        self.ids = _Ids()
+        self.words, self.ends = array("Q", [0]), array("q", [1, 1])
+        self[_BETWEEN] = 0
+
+    def __missing__(self, run: bytes) -> int:
+        self.words.extend(map(self.ids.__getitem__, _WORD.findall(run.decode())))
+        out = self[run] = len(self.ends) - 1
+        self.ends.append(len(self.words))
+        return out
+
+    def read(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(words, text of each word)."""
+        if len(self) > KEPT_RUNS or len(self.words) > KEPT_WORDS:
+            self._empty()
+        runs = (b" " + _BETWEEN + b" ").join([t.encode().translate(_RUNS) for t in texts]).split()
+        numbers = np.fromiter(map(self.__getitem__, runs), np.int64, len(runs))
+        ends = np.frombuffer(self.ends, np.int64)
+        first, sizes = ends[numbers], ends[numbers + 1] - ends[numbers]
+        at = np.repeat(first - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+        return np.frombuffer(self.words, np.uint64)[at], np.repeat(np.cumsum(numbers == 0), sizes)
+
+
+class _Sorted:
+    """Different hashes in ascending order, with the place where each range of the leading bits begins, so that one is found in a few steps."""
+
+    def __init__(self, keys: np.ndarray):
+        bits = max(1, int(len(keys)).bit_length())
+        self.keys, self.shift = keys, np.uint64(64 - bits)
+        self.begins = np.zeros((1 << bits) + 1, np.int32 if len(keys) < 1 << 31 else np.int64)
+        np.cumsum(np.bincount((keys >> self.shift).view(np.int64), minlength=1 << bits), out=self.begins[1:])
+
+    def find(self, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place, whether it is there) of each hash that is asked for; there must be keys."""
+        last = len(self.keys) - 1
+        at = np.minimum(self.begins[(asked >> self.shift).view(np.int64)], last)
+        for _ in range(2):
+            at += (self.keys[at] < asked) & (at < last)
+        rest = np.flatnonzero(self.keys[at] < asked)
+        at[rest] = np.minimum(np.searchsorted(self.keys, asked[rest]), last)
+        return at, self.keys[at] == asked
+
+
 def pair_ids(words: np.ndarray) -> np.ndarray:
     """The hash of each word and the next."""
     with np.errstate(over="ignore"):
@@ -99,17 +156,25 @@ def repaired(text: str) -> str:
     return text.replace(LINK, " ") if LINK in text else text
 
 
+def _some_link(text: str) -> bool:
+    """Whether a text has what every link has one of, which is cheap to look for."""
+    return "](" in text or "://" in text or "www" in text or ("/" in text and _PATH.search(text) is not None)
+
+
+def _marked(text: str) -> str:
+    """A repaired text with LINK in place of links."""
+    return _LINK.sub(f" {LINK} ", text) if _some_link(text) else text
+
+
 def words_of(text: str) -> list[str]:
     """The words of a repaired text that the counts of the corpus are made of; a link is a word."""
-    return _WORD.findall(_LINK.sub(f" {LINK} ", text) if _SOME_LINK.search(text) else text)
+    return _WORD.findall(_marked(text))
 
 
-def _joined(lists: list[list[str]], ids: _Ids) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(words, list of each word, pairs of neighbours of one list, place of each pair's first word) of lists of words."""
-    sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-    words = np.fromiter(map(ids.__getitem__, chain.from_iterable(lists)), np.uint64, int(sizes.sum()))
-    owner = np.repeat(np.arange(len(lists)), sizes)
-    at = np.flatnonzero(owner[:-1] == owner[1:]) if len(words) else np.zeros(0, np.int64)
+def _joined(texts: list[str], runs: _Runs) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(words, text of each word, pairs of neighbours of one text, place of each pair's first word) of texts with LINK in place of links."""
+    words, owner = runs.read(texts)
+    at = np.flatnonzero(owner[:-1] == owner[1:])
     return words, owner, pair_ids(words)[at] if len(words) else words, at
 
 
@@ -121,7 +186,7 @@ def neighbour_counts(documents: DataFrame, text: str = "text") -> DataFrame:
     ship(documents.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = _Ids()
+        runs = _Runs()
         parts: tuple[list, list] = ([], [])
         size = 0
 
@@ -134,7 +199,7 @@ def neighbour_counts(documents: DataFrame, text: str = "text") -> DataFrame:
 
         for batch in batches:
             for texts in _pieces(batch.column(0)):
-                words, _, pairs, _ = _joined([words_of(repaired(t)) for _, t in texts], ids)
+                words, _, pairs, _ = _joined([_marked(repaired(t)) for _, t in texts], runs)
                 parts[0].append(words)
                 parts[1].append(pairs)
                 size += len(words)
@@ -206,17 +271,16 @@ class Table:
         self.tables, at = [], 0
         for _ in range(2):
             total, absent, size = (int(x) for x in flat[at : at + 3])
-            self.tables.append((total, absent, flat[at + 3 : at + 3 + size].view(np.uint64), flat[at + 3 + size : at + 3 + 2 * size]))
+            self.tables.append((total, absent, _Sorted(flat[at + 3 : at + 3 + size].view(np.uint64)), flat[at + 3 + size : at + 3 + 2 * size]))
             at += 3 + 2 * size
         self.words, self.pairs = self.tables[0][0], self.tables[1][0]
 
     def bounds(self, kind: int, ids: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(least, greatest possible count, whether known) of words or pairs; what the table lacks occurs as often as on the page itself or more, but no more often than it may lack."""
         _, absent, keys, values = self.tables[kind]
-        if not len(keys):
+        if not len(values):
             return own, np.maximum(own, absent), np.full(len(ids), absent == 0)
-        at = np.minimum(np.searchsorted(keys, ids), len(keys) - 1)
-        hit = keys[at] == ids
+        at, hit = keys.find(ids)
         return np.where(hit, values[at], own), np.where(hit, values[at], np.maximum(own, absent)), hit | (absent == 0)
 
 
@@ -238,12 +302,13 @@ def windows(text: str) -> Iterator[tuple[str, int, int, int]]:
     def piece() -> tuple[str, int, int, int]:
         return "\n".join(plain), chars, linked, links
 
+    fences, any_link = "```" in text or "~~~" in text, _some_link(text)
     for line in text.splitlines():
-        if _FENCE.match(line):
+        if fences and _FENCE.match(line):
             fence = not fence
             continue
         bare = line.strip()
-        if fence or (bare and (bare[-1] in ";{}" or "\t" in bare or _STRUCTURE.match(line))):
+        if fence or (bare and (bare[-1] in ";{}" or "\t" in bare or ((bare[0] in _STRUCTURE_BEGINS or bare[0].isdecimal()) and _STRUCTURE.match(line)))):
             if chars:
                 yield piece()
                 plain, chars, linked, links, words = [], 0, 0, 0, 0
@@ -253,19 +318,24 @@ def windows(text: str) -> Iterator[tuple[str, int, int, int]]:
                 yield piece()
                 plain, chars, linked, links, words = [], 0, 0, 0, 0
             continue
-        body = line[_LEAD.match(line).end() :]
+        body = line[_LEAD.match(line).end() :] if bare[0] in _LEAD_BEGINS or bare[0].isdecimal() else line.lstrip()
         if "<" in body:
             body = _TAGS.sub(lambda m: f" {m[0][m[0].find(_HREF) + len(_HREF) :].split(_HREF[-1])[0]} " if _HREF in m[0] else " ", body)
         for start in range(0, len(body), 20 * WINDOW):
             part = body[start : start + 20 * WINDOW]
-            here = [m[0] for m in _LINK.finditer(part)] if _SOME_LINK.search(part) else []
-            rest = _LINK.sub(f" {LINK} ", part) if here else part
-            size = len(part) - part.count(" ")
+            blanks = part.count(" ")
+            chars += len(part) - blanks
+            if any_link and _some_link(part):
+                between = _LINK.split(part)
+                rest = f" {LINK} ".join(between)
+                here = len(between) - 1
+                linked += len(part) - blanks - sum(len(x) - x.count(" ") for x in between)
+                links += here
+                words += rest.count(" ") + 1 - 2 * here if rest.strip() else 0
+            else:
+                rest = part
+                words += blanks + 1 if rest.strip() else 0
             plain.append(rest)
-            chars += size
-            linked += sum(len(x) - x.count(" ") for x in here)
-            links += len(here)
-            words += rest.count(" ") + 1 - 2 * len(here) if rest.strip() else 0
             if words >= WINDOW or chars > 8 * WINDOW:
                 yield piece()
                 plain, chars, linked, links, words = [], 0, 0, 0, 0
@@ -309,8 +379,17 @@ def _tally(stream: np.ndarray, asked: np.ndarray) -> np.ndarray:
     if not len(stream):
         return np.zeros(len(asked), np.int64)
     keys, counts = np.unique(stream, return_counts=True)
-    at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
-    return np.where(keys[at] == asked, counts[at], 0)
+    at, hit = _Sorted(keys).find(asked)
+    return np.where(hit, counts[at], 0)
+
+
+def _first_places(keys: np.ndarray) -> np.ndarray:
+    """Where each different key comes first."""
+    if not len(keys):
+        return np.zeros(0, np.int64)
+    order = np.argsort(keys)
+    sorted_keys = keys[order]
+    return np.minimum.reduceat(order, np.flatnonzero(np.concatenate([[True], sorted_keys[1:] != sorted_keys[:-1]])))
 
 
 def _information(seen: np.ndarray, left: np.ndarray, right: np.ndarray, words: np.ndarray, pairs: np.ndarray) -> np.ndarray:
@@ -330,7 +409,7 @@ def window_scores(counts: tuple, own_words: np.ndarray, own_pairs: np.ndarray, s
     high = _information((high_pair - own_pairs).astype(float), low_word[at], low_word[at + 1], words, all_pairs)
     size = np.maximum(1, np.bincount(owner, minlength=n))
     again = np.ones(len(pairs), bool)
-    again[np.unique(_of_page(pairs, owner), return_index=True)[1]] = False
+    again[_first_places(_of_page(pairs, owner))] = False
     held = lambda x, which: np.bincount(owner, np.maximum(x, 0) * which, n)
     share = lambda more, less: more / np.maximum(more + less, 1e-9)
     mean = lambda x: np.bincount(owner, x, n) / size
@@ -353,7 +432,7 @@ KINDS = ["salad", "stuffed", "linked", "spam"]
 FEW = 4
 
 
-def score_texts(texts: list[str], table: Table, ids: _Ids) -> list[tuple[int, list[int], list[dict]]]:
+def score_texts(texts: list[str], table: Table, runs: _Runs) -> list[tuple[int, list[int], list[dict]]]:
     """(characters, characters of spam by KINDS, open windows) of each text; all windows of all texts are scored at once, and only those that mutual information flags, or may flag, are checked for sentences."""
     texts = [repaired(t) for t in texts]
     out = [(len(t) - t.count(" ") - t.count("\n") - t.count("\t") - t.count("\r"), [0, 0, 0, 0], []) for t in texts]
@@ -361,8 +440,8 @@ def score_texts(texts: list[str], table: Table, ids: _Ids) -> list[tuple[int, li
     if not found:
         return out
     page = np.array([p for p, _ in found])
-    words, owner, pairs, at = _joined([_WORD.findall(w[0]) for _, w in found], ids)
-    stream, of, stream_pairs, of_pair = _joined([words_of(t) for t in texts], ids)
+    words, owner, pairs, at = _joined([w[0] for _, w in found], runs)
+    stream, of, stream_pairs, of_pair = _joined([_marked(t) for t in texts], runs)
     own_words = _tally(_of_page(stream, of), _of_page(words, page[owner]))
     own_pairs = _tally(_of_page(stream_pairs, of[of_pair]), _of_page(pairs, page[owner[at]]))
     sizes = np.bincount(of, minlength=len(texts))
@@ -448,12 +527,12 @@ def page_spam(documents: DataFrame, *, key: str = "doc_id", text: str = "text",
     file = count_table(counts, words, pairs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, ids = _table(file), _Ids()
+        table, runs = _table(file), _Runs()
         for batch in batches:
             size = batch.num_rows
             total, shares, opens, digests = np.zeros(size, np.int64), np.zeros((size, 4), np.int64), [[] for _ in range(size)], [None] * size
             for piece in _pieces(batch.column(1)):
-                for (i, t), (chars, spam, open_windows) in zip(piece, score_texts([t for _, t in piece], table, ids)):
+                for (i, t), (chars, spam, open_windows) in zip(piece, score_texts([t for _, t in piece], table, runs)):
                     total[i], shares[i], opens[i] = chars, spam, open_windows
                     if open_windows:
                         digests[i] = hashlib.sha256(t.encode()).digest()

@@ -284,6 +284,56 @@ def test_scores_equal_brute_force_whatever_the_table_holds(spark):
     assert 10 < len(want)
 
 
+ODD_WORDS = ["a", "HTTPServer", "camelCase", "x²y", "ß", "ΑΣ", "ΑΣΒ", "İ", "ı", "Éa", "Жук", "漢字の", "コード", "ﷰ", pagespam.LINK, "٣ب", "a_b", "a1b", "\0", "e\u0301", "\u00ad", "ǅ", "Ⅷ", "ไทย", "😀x", "l'été", "—b", "\x85", "\u2028", "\xa0"]
+
+
+def test_a_run_of_letters_is_taken_apart_once(monkeypatch):
+    rng = random.Random(12)
+    texts = [" ".join(rng.choices(["graph", "tableStore", "index", "Größe", "漢字"], k=300)) + "." for _ in range(20)]
+
+    class Counted:
+        seen = 0
+
+        def findall(self, text):
+            Counted.seen += len(text)
+            return word.findall(text)
+
+    word = pagespam._WORD
+    monkeypatch.setattr(pagespam, "_WORD", Counted())
+    runs = pagespam._Runs()
+    words, owner, pairs, _ = pagespam._joined(texts, runs)
+    assert Counted.seen == sum(map(len, ["graph", "tableStore", "index", "Größe", "漢字"]))
+    lists = [word.findall(t) for t in texts]
+    assert np.array_equal(words, [runs.ids[w] for x in lists for w in x]) and np.array_equal(owner, [i for i, x in enumerate(lists) for _ in x])
+    assert len(pairs) == len(words) - len(texts)
+
+
+def test_words_of_runs_equal_those_of_the_whole_text(monkeypatch):
+    rng = random.Random(13)
+    texts = ["", " ", "x", *["".join(rng.choice(ODD_WORDS) + rng.choice(["", "", " ", "\n", ".", "-"]) for _ in range(rng.randrange(60))) for _ in range(400)]]
+    for kept in (500_000, 5):  # with and without runs that are kept
+        monkeypatch.setattr(pagespam, "KEPT_RUNS", kept)
+        runs = pagespam._Runs()
+        for i in range(0, len(texts), 31):
+            words, owner = runs.read(texts[i : i + 31])
+            want = [(runs.ids[w], k) for k, t in enumerate(texts[i : i + 31]) for w in pagespam._WORD.findall(t)]
+            assert list(zip(words.tolist(), owner.tolist())) == want
+    assert [len(x) for x in pagespam._Runs().read([])] == [len(x) for x in pagespam._Runs().read(["", "1 2"])] == [0, 0]
+
+
+def test_sorted_hashes_are_found_however_they_are_spread():
+    rng = np.random.default_rng(14)
+    spread = rng.integers(0, 1 << 64, 5000, np.uint64)
+    for keys in (spread, spread[:1], spread[:2], spread >> np.uint64(40), np.arange(900, dtype=np.uint64), ~np.arange(900, dtype=np.uint64), np.concatenate([spread, np.arange(50, dtype=np.uint64)])):
+        keys = np.unique(keys)
+        asked = np.concatenate([keys, keys + np.uint64(1), rng.integers(0, 1 << 64, 500, np.uint64), np.array([0, (1 << 64) - 1], np.uint64)])
+        at, hit = pagespam._Sorted(keys).find(asked)
+        assert np.array_equal(hit, np.isin(asked, keys)) and np.array_equal(keys[at[hit]], asked[hit])
+    ids = rng.integers(0, 40, 300).astype(np.uint64)
+    assert sorted(pagespam._first_places(ids).tolist()) == sorted(np.unique(ids, return_index=True)[1].tolist())
+    assert len(pagespam._first_places(ids[:0])) == 0
+
+
 @pytest.mark.parametrize(("name", "columns"), [("p2_found", ["file"]), ("p7_ids", ["doc_id", "ids"]), ("p9_found", ["doc_id"])])
 def test_registered(spark, tables, name, columns):
     import __spark_entry__
